@@ -26,7 +26,7 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = range(5)
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings that the pattern of this vocabulary splits off.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def _classes() -> np.ndarray:

@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import exact_dedup, quality
-from storyloom.llm.common import documents
+from storyloom.llm import codec, exact_dedup, packing, quality, secrets, token_files
+from storyloom.llm.common import documents, shared_folder
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir))
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer())
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.digests(documents(spark, sf_dir), tokenizer())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write(documents(spark, sf_dir), path, tokenizer())
+    return token_files.documents(spark, path)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_mixture_packing, op6_bpe_codec, op8_token_files, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,3 +108,11 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 def row_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each element between the bounds."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def with_ends(ids: np.ndarray, bounds: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with an end id after each row, and their bounds."""
+    rows = np.arange(len(bounds))
+    out = np.full(len(ids) + len(bounds) - 1, end, ids.dtype)
+    out[np.arange(len(ids)) + row_of(bounds)] = ids
+    return out, bounds + rows
