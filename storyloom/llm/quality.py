@@ -24,7 +24,7 @@ from storyloom.llm.common import SPACES, checkpoint, text_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: measure -> the least spread of its quartiles that counts, in steps; fences lie 1.5 spreads out.
-LEAST = {"symbols": 60, "dup_lines": 100, "repeats": 60, "word_length": 30}
+LEAST = {"symbols": 30, "dup_lines": 300, "repeats": 120, "word_length": 30}
 #: Documents that a group needs for thresholds of its own.
 ENOUGH = 50
 LONGEST = 10_000
