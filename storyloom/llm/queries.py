@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import codec, exact_dedup, packing, quality, secrets, token_files
+from storyloom.llm import codec, exact_dedup, language_id, line_dedup, packing, quality, secrets, token_files
 from storyloom.llm.common import documents, shared_folder
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir))
 
@@ -25,6 +29,10 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer())
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(documents(spark, sf_dir), tokenizer())
 
@@ -44,8 +52,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_mixture_packing, op6_bpe_codec, op8_token_files, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_mixture_packing, op5_language_id, op6_bpe_codec, op8_token_files, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql()}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql()}
