@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import codec, exact_dedup, language_id, line_dedup, packing, quality, secrets, token_files
+from storyloom.llm import codec, exact_dedup, language_id, line_dedup, packing, quality, secrets, suffix_dedup, token_files
 from storyloom.llm.common import documents, shared_folder
 
 
@@ -37,6 +37,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(documents(spark, sf_dir), tokenizer())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     token_files.write(documents(spark, sf_dir), path, tokenizer())
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_mixture_packing, op5_language_id, op6_bpe_codec, op8_token_files, op9_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_mixture_packing, op5_language_id, op6_bpe_codec, op7_suffix_dedup, op8_token_files, op9_secret_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
