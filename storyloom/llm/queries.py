@@ -7,14 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import codec, exact_dedup, language_id, line_dedup, packing, quality, secrets, suffix_dedup, token_files
+import corpus_pipeline
+from storyloom.llm import codec, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_files
 from storyloom.llm.common import documents, shared_folder
-
-
-def tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from storyloom.llm.tokenizers import byte_bpe
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +21,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(documents(spark, sf_dir))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer())
+    return packing.pack(documents(spark, sf_dir), byte_bpe())
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.digests(documents(spark, sf_dir), tokenizer())
+    return codec.digests(documents(spark, sf_dir), byte_bpe())
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    token_files.write(documents(spark, sf_dir), path, tokenizer())
+    token_files.write(documents(spark, sf_dir), path, byte_bpe())
     return token_files.documents(spark, path)
 
 
@@ -56,8 +56,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op4_mixture_packing, op5_language_id, op6_bpe_codec, op7_suffix_dedup, op8_token_files, op9_secret_scan, op10_quality_rules)}
+    operators = (
+        op1_line_dedup,
+        op2_exact_dedup,
+        op3_ngram_join,
+        op4_mixture_packing,
+        op5_language_id,
+        op6_bpe_codec,
+        op7_suffix_dedup,
+        op8_token_files,
+        op9_secret_scan,
+        op10_quality_rules,
+    )
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql()}
+    found = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}

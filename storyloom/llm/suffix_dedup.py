@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.common import written
 from storyloom.llm.ragged import PIECE_BYTES, column, expand, mix, pieces, prefix_sums, span_hashes
+from storyloom.llm.texts import doc_bucket, document_keys, packed, parts, unpacked
 
 LENGTH = 100
 GRAM = 24
-LAST = (1 << 63) - 1
 BUCKET_BYTES = 12_000_000
 STRETCH = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("w", "u1"), ("o", "u1")])
 ASK = np.dtype([("fp", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("w", "u1"), ("o", "u1")])
@@ -114,18 +114,6 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
-def parts(records: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(key, kind="stable")
-    records, key = records[order], key[order]
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
-    for a, b in zip(edges, [*edges[1:], len(key)]):
-        yield int(key[a]), records[a:b].tobytes()
-
-
-def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(docs.astype(np.uint64) + np.uint64(12345)) % np.uint64(buckets)).astype(np.int64)
-
-
 def rows_of(items: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i[0] for i in items], pa.int32()), pa.array([i[1] for i in items], pa.int32()), pa.array([i[2] for i in items], pa.binary())], ["kind", "bucket", "blob"])
 
@@ -133,22 +121,13 @@ def rows_of(items: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 SCHEMA = "kind int, bucket int, blob binary"
 
 
-def keys(batch: pa.RecordBatch, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id with null as LAST, and 32 bits of the text's hash."""
-    docs = batch.column(batch.schema.get_field_index("doc_id")).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = np.zeros(len(texts), np.uint32)
-    for row, end, data, bounds in pieces(texts, PIECE_BYTES):
-        hashes[row:end] = (span_hashes(prefix_sums(data), bounds[:-1], bounds[1:]) & LOW).astype(np.uint32)
-    return docs, hashes
-
-
 def find(docs: DataFrame, buckets: int) -> DataFrame:
     """Stretches by bucket of their anchor (kind ASKS), and ranges that are settled in the task."""
 
     def run(batches):
         for batch in batches:
             texts = column(batch, "text")
-            ids, hashes = keys(batch, texts)
+            ids, hashes = document_keys(batch, texts)
             got = []
             for row, _, data, bounds in pieces(texts, PIECE_BYTES):
                 at, lo, hi, anchor, fp, ctx = stretches(data, bounds)
@@ -189,44 +168,6 @@ def resolve(found: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("kind", "bucket").applyInArrow(run, SCHEMA)
 
 
-def packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Texts by bucket of their document, compressed a batch at a time."""
-
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = column(batch, "text")
-            ids, hashes = keys(batch, texts)
-            bucket = doc_bucket(ids, buckets)
-            for b in np.unique(bucket).tolist():
-                rows = np.flatnonzero(bucket == b)
-                some = texts.take(pa.array(rows))
-                raw = [x.as_buffer().to_pybytes() for x in some]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b], pa.int32()),
-                        pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column(0).take(pa.array(rows)).cast(pa.int64())),
-                        pa.array([hashes[rows].astype("<u4").tobytes()], pa.binary()),
-                        pa.array([np.array([len(r) for r in raw], "<i8").tobytes()], pa.binary()),
-                        pa.array([squeeze.compress(b"".join(raw))], pa.binary()),
-                    ],
-                    ["bucket", "docs", "th", "lengths", "blob"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, docs array<long>, th binary, lengths binary, blob binary")
-
-
-def unpacked(table: pa.Table) -> Iterator[tuple[int | None, int, int, memoryview]]:
-    """doc_id, key of the document, text's hash, text."""
-    for i in range(table.num_rows):
-        raw = memoryview(zstandard.ZstdDecompressor().decompress(table.column("blob")[i].as_py()))
-        at = 0
-        lengths = np.frombuffer(table.column("lengths")[i].as_py(), "<i8").tolist()
-        for doc, th, n in zip(table.column("docs")[i].as_py(), np.frombuffer(table.column("th")[i].as_py(), "<u4").tolist(), lengths):
-            yield doc, LAST if doc is None else doc, th, raw[at : at + n]
-            at += n
-
-
 def by_document(records: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     if not len(records):
         return {}
