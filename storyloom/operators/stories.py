@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from storyloom import config
 from storyloom.functions import dates, scores, text
 from storyloom.operators.linking import lead_order
+from storyloom.operators.ordering import with_place
 
 
 def majority_category(members: DataFrame) -> DataFrame:
@@ -90,8 +91,8 @@ def breaking(now: Column) -> Column:
 def ranked(stories: DataFrame, now: Column, most: int | None = None) -> DataFrame:
     """Scored stories with their rank; only the first may be breaking, and is live then. most: a top-k report."""
     scored = breakdown(stories, now)
-    scored = scored.orderBy(F.desc("score"), "grp").limit(most) if most else scored
-    place = scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "grp")))
+    order = [F.desc("score"), F.asc("grp")]
+    place = with_place(scored.orderBy(*order).limit(most) if most else scored, order, "rank")
     return place.withColumn("status", F.when((F.col("rank") == 1) & breaking(now), "live").otherwise(F.col("status")))
 
 
