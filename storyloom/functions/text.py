@@ -70,7 +70,8 @@ def truncate(text: Column | str, longest: int) -> Column:
 def meta_description(text: Column | str, longest: int = 155) -> Column:
     """Whole sentences while they fit, else a cut at a word."""
     clean = F.trim(F.regexp_replace(col(text), r"\s+", " "))
-    sentences = F.regexp_extract_all(clean, F.lit("[^.!?]+(?:[.!?]+[\"')\\]]*\\s+|[.!?]+$)"), 0)
+    # What fits ends within the first characters; the pattern need not see more.
+    sentences = F.regexp_extract_all(F.substring(clean, 1, longest + 2), F.lit("[^.!?]+(?:[.!?]+[\"')\\]]*\\s+|[.!?]+$)"), 0)
     start = F.struct(F.lit("").alias("out"), F.lit(True).alias("open"))
 
     def step(state, s):

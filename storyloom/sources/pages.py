@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions import text
 from storyloom.functions.text import col
@@ -64,7 +65,10 @@ def cards(pages: DataFrame) -> DataFrame:
     return found.select("page_id", data("cluster").alias("cluster_id"), data("category").alias("category"), data("country").alias("country"), data("sources").try_cast("int").alias("sources"))
 
 
-@F.pandas_udf("struct<kind string, width int, height int>")
+_SIZE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+@F.pandas_udf(_SIZE)
 def image_size(head: pd.Series) -> pd.DataFrame:
     """Kind and size from the first bytes of a PNG, GIF, JPEG or WebP."""
 
