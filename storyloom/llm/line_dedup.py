@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACES, checkpoint
+from storyloom.llm.common import SPACES, checkpoint, written
 
 MIN_SITES = 10
 MIN_WORDS = 3
@@ -42,9 +42,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("_k1", "_k2", "site", "pos", place.alias("place"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 and the first place of each boilerplate line."""
-    lines = _lines(docs)
     sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("place").alias("first"))
     rated = sketches.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - 3 * ERROR) - 1)
     rated = checkpoint(rated)
@@ -56,8 +55,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     """docs with _lines (all lines), _left (places of those that stay) and _text (what is left)."""
-    found = boilerplate(docs, min_sites)
-    copies = _lines(docs).join(found, ["h1", "h2"]).where(F.col("place") != F.col("first"))
+    lines = written(_lines(docs), "line-keys")  # read three times
+    found = boilerplate(lines, min_sites)
+    copies = lines.join(found, ["h1", "h2"]).where(F.col("place") != F.col("first"))
     gone = copies.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone"))
     rows = _keyed(docs).join(gone, ["_k1", "_k2"], "left").withColumn("_lines", F.split("text", "\n"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
