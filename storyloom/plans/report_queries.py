@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from storyloom.operators import archive, graph, linking, ordering, reports, semantic, surfaces
 from storyloom.plans.registry import query
@@ -21,12 +22,12 @@ def generations(spark, sf_dir):
     old = orders.where(F.col("o_orderdate") < F.lit(SPLIT).cast("timestamp")).select(
         F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("timestamp").alias("first_seen"), F.col("o_orderdate").cast("timestamp").alias("last_modified")
     )
-    new = orders.where(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_totalprice").alias("price"))
+    new = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_totalprice").alias("price"))
     return old, new
 
 
 _GEN = f"""p AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS first_seen, o_orderdate AS last_modified FROM orders WHERE o_orderdate < TIMESTAMP '{SPLIT}'),
-c AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price, true AS live FROM orders WHERE o_orderkey % 3 <> 0)"""
+c AS (SELECT o_orderkey AS key, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price, true AS live FROM orders WHERE o_orderstatus <> 'P')"""
 
 
 @query(f"""WITH {_GEN}, j AS (SELECT key, c.live, p.first_seen, p.last_modified, p.status AS ps, c.status AS cs, p.price AS pp, c.price AS cp FROM p FULL JOIN c USING (key))
@@ -71,27 +72,30 @@ def source_union(spark, sf_dir):
     return out.select("key", "url", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS node, l_suppkey AS url FROM lineitem WHERE l_orderkey % 10 = 0), u AS (SELECT DISTINCT l_suppkey AS url, l_suppkey % 7 AS target FROM lineitem),
+@query("""WITH v AS (SELECT l_orderkey AS node, l_suppkey AS url FROM lineitem WHERE l_linestatus = 'F'), u AS (SELECT DISTINCT l_suppkey AS url, l_suppkey % 7 AS target FROM lineitem),
 n AS (SELECT node, target, count(*) AS votes FROM v JOIN u USING (url) GROUP BY ALL) SELECT node, target, votes FROM n QUALIFY row_number() OVER (PARTITION BY node ORDER BY votes DESC, target) = 1""")
 def merge_votes(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    vanished = lines.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("url"))
+    vanished = lines.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("url"))
     urls = lines.select(F.col("l_suppkey").alias("url"), (F.col("l_suppkey") % 7).alias("target")).distinct()
     return archive.merges(vanished, urls)
 
 
-@query("""SELECT c_custkey AS node, 10 * floor(c_custkey / 10)::BIGINT AS target FROM customer WHERE c_custkey % 10 <> 0""")
+def _chains(spark, sf_dir):
+    """Each order and the one before it of the same customer."""
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), before.alias("b")).where("b IS NOT NULL")
+
+
+@query("""SELECT o_orderkey AS node, f AS target FROM (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS f FROM orders) WHERE o_orderkey <> f""")
 def pointer_flatten(spark, sf_dir):
-    """Chains of merge pointers n -> n - 1 within tens, one hop each afterwards."""
-    keys = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
-    return graph.flatten_pointers(keys.select(F.col("c_custkey").alias("node"), (F.col("c_custkey") - 1).alias("target")))
+    """Chains of merge pointers, one hop each afterwards."""
+    return graph.flatten_pointers(_chains(spark, sf_dir).select(F.col("a").alias("node"), F.col("b").alias("target")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_suppkey AS b FROM lineitem WHERE l_orderkey % 40 = 0 AND l_linenumber = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a) SELECT node, min(reach) AS label FROM r GROUP BY node""")
+@query("""SELECT o_orderkey AS node, f AS label FROM (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS f, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1""")
 def connected_components(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0 AND l_linenumber = 1")
-    return graph.components(lines.select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
+    return graph.components(_chains(spark, sf_dir))
 
 
 @query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 20""")
@@ -151,11 +155,11 @@ def nearest_rank_p90(spark, sf_dir):
     return rows.groupBy("o_orderstatus").agg(F.expr("cast(percentile_disc(0.9) WITHIN GROUP (ORDER BY n) AS long)").alias("p90"), F.percentile("n", F.lit(0.5)).alias("median"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS story, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), c AS (SELECT l_suppkey AS k, count(*) AS a, count_if(n >= 2) AS m FROM lineitem JOIN s ON l_orderkey = story WHERE l_suppkey % 9 <> 0 GROUP BY 1)
+@query("""WITH s AS (SELECT l_orderkey AS story, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), c AS (SELECT l_suppkey AS k, count(*) AS a, count_if(n >= 2) AS m FROM lineitem JOIN s ON l_orderkey = story WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT s_suppkey, coalesce(a, 0) AS articles, coalesce(m, 0) AS shared, CASE WHEN coalesce(a, 0) = 0 THEN 0 ELSE floor(m / a * 1000 + 0.5) / 1000 END AS shared_rate,
  CASE WHEN coalesce(a, 0) = 0 THEN 0 ELSE floor(m / a * 1000 + 0.5) / 10 END AS shared_pct FROM supplier LEFT JOIN c ON k = s_suppkey""")
 def feed_value(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 <> 0").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_orderkey").alias("story"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_orderkey").alias("story"))
     stories = _counts(spark, sf_dir).select(F.col("l_orderkey").alias("story"), F.col("n").alias("source_count"))
     return reports.feed_value(table(spark, sf_dir, "supplier"), lines, stories, "s_suppkey")
 

@@ -130,10 +130,10 @@ def numeric_phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(text.numeric_phrases("text")), "|").alias("phrases"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 100), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM documents""")
+@query("""SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS escaped FROM documents""")
 def xml_escaped(spark, sf_dir):
-    """Escaped excerpts, as a feed writer emits them."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.xml_escape(F.substring("text", 1, 100)).alias("escaped"))
+    """Digests of the escaped texts, as a feed writer emits them."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.xml_escape("text").cast("binary"), 256).alias("escaped"))
 
 
 def _has(value: str, word: str) -> str:
