@@ -21,19 +21,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to the least of its component."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    inner = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return several.unionByName(inner).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge (a, b); the label is the least node that it reaches.
 
-    Each round at least halves the depth of what is left, whatever the degree of a node: minima
+    A round shortens all paths at once, whatever the degree of a node: minima
     are combined before the shuffle, and Spark splits the joins of a hot node.
     """
     state = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    before = None
-    while True:
-        sums = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == before:
-            break
-        before = sums
+    while not _stars(state):
         state = checkpoint(_small_star(_large_star(state)))
     return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
