@@ -10,15 +10,18 @@ document of it stands for all.
    of parts follows the size class of the smaller set; a set signs for its own class and, if
    a smaller partner can lie in the class below, for that one.  Sets that share a signature
    are chained, within a task before anything is shuffled, so that a signature reaches the
-   shuffle once a batch however many sets have it.  Connected chains are blocks: similar
+   shuffle once from so many, however many sets have it.  Connected chains are blocks: similar
    sets are always in one block.
-2. Prefix-tree join within blocks, in tasks of bounded size.  Sets in order of rarity meet
-   through the prefix filter; those that meet are stored in a radix tree, common n-grams
-   first, so that near copies share their paths.  A set's query walks down the tree, sharing
+2. Prefix filter.  Sets that are in a block with another have their n-grams counted, among all
+   such sets.  In order of rarity, similar sets share one of their first n-grams; sets that
+   share one and are close in size are chained as before.  Shared passages, which made blocks
+   large, are common and come last, so that what is left is near copies.
+3. Prefix-tree join within what the filter leaves together, in tasks of bounded size.  The sets
+   are stored in a radix tree, common n-grams first, so that near copies share their paths.  A set's query walks down the tree, sharing
    the overlap counted so far, and leaves a subtree when even its remaining length cannot
    reach the overlap that the threshold asks for.  Found sets leave the tree and are queried
    next, so a group costs one walk for each set rather than one for each pair.
-3. A block with more sets than a task takes is joined shard by shard.  One set of each group
+4. A block with more n-grams than a task takes is joined shard by shard.  One set of each group
    found is then joined across shards; last, what is not in a block's largest group meets
    every shard, so that no link between groups is lost.
 
@@ -46,10 +49,12 @@ from storyloom.llm.texts import LAST, doc_bucket, document_keys, packed, unpacke
 
 SHINGLE = 5
 LEAST, OF = 80, 100
-RATIO = 1.4
+RATIO = 1.25
 BUCKET_BYTES = 10_000_000
-#: Sets that one task joins at once, and bytes of their texts.
-SHARD = 20_000
+#: Signatures that a task chains before it sends them.
+HELD = 400_000
+#: N-grams that one task joins at once.
+SHARD = 1_500_000
 SIGNS, DOCS, EDGES = 0, 1, 2
 DOC = np.dtype([("doc", "<i8"), ("th", "<u4"), ("n", "<u4"), ("k", "<i8")])
 SCHEMA = "kind int, bucket int, blob binary"
@@ -155,6 +160,21 @@ def _rows(items: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i[0] for i in items], pa.int32()), pa.array([i[1] for i in items], pa.int32()), pa.array([i[2] for i in items], pa.binary())], ["kind", "bucket", "blob"])
 
 
+def _signed(sign: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Signatures with the least key of each, by bucket, and the edges to the other keys."""
+    got, least, edges = chained(sign, key)
+    items = [(EDGES, int(len(got)) % buckets, edges.astype("<i8").tobytes())]
+    bucket = (got % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort([least, bucket])
+    got, least, bucket = got[order], least[order], bucket[order]
+    for a, b in zip(*_runs(bucket)):
+        names, index = np.unique(least[a:b], return_inverse=True)
+        # 48 bits tell signatures of a bucket apart well enough: a clash only makes a block larger.
+        short = (got[a:b] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        items.append((SIGNS, int(bucket[a]), np.array([len(names), b - a], "<u4").tobytes() + names.astype("<i8").tobytes() + short.tobytes() + index.astype("<u4").tobytes()))
+    return _rows(items)
+
+
 def sign(docs: DataFrame, buckets: int) -> DataFrame:
     """Signatures by bucket, the classes of documents, and edges that a task finds by itself."""
 
@@ -162,32 +182,22 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             texts = column(batch, "text")
             ids, hashes = document_keys(batch, texts)
-            table = np.zeros(len(texts), DOC)
-            table["doc"], table["th"] = ids, hashes
-            signs, keys = [], []
+            signs, keys, held = [], [], 0
             for row, end, data, bounds in pieces(texts, PIECE_BYTES):
                 values, at = shingle_sets(data, bounds)
-                table["n"][row:end] = np.diff(at)
-                table["k"][row:end] = key = set_keys(values, at)
-                first = np.unique(key, return_index=True)[1]
+                table = np.zeros(end - row, DOC)
+                table["doc"], table["th"], table["n"] = ids[row:end], hashes[row:end], np.diff(at)
+                table["k"] = key = set_keys(values, at)
+                yield _rows([(DOCS, row // 64 % buckets, table.tobytes())])
                 one = np.zeros(len(key), bool)
-                one[first] = True
+                one[np.unique(key, return_index=True)[1]] = True
                 owner, got = signatures(values, at)
                 signs.append(got[one[owner]])
                 keys.append(key[owner[one[owner]]])
-            if not signs:
-                continue
-            got, least, edges = chained(np.concatenate(signs), np.concatenate(keys))
-            items = [(DOCS, int(ids[0] & 0xFFFF) % buckets, table.tobytes()), (EDGES, int(ids[0] & 0xFFFF) % buckets, edges.astype("<i8").tobytes())]
-            bucket = (got % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort([least, bucket])
-            got, least, bucket = got[order], least[order], bucket[order]
-            for a, b in zip(*_runs(bucket)):
-                names, index = np.unique(least[a:b], return_inverse=True)
-                # 48 bits tell signatures of a bucket apart well enough: a clash only makes a block larger.
-                short = (got[a:b] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                items.append((SIGNS, int(bucket[a]), np.array([len(names), b - a], "<u4").tobytes() + names.astype("<i8").tobytes() + short.tobytes() + index.astype("<u4").tobytes()))
-            yield _rows(items)
+                held += len(got)
+                if held > HELD or end == len(texts):
+                    yield _signed(np.concatenate(signs), np.concatenate(keys), buckets)
+                    signs, keys, held = [], [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -199,6 +209,111 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(values))
 
 
+def _blob(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns beside keys, the keys written once: number of keys, of rows, keys, indexes, columns."""
+    names, index = np.unique(keys, return_inverse=True)
+    return np.array([len(names), len(keys)], "<u4").tobytes() + names.astype("<i8").tobytes() + index.astype("<u4").tobytes() + b"".join(c.tobytes() for c in columns)
+
+
+def _unblob(blob, *kinds: str) -> list[np.ndarray]:
+    m, n = np.frombuffer(blob, "<u4", 2).tolist()
+    at = 8 + 8 * m
+    out = [np.frombuffer(blob, "<i8", m, 8)[np.frombuffer(blob, "<u4", n, at)]]
+    at += 4 * n
+    for kind in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
+def _split(bucket: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, columns = bucket[order], keys[order], [c[order] for c in columns]
+    rows = [(int(bucket[a]), _blob(keys[a:b], *(c[a:b] for c in columns))) for a, b in zip(*_runs(bucket))]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "found"])
+
+
+def _place(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _sets_of(keys: list[int], raw: list[bytes]):
+    """(keys, values, bounds) of some texts at a time."""
+    squeezed = pa.array(raw, pa.large_binary())
+    for row, end, data, bounds in pieces(squeezed, PIECE_BYTES):
+        values, at = shingle_sets(data, bounds)
+        yield np.array(keys[row:end], np.int64), values, at
+
+
+def _unzipped(column) -> list[bytes]:
+    return [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in column]
+
+
+BLOBS = "bucket int, found binary"
+
+
+def near_edges(members: DataFrame, buckets: int) -> DataFrame:
+    """Edges a, b between members (k, blob) that share one of their rarest n-grams and may be similar by size."""
+
+    def spell(batches):
+        for batch in batches:
+            for keys, values, at in _sets_of(batch.column(0).to_pylist(), _unzipped(batch.column(1))):
+                yield _split((values % np.uint64(buckets)).astype(np.int64), keys[row_of(at)], values)
+
+    def count(table):
+        keys, values = _joined([_unblob(b.as_buffer(), "<u8") for b in table.column("found").combine_chunks()])
+        order = np.argsort(values, kind="stable")
+        keys, values = keys[order], values[order]
+        begin, end = _runs(values)
+        often = np.repeat(end - begin, end - begin)
+        keys, values, often = keys[often > 1], values[often > 1], np.minimum(often[often > 1], 0xFFFFFFFF)
+        return pa.Table.from_batches([_split(_place(keys, buckets), keys, values, often.astype("<u4"))])
+
+    def prefix(left, right):
+        raw = dict(zip(left.column("k").to_pylist(), left.column("blob").to_pylist()))
+        if not raw or not right.num_rows:
+            return pa.Table.from_batches([_split(np.zeros(0, np.int64), np.zeros(0, np.int64))])
+        keys, values, often = _joined([_unblob(b.as_buffer(), "<u8", "<u4") for b in right.column("found").combine_chunks()])
+        order = np.lexsort([values, keys])
+        keys, values, often = keys[order], values[order], often[order]
+        begin, end = _runs(keys)
+        where = {int(keys[a]): (a, b) for a, b in zip(begin, end)}
+        out = [[], [], []]
+        for name, blob in raw.items():
+            span = where.get(name)
+            if span is None:
+                continue
+            text = pa.array([zstandard.ZstdDecompressor().decompress(blob)], pa.large_binary())
+            own = np.concatenate([shingle_sets(data, at)[0] for _, _, data, at in pieces(text, PIECE_BYTES)])
+            n = len(own)
+            rare = n - (span[1] - span[0])  # n-grams of no other member come first
+            take = max(0, n - -(-n * LEAST // OF) + 1 - rare)
+            some = np.lexsort([values[span[0] : span[1]], often[span[0] : span[1]]])[:take] + span[0]
+            out[0].append(np.full(len(some), name))
+            out[1].append(values[some])
+            out[2].append(np.full(len(some), n, "<u4"))
+        if not out[0]:
+            return pa.Table.from_batches([_split(np.zeros(0, np.int64), np.zeros(0, np.int64))])
+        keys, values, sizes = (np.concatenate(x) for x in out)
+        return pa.Table.from_batches([_split((values % np.uint64(buckets)).astype(np.int64), keys, values, sizes)])
+
+    def chain(table):
+        keys, values, sizes = _joined([_unblob(b.as_buffer(), "<u8", "<u4") for b in table.column("found").combine_chunks()])
+        order = np.lexsort([keys, sizes, values])
+        keys, values, sizes = keys[order], values[order], sizes[order].astype(np.int64)
+        close = (values[1:] == values[:-1]) & (OF * sizes[:-1] >= LEAST * sizes[1:])
+        pairs = np.unique(np.stack([keys[:-1], keys[1:]], axis=1)[close], axis=0).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    counted = members.select("k", "blob").mapInArrow(spell, BLOBS).groupBy("bucket").applyInArrow(count, BLOBS)
+    prefixes = members.select("place", "k", "blob").groupBy("place").cogroup(counted.groupBy("bucket")).applyInArrow(prefix, BLOBS)
+    return prefixes.groupBy("bucket").applyInArrow(chain, "a long, b long").where("a <> b")
+
+
 def block_edges(signed: DataFrame) -> DataFrame:
     def run(key, table):
         kind, blobs = key[0].as_py(), [b.as_buffer() for b in table.column("blob").combine_chunks()]
@@ -373,14 +488,13 @@ def join_units(units: DataFrame) -> DataFrame:
 
     def run(table):
         keys = table.column("k").to_numpy()
-        raw = [zstandard.ZstdDecompressor().decompress(b.as_py()) for b in table.column("blob").combine_chunks()]
         first = np.unique(keys, return_index=True)[1].tolist()
-        keys, texts = keys[first], pa.array([raw[i] for i in first], pa.large_binary())
+        keys, blobs = keys[first], table.column("blob")
         values, sizes = [], [0]
-        for _, _, data, bounds in pieces(texts, PIECE_BYTES):
-            got, at = shingle_sets(data, bounds)
-            values.append(got)
-            sizes += (np.diff(at)).tolist()
+        for at in range(0, len(first), 256):
+            for _, got, bounds in _sets_of(first[at : at + 256], _unzipped(blobs[i] for i in first[at : at + 256])):
+                values.append(got)
+                sizes += np.diff(bounds).tolist()
         links = linked(np.concatenate(values), np.cumsum(sizes))
         return pa.table({"a": pa.array([int(keys[a]) for a, _ in links], pa.int64()), "b": pa.array([int(keys[b]) for _, b in links], pa.int64())})
 
@@ -408,17 +522,17 @@ def _across(members: DataFrame, links: DataFrame, shard: int) -> DataFrame:
     """Links of the blocks that are joined in shards, between what their shards hold apart."""
     labels = components(links)
     named = lambda: members.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    heads = named().groupBy("block", "shard", "label").agg(F.min("k").alias("k"))
-    many = heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / shard).alias("parts"))
+    heads = named().groupBy("block", "shard", "label").agg(F.min_by("k", "k").alias("k"), F.min_by("n", "k").alias("n"))
+    many = heads.groupBy("block").agg(F.ceil(F.sum("n") / shard).alias("parts"))
     few = members.join(heads.join(many, "block").select("k", "parts"), "k").withColumn("unit", F.concat_ws("-", F.lit("h"), "block", F.pmod(F.xxhash64("k", F.lit(1)), "parts")))
     links = checkpoint(links.unionByName(join_units(few)))
     labels = components(links)
-    state = checkpoint(named().select("block", "shard", "k", "label"))
+    state = checkpoint(named().select("block", "shard", "k", "n", "label"))
     sizes = state.groupBy("block", "label").count().withColumn("nth", F.row_number().over(W.partitionBy("block").orderBy(F.desc("count"), "label")))
-    rest = state.join(sizes.where("nth > 1").select("block", "label"), ["block", "label"]).select("block", "k")
+    rest = state.join(sizes.where("nth > 1").select("block", "label"), ["block", "label"]).select("block", "k", "n")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1 << 20)))
-    counted = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / shard).alias("chunks"))
-    rest = checkpoint(rest.join(counted, "block").withColumn("chunk", F.col("part") % F.col("chunks")))
+    counted = rest.groupBy("block").agg(F.ceil(F.sum("n") / shard).alias("chunks"))
+    rest = checkpoint(rest.join(counted, "block").select("block", "k", (F.col("part") % F.col("chunks")).alias("chunk")))
     meets = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s")
     left = members.join(rest.select("k", "chunk"), "k").select("block", "k", "blob", "chunk", meets)
     right = members.join(counted, "block").select("block", "k", "blob", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("shard").alias("s"))
@@ -432,19 +546,24 @@ def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     buckets = 32 + int(size // BUCKET_BYTES)
     found = written(block_edges(sign(docs, buckets)), "ngram-blocks")
     classes = _read(found, DOCS)
-    blocks = checkpoint(components(_read(found, EDGES)))
-    sizes = blocks.groupBy(F.col("label").alias("block")).count()
-    reps = classes.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "th")).alias("at"))
-    members = reps.join(blocks.select(F.col("node").alias("k"), F.col("label").alias("block")), "k").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "k", "block")
-    fetched = fetch(_bucketed(members, buckets), packed(docs, buckets))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("count") / shard)).cast("long")
-    known = written(fetched.join(sizes, "block").select("block", "k", "blob", "count", shards.alias("shards"), (F.pmod(F.xxhash64("k"), F.lit(1 << 40)) % shards).alias("shard")), "ngram-members")
-    small = known.where("shards = 1").withColumn("unit", F.concat_ws("-", F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(buckets))))
-    large = known.where("shards > 1")
-    links = join_units(small.select("unit", "k", "blob").unionByName(large.withColumn("unit", F.concat_ws("-", F.lit("s"), "block", "shard")).select("unit", "k", "blob")))
-    links = checkpoint(links)
+    paired = _read(found, EDGES)
+    paired = paired.select(F.col("a").alias("k")).unionByName(paired.select(F.col("b").alias("k"))).distinct()
+    reps = classes.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "th")).alias("at"), F.max("n").alias("n"))
+    members = reps.join(paired, "k").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "k", F.col("n").alias("block"))
+    fetched = fetch(_bucketed(members, buckets), packed(docs, buckets)).withColumnRenamed("block", "n")
+    known = written(_placed(fetched, buckets), "ngram-members")
+    blocks = checkpoint(components(near_edges(known, buckets)))
+    sizes = blocks.withColumnRenamed("node", "k").join(known.select("k", "n"), "k").groupBy(F.col("label").alias("block")).agg(F.sum("n").alias("size"))
+    shards = F.ceil(F.col("size") / shard).cast("long")
+    named = blocks.select(F.col("node").alias("k"), F.col("label").alias("block")).join(sizes, "block").withColumn("shards", shards)
+    named = checkpoint(named.withColumn("shard", F.pmod(F.xxhash64("k"), F.col("shards"))))
+    total = named.where("shards = 1").join(known.select("k", "n"), "k").agg(F.sum("n")).first()[0] or 0
+    bags = 1 + 3 * int(total // shard)
+    unit = F.when(F.col("shards") == 1, F.concat_ws("-", F.lit("b"), F.pmod(F.xxhash64("block"), F.lit(bags)))).otherwise(F.concat_ws("-", F.lit("s"), "block", "shard"))
+    links = checkpoint(join_units(known.join(named.withColumn("unit", unit), "k").select("unit", "k", "blob")))
+    large = named.where("shards > 1")
     if not large.isEmpty():
-        links = _across(large, links, shard)
+        links = _across(known.join(large, "k"), links, shard)
     labels = components(links)
     named = classes.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     named = checkpoint(named.select("doc", "n", "label"))
@@ -454,6 +573,14 @@ def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     return joined.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"))
 
 
+def _placed(fetched: DataFrame, buckets: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column(1).to_numpy(), buckets).astype(np.int32)), *batch.columns], ["place", *batch.schema.names])
+
+    return fetched.mapInArrow(run, "place int, n long, k long, blob binary")
+
+
 def _bucketed(members: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
