@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.checkpoints import checkpoint, shared_folder
+
+__all__ = ["SPACES", "checkpoint", "documents", "same", "shared_folder", "text_of", "written"]
+
 #: The white space of all contracts: space, \t, \n, \v, \f and \r.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -20,23 +23,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; one of our own only where none is set."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="storyloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder."""
     spark = frame.sparkSession

@@ -1,38 +1,5 @@
-"""Connected components of an edge list, by alternating large and small stars."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from storyloom.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from storyloom.llm.common import checkpoint
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node with an edge (a, b); the label is the least node that it reaches.
-
-    Each round at least halves the depth of what is left, whatever the degree of a node: minima
-    are combined before the shuffle, and Spark splits the joins of a hot node.
-    """
-    state = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    before = None
-    while True:
-        sums = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == before:
-            break
-        before = sums
-        state = checkpoint(_small_star(_large_star(state)))
-    return state.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+__all__ = ["components"]

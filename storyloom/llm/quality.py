@@ -69,7 +69,6 @@ def _measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _steps() -> dict[str, Column]:
-    m = lambda name: F.col(f"_m.{name}")
     ratio = lambda a, b, by: F.expr(f"least({LONGEST}, _m.{a} * {by} div greatest(1, _m.{b}))")
     return {
         "symbols": ratio("n_symbols", "word_chars", 1000),
@@ -134,7 +133,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """The documents kept, with their columns. Texts are measured twice rather than written or shuffled."""
-    columns = [f"_in.{c}" for c in docs.columns]
+    columns = [F.col("_in")[c].alias(c) for c in docs.columns]
     packed = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_in"))
     limits = checkpoint(thresholds(_measures(docs, ["doc_id", "lang", "source"])))
     measured = _measures(packed, ["doc_id", "lang", "source", "_in"])
