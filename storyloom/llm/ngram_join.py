@@ -502,10 +502,10 @@ def join_units(units: DataFrame) -> DataFrame:
 
 
 def fetch(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(block, k, blob) of the members (bucket, doc, th, block, k): their texts, compressed."""
+    """(n, k, blob) of the members (bucket, doc, th, k, n): their texts, compressed."""
 
     def run(left, right):
-        wanted = dict(zip(zip(left.column("doc").to_pylist(), left.column("th").to_pylist()), zip(left.column("block").to_pylist(), left.column("k").to_pylist())))
+        wanted = dict(zip(zip(left.column("doc").to_pylist(), left.column("th").to_pylist()), zip(left.column("n").to_pylist(), left.column("k").to_pylist())))
         squeeze = zstandard.ZstdCompressor(level=1)
         out = [[], [], []]
         for _, doc, th, text in unpacked(right) if wanted else ():
@@ -513,9 +513,9 @@ def fetch(members: DataFrame, texts: DataFrame) -> DataFrame:
             if got:
                 for values, v in zip(out, (*got, squeeze.compress(text))):
                     values.append(v)
-        return pa.table({"block": pa.array(out[0], pa.int64()), "k": pa.array(out[1], pa.int64()), "blob": pa.array(out[2], pa.binary())})
+        return pa.table({"n": pa.array(out[0], pa.int64()), "k": pa.array(out[1], pa.int64()), "blob": pa.array(out[2], pa.binary())})
 
-    return members.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(run, "block long, k long, blob binary")
+    return members.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(run, "n long, k long, blob binary")
 
 
 def _across(members: DataFrame, links: DataFrame, shard: int) -> DataFrame:
@@ -549,8 +549,8 @@ def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     paired = _read(found, EDGES)
     paired = paired.select(F.col("a").alias("k")).unionByName(paired.select(F.col("b").alias("k"))).distinct()
     reps = classes.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "th")).alias("at"), F.max("n").alias("n"))
-    members = reps.join(paired, "k").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "k", F.col("n").alias("block"))
-    fetched = fetch(_bucketed(members, buckets), packed(docs, buckets)).withColumnRenamed("block", "n")
+    members = reps.join(paired, "k").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "k", "n")
+    fetched = fetch(_bucketed(members, buckets), packed(docs, buckets))
     known = written(_placed(fetched, buckets), "ngram-members")
     blocks = checkpoint(components(near_edges(known, buckets)))
     sizes = blocks.withColumnRenamed("node", "k").join(known.select("k", "n"), "k").groupBy(F.col("label").alias("block")).agg(F.sum("n").alias("size"))
@@ -586,7 +586,7 @@ def _bucketed(members: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(batch.column(0).to_numpy(), buckets).astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
 
-    return members.mapInArrow(run, "bucket int, doc long, th long, k long, block long")
+    return members.mapInArrow(run, "bucket int, doc long, th long, k long, n long")
 
 
 def apply(docs: DataFrame, shard: int = SHARD) -> DataFrame:
