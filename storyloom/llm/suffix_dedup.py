@@ -14,7 +14,7 @@ stretch) travel together.
 4. The ranges found meet their text, which is cut and hashed.
 
 Work is split by hashes of anchors and of documents into a number of buckets that grows with
-the text; a group of copies reaches a bucket as one stretch a batch at most.
+the text; a group of copies reaches a bucket as one stretch of so many at most.
 
 Order is by doc_id (null last), then the text's hash, then place.  Defined results: a null
 text is an empty one; rows with equal doc_id and text count as one document, and each gets its
@@ -46,6 +46,8 @@ RANGES, ASKS = 0, 1
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
 WINDOWS = 150_000
+#: Stretches that a task settles before it sends them.
+HELD = 300_000
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -128,16 +130,19 @@ def find(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             texts = column(batch, "text")
             ids, hashes = document_keys(batch, texts)
-            got = []
-            for row, _, data, bounds in pieces(texts, PIECE_BYTES):
+            got, held = [], 0
+            for row, end, data, bounds in pieces(texts, PIECE_BYTES):
                 at, lo, hi, anchor, fp, ctx = stretches(data, bounds)
                 out = np.zeros(len(at), STRETCH)
                 start = bounds[at]
                 for k, v in (("fp", fp), ("ctx", ctx), ("doc", ids[row + at]), ("th", hashes[row + at]), ("lo", lo - start), ("w", hi - lo), ("o", anchor - lo)):
                     out[k] = v
                 got.append(out)
-            if got:
+                held += len(out)
+                if held < HELD and end < len(texts):
+                    continue
                 first, ranges = settle(np.concatenate(got))
+                got, held = [], 0
                 first = first[np.lexsort([first["lo"], first["doc"]])]
                 ranges = merged(ranges)
                 items = [(ASKS, b, blob) for b, blob in parts(first, (first["fp"] % np.uint64(buckets)).astype(np.int64))]
