@@ -26,7 +26,9 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = range(5)
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings that the pattern of this vocabulary splits off.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
-CACHE_WORDS = 600_000
+#: Words and pairs that a worker remembers.
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 400_000
 
 
 def _classes() -> np.ndarray:
@@ -92,7 +94,7 @@ class Vocabulary:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known

@@ -34,6 +34,8 @@ from storyloom.llm.ragged import PIECE_BYTES, column, with_ends
 SEQUENCE = 1024
 ROUND = 64 * SEQUENCE
 QUEUES = 1000
+#: Documents whose pieces are made at once.
+LAID_OUT = 256
 END = 0
 
 
@@ -122,7 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     largest = docs.groupBy("source").count().orderBy(F.desc("count"), F.asc_nulls_first("source")).limit(QUEUES).collect()
     names = {r.source: i for i, r in enumerate(sorted(largest, key=lambda r: (r.source is not None, r.source)))}
     encoded = written(_encoded(docs, tokenizer, names), "packing-ids")
-    sums = encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
+    # Written, so that Spark knows its size and broadcasts it rather than shuffle the ids, unless it is large.
+    sums = written(encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum")), "packing-sums")
     found = {r.queue: r["total"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # QUEUES + 1 rows at most
     totals = [found.get(q, 0) for q in range(len(names) + 1)]
     if targets is None:
@@ -133,25 +136,28 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     before = F.coalesce(F.sum("sum").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = encoded.join(sums.select("queue", "part", before.alias("before")), ["queue", "part"])
 
+    def laid_out(rounds: Rounds, rows: pa.RecordBatch) -> pa.RecordBatch:
+        doc, queue, start, n, width, ids, base = (rows.column(i) for i in range(7))
+        take, out, every = [], [[] for _ in range(6)], []
+        for k, (q, s, b, size, w) in enumerate(zip(queue.to_pylist(), start.to_pylist(), base.to_pylist(), n.to_pylist(), width.to_pylist())):
+            raw = np.frombuffer(ids[k].as_buffer(), f"<u{w}").astype("<u4")
+            view = memoryview(raw).cast("B")
+            every.append(raw)
+            for at, length, place in rounds.pieces(q, s + b, size, SEQUENCE):
+                take.append(k)
+                for values, v in zip(out, (at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), size, place // SEQUENCE, place % SEQUENCE)):
+                    values.append(v)
+        columns = [doc.take(pa.array(take, pa.int64())), *(pa.array(v, pa.int64()) for v in out)]
+        if with_ids:  # the pieces of a document follow each other, and so do their ids
+            bounds = np.concatenate([[0], np.cumsum(out[1])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(every).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(columns)])
+
     def run(batches):
         rounds = Rounds(totals, shares, over)
         for batch in batches:
-            doc, queue, start, n, width, ids, base = (batch.column(i) for i in range(7))
-            take, out = [], [[] for _ in range(6)]
-            slices = []
-            for k, (q, s, b, size, w) in enumerate(zip(queue.to_pylist(), start.to_pylist(), base.to_pylist(), n.to_pylist(), width.to_pylist())):
-                raw = np.frombuffer(ids[k].as_buffer(), f"<u{w}").astype("<u4")
-                view = memoryview(raw).cast("B")
-                for at, length, place in rounds.pieces(q, s + b, size, SEQUENCE):
-                    take.append(k)
-                    for values, v in zip(out, (at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), size, place // SEQUENCE, place % SEQUENCE)):
-                        values.append(v)
-                    if with_ids:
-                        slices.append(raw[at : at + length].astype(np.int32))
-            columns = [doc.take(pa.array(take, pa.int64())), *(pa.array(v, pa.int64()) for v in out)]
-            if with_ids:
-                columns.append(pa.array(slices, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(columns)])
+            for first in range(0, batch.num_rows, LAID_OUT):
+                yield laid_out(rounds, batch.slice(first, LAID_OUT))
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return placed.select("doc_id", "queue", "start", "n", "width", "ids", "before").mapInArrow(run, schema)
