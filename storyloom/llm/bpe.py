@@ -27,8 +27,8 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: The endings that the pattern of this vocabulary splits off.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Words and pairs that a worker remembers.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 200_000
 
 
 def _classes() -> np.ndarray:
@@ -76,7 +76,7 @@ class Vocabulary:
             if len(token) < 2 or self.merged(token) == [i]:
                 self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left * size + right
         self.shorter: dict[int, int | None] = {}
 
     def merged(self, word: bytes) -> list[int]:
@@ -92,11 +92,12 @@ class Vocabulary:
         return parts
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        pair = left * self.size + right
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self.pairs[pair] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def next_shorter(self, token: int) -> int | None:
@@ -114,9 +115,10 @@ class Vocabulary:
     def encode_word(self, word: bytes) -> list[int]:
         text = word.decode("latin-1")
         tokens = [i for _, i in self.automaton.iter_long(text)]
-        pairs = self.pairs
-        for pair in zip(tokens, tokens[1:]):
-            if not (pairs[pair] if pair in pairs else self.compatible(*pair)):
+        pairs, size = self.pairs, self.size
+        for left, right in zip(tokens, tokens[1:]):
+            known = pairs.get(left * size + right)
+            if not (self.compatible(left, right) if known is None else known):
                 return self.backtrack(text)
         return tokens
 

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 
 from storyloom.llm.bpe import encoder
 from storyloom.llm.common import written
-from storyloom.llm.ragged import PIECE_BYTES, column, with_ends
+from storyloom.llm.ragged import PIECE_BYTES, column, give_back, with_ends
 
 SEQUENCE = 1024
 ROUND = 64 * SEQUENCE
@@ -93,12 +93,13 @@ def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int]) -> D
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
+        give_back()
         enc = encoder(tokenizer)
         width = 2 if enc.vocabulary.size <= 1 << 16 else 4
         part, used = TaskContext.get().partitionId(), np.zeros(len(names) + 1, np.int64)
         for batch in batches:
             queues = np.array([names.get(s, len(names)) for s in batch.column(2).to_pylist()], np.int64)
-            for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES):
+            for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES // 4):
                 ids, bounds = with_ends(ids, bounds, END)
                 raw, n = ids.astype(f"<u{width}").tobytes(), np.diff(bounds)
                 starts = np.zeros(end - row, np.int64)

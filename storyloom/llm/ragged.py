@@ -7,6 +7,7 @@ the length of the texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers outlive the stages that filled them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     h = h ^ (h >> np.uint64(30))
