@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 
-from storyloom.llm.ragged import expand, prefix_sums, span_hashes
+from storyloom.llm.ragged import expand, kept, prefix_sums, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE, SPECIAL = range(5)
 #: The code points with the property White_Space.
@@ -273,6 +273,7 @@ def room(array: np.ndarray, size: int) -> np.ndarray:
 
 
 _encoders: dict[str, Encoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:

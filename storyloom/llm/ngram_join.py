@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 
 from storyloom.llm.common import checkpoint, written
 from storyloom.llm.components import components
-from storyloom.llm.ragged import LOWER, PIECE_BYTES, column, expand, mix, pieces, prefix_sums, row_of, span_hashes, word_spans
+from storyloom.llm.ragged import LOWER, PIECE_BYTES, column, expand, give_back, mix, pieces, prefix_sums, row_of, span_hashes, word_spans
 from storyloom.llm.texts import LAST, doc_bucket, document_keys, packed, unpacked
 
 SHINGLE = 5
@@ -179,6 +179,7 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
     """Signatures by bucket, the classes of documents, and edges that a task finds by itself."""
 
     def run(batches):
+        give_back(kept_too=True)
         for batch in batches:
             texts = column(batch, "text")
             ids, hashes = document_keys(batch, texts)
@@ -260,6 +261,7 @@ def near_edges(members: DataFrame, buckets: int) -> DataFrame:
     """Edges a, b between members (k, blob) that share one of their rarest n-grams and may be similar by size."""
 
     def spell(batches):
+        give_back()
         for batch in batches:
             for keys, values, at in _sets_of(batch.column(0).to_pylist(), _unzipped(batch.column(1))):
                 yield _split((values % np.uint64(buckets)).astype(np.int64), keys[row_of(at)], values)

@@ -60,8 +60,18 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system: Python workers outlive the stages that filled them."""
+#: What a worker keeps between tasks and can make again.
+kept: list[dict] = [_powers]
+
+
+def give_back(kept_too: bool = False) -> None:
+    """Hand freed memory back to the system: Python workers outlive the stages that filled them.
+
+    kept_too: first drop what other stages left in the worker, such as encoders.
+    """
+    if kept_too:
+        for cache in kept:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim is not None:
