@@ -3,11 +3,14 @@
 Each document gets integer measures; ratios are read in thousandths, the mean word length in
 tenths.  Counts per language, source, measure and value form a mergeable quantile sketch (a
 histogram of fixed width: adding counts merges two of them, and a quantile is off by less than
-one step).  The sketches give quartiles per language and source; a source with few documents
-falls back on its language, a language with few documents on the whole corpus.  A measure fails
-beyond the fence ``q3 + 1.5 * max(q3 - q1, least)``, and for the word length also below the
-mirrored one.  Thresholds join back by language and source; a salt spreads a hot source where
-the table of thresholds is too large for Spark to broadcast.
+one step).  The sketches give two quantiles per language and source (QUANTILES); a source with
+few documents falls back on its language, a language with few documents on the whole corpus.  A
+measure fails beyond the fence ``high + 1.5 * max(high - low, FLOOR)``, and for the word length also
+below the mirrored one.  Most documents have no symbols, repeated lines or repeated words, so
+quartiles of these are 0 in most groups; their spread is taken from the median to the ninth
+decile.  In short texts a ratio says little, so a measure fails only where it also stands above
+FREE by count.  Thresholds join back by language and source; a salt spreads a hot source where the
+table of thresholds is too large for Spark to broadcast.
 
 Defined results: a null or empty text has no words and fails; a null lang or source is a
 group of its own.  Rows that repeat are judged alike, one by one.  An empty table gives an
@@ -23,7 +26,13 @@ from pyspark.sql import Window as W
 from storyloom.llm.common import SPACES, checkpoint, text_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: measure -> the least spread of its quartiles that counts, in steps; fences lie 1.5 spreads out.
+#: measure -> its low and high quantile, in twentieths; fences lie 1.5 spreads beyond.
+QUANTILES = {"symbols": (10, 18), "dup_lines": (10, 18), "repeats": (10, 18), "word_length": (5, 15)}
+#: The least spread that counts, in steps.
+FLOOR = 2
+#: measure -> what no document fails for: symbols, repeated lines, repeated words, characters beyond the fence.
+FREE = {"symbols": 2, "dup_lines": 2, "repeats": 20, "word_length": 50}
+#: The wide floors of sql(), which judge() no longer has.
 LEAST = {"symbols": 30, "dup_lines": 300, "repeats": 120, "word_length": 30}
 #: Documents that a group needs for thresholds of its own.
 ENOUGH = 50
@@ -99,18 +108,19 @@ def thresholds(measured: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*by, "measure", "step").agg(F.sum("n").alias("n"))
         upto = W.partitionBy(*by, "measure").orderBy("step")
         ranked = merged.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(W.partitionBy(*by, "measure")).alias("all"))
-        quartiles = ranked.groupBy(*by).agg(
+        quantiles = ranked.groupBy(*by).agg(
             F.max("all").alias(f"{level}_n"),
-            *(F.min(F.when((F.col("measure") == k) & (4 * F.col("upto") >= q * F.col("all")), F.col("step"))).alias(f"{level}_{k}_{q}") for k in steps for q in (1, 3)),
+            *(F.min(F.when((F.col("measure") == k) & (20 * F.col("upto") >= q * F.col("all")), F.col("step"))).alias(f"{level}_{k}_{q}") for k in steps for q in QUANTILES[k]),
         )
-        table = table.join(quartiles, by) if by else table.crossJoin(F.broadcast(quartiles))  # one row
+        table = table.join(quantiles, by) if by else table.crossJoin(F.broadcast(quantiles))  # one row
     pick = lambda k, q: F.when(F.col("s_n") >= ENOUGH, F.col(f"s_{k}_{q}")).when(F.col("l_n") >= ENOUGH, F.col(f"l_{k}_{q}")).otherwise(F.col(f"c_{k}_{q}"))
-    spread = lambda k: F.greatest(pick(k, 3) - pick(k, 1), F.lit(LEAST[k]))
+    low, high = lambda k: pick(k, QUANTILES[k][0]), lambda k: pick(k, QUANTILES[k][1])
+    spread = lambda k: F.greatest(high(k) - low(k), F.lit(FLOOR))
     return table.select(
         "_lang",
         "_source",
-        *((2 * pick(k, 3) + 3 * spread(k)).alias(f"high_{k}") for k in steps),
-        *((2 * pick(k, 1) - 3 * spread(k)).alias(f"low_{k}") for k in steps),
+        *((2 * high(k) + 3 * spread(k)).alias(f"high_{k}") for k in steps),
+        *((2 * low(k) - 3 * spread(k)).alias(f"low_{k}") for k in steps),
     )
 
 
@@ -118,7 +128,11 @@ def _judged(measured: DataFrame, keep: list[str], limits: DataFrame) -> DataFram
     """The columns kept, _m, and _kept."""
     salted = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     rows = measured.select(*keep, "_m", *_groups(), F.pmod(F.xxhash64("doc_id", F.col("_m.word_chars")), F.lit(SALTS)).cast("int").alias("_salt"))
-    within = [2 * v <= F.col(f"high_{k}") for k, v in _steps().items()] + [2 * _steps()["word_length"] >= F.col("low_word_length")]
+    counts = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
+    within = [(2 * _steps()[k] <= F.col(f"high_{k}")) | (F.col(f"_m.{n}") <= FREE[k]) for k, n in counts.items()]
+    # Fences of the word length are in twentieths of a character; beyond counts characters of the whole text.
+    chars, n, free = 20 * F.col("_m.word_chars"), F.col("_m.n_words"), 20 * FREE["word_length"]
+    within += [chars - F.col("high_word_length") * n <= free, F.col("low_word_length") * n - chars <= free]
     verdict = ~base_failed()
     for test in within:
         verdict = verdict & test

@@ -91,3 +91,17 @@ def test_quality_and_lines_and_copies_handle_odd_rows(spark):
     assert len(copies) == docs.count() and sum(r.kept for r in copies) == 6
     assert {r.group_size for r in copies if r.doc_id in (0, 1, 2)} == {3}
     assert exact_dedup.deduplicate(docs).columns == docs.columns
+
+
+def test_quality_fences_follow_the_corpus(spark):
+    """In a corpus free of symbols and repeats, a document with clearly more of them than the rest goes, below any wide floor."""
+    words = lambda i, n, start=0: " ".join(f"w{i:03d}{j:03d}" for j in range(start, start + n))
+    lines = lambda i, same: "\n".join(["one line that stands here"] * (same + 1) + [words(i, 9, 9 * k) for k in range(20 - same)])
+    clean = [(i, lines(i, 0)) for i in range(200)]
+    odd = [(1000, lines(500, 4)), (1001, words(501, 300) + " #" * 60), (1002, words(502, 250) + " " + " ".join([words(503, 20)] * 2))]
+    few = [(2000, words(504, 30) + " # *"), (2001, lines(505, 1))]
+    rows = [(i, text, "en", "s") for i, text in clean + odd + few]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert not any(judged[i].base_failed or judged[i].kept for i in (1000, 1001, 1002))
+    assert all(judged[i].kept for i, _ in clean + few)
