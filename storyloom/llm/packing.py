@@ -9,8 +9,10 @@ over windows and over partitions alike.  Rounds follow each other without gaps a
 sequences; documents are cut where a round or a sequence ends, and only the last sequence of all
 is not full.
 
-The ids are encoded once and written to the shared folder; the layout reads them back.  At most
-QUEUES sources, the largest by documents, have a queue of their own; all others share one.
+The ids are encoded once and written to the shared folder; the layout reads them back.  Every
+source has a queue of its own.  Up to QUEUES of them, each task works out the rounds from all
+totals; beyond, queues and what each round serves are tables, joined to the documents.  Both ways
+give the same layout.
 
 Defined results: a null text is an empty one and holds the end id alone; a null source is a
 source of its own.  Rows that repeat are packed one by one.  An empty table gives no pieces.
@@ -19,6 +21,7 @@ source of its own.  Rows that repeat are packed one by one.  An empty table give
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,10 @@ from storyloom.llm.ragged import PIECE_BYTES, column, give_back, with_ends
 
 SEQUENCE = 1024
 ROUND = 64 * SEQUENCE
+#: Sources whose totals a task holds; more go by tables.
 QUEUES = 1000
+#: Rounds whose running totals are made together.
+TOGETHER = 4096
 #: Documents whose pieces are made at once.
 LAID_OUT = 256
 END = 0
@@ -72,47 +78,102 @@ class Rounds:
 
     def pieces(self, queue: int, start: int, length: int, sequence: int) -> list[tuple[int, int, int]]:
         """(start in the document, length, place in the output) of a document's pieces."""
-        out, token, end = [], start, start + length
+        spans, token, end = [], start, start + length
         at = self.first_round(queue, start)
         while token < end:
-            upto = min(end, self.served(queue, at + 1))
-            place = self.starts(at)[queue] + token
-            while token < upto:
-                n = min(upto - token, sequence - place % sequence)
-                if out and out[-1][2] + out[-1][1] == place and place % sequence:
-                    out[-1] = (out[-1][0], out[-1][1] + n, out[-1][2])
-                else:
-                    out.append((token - start, n, place))
-                token, place = token + n, place + n
-            at += 1
-        return out
+            upto = max(token, min(end, self.served(queue, at + 1)))
+            if upto > token:
+                spans.append((token - start, upto - token, self.starts(at)[queue] + token))
+            token, at = upto, at + 1
+        return cut(spans, sequence)
+
+
+def cut(spans: list[tuple[int, int, int]], sequence: int) -> list[tuple[int, int, int]]:
+    """Spans of a document (start, length, place) cut where sequences end; neighbours within a sequence are one piece."""
+    out = []
+    for token, length, place in spans:
+        end = token + length
+        while token < end:
+            n = min(end - token, sequence - place % sequence)
+            if out and out[-1][2] + out[-1][1] == place and place % sequence:
+                out[-1] = (out[-1][0], out[-1][1] + n, out[-1][2])
+            else:
+                out.append((token, n, place))
+            token, place = token + n, place + n
+    return out
 
 
-def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int]) -> DataFrame:
-    """Documents with their ids, queue, part (the task), and start within queue and part."""
+def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | None) -> DataFrame:
+    """Documents with their ids, queue (a number by names, else the source's key), part (the task), and start within queue and part."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         give_back()
         enc = encoder(tokenizer)
         width = 2 if enc.vocabulary.size <= 1 << 16 else 4
-        part, used = TaskContext.get().partitionId(), np.zeros(len(names) + 1, np.int64)
+        part, used = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            queues = np.array([names.get(s, len(names)) for s in batch.column(2).to_pylist()], np.int64)
+            sources = batch.column(2).to_pylist()
+            queues = [names[s] for s in sources] if names is not None else ["" if s is None else f"={s}" for s in sources]
             for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES // 4):
                 ids, bounds = with_ends(ids, bounds, END)
                 raw, n = ids.astype(f"<u{width}").tobytes(), np.diff(bounds)
                 starts = np.zeros(end - row, np.int64)
-                for i, q in enumerate(queues[row:end].tolist()):
+                for i, q in enumerate(queues[row:end]):
                     starts[i] = used[q]
-                    used[q] += n[i]
+                    used[q] += int(n[i])
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(queues[row:end].astype(np.int32)), pa.array(np.full(end - row, part, np.int32)), pa.array(starts), pa.array(n), pa.array(np.full(end - row, width, np.int32)), blobs],
+                    [batch.column(0).slice(row, end - row), pa.array(queues[row:end], pa.int32() if names is not None else pa.string()), pa.array(np.full(end - row, part, np.int32)), pa.array(starts), pa.array(n), pa.array(np.full(end - row, width, np.int32)), blobs],
                     ["doc_id", "queue", "part", "start", "n", "width", "ids"],
                 )
 
-    return docs.select("doc_id", "text", "source").mapInArrow(run, f"doc_id {kind}, queue int, part int, start long, n long, width int, ids binary")
+    return docs.select("doc_id", "text", "source").mapInArrow(run, f"doc_id {kind}, queue {'string' if names is None else 'int'}, part int, start long, n long, width int, ids binary")
+
+
+def _by_tables(placed: DataFrame, sums: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """placed with spans: (start in the document, length, place in the output) by round, for any number of queues."""
+    spark = placed.sparkSession
+    queues = sums.groupBy("queue").agg(F.sum("sum").alias("total"))
+    if targets is None:
+        queues = queues.withColumn("weight", F.col("total"))
+    else:
+        given = [("" if s is None else f"={s}", round(1e6 * t) or 1) for s, t in targets.items()]
+        queues = queues.join(spark.createDataFrame(given, "queue string, weight long"), "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+    queues = written(queues, "packing-queues")
+    over = queues.agg(F.sum("weight")).first()[0] or 1
+
+    def turns(batches, whole: bool):
+        """The rounds that serve tokens start to end of a queue: (queue, start, round, first token, tokens)."""
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for q, total, weight, start, end in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                rounds, token = Rounds([total], [weight * ROUND], over), start
+                while token < end:
+                    at = rounds.first_round(0, token)
+                    upto = rounds.served(0, at + 1) if whole else min(end, rounds.served(0, at + 1))
+                    for values, v in zip(out, (q, start, at, token, upto - token)):
+                        values.append(v)
+                    token = upto
+                    if len(out[0]) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(v, pa.int64()) for v in out[1:])], ["queue", "at", "round", "token", "n"])
+                        out = [[] for _ in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(v, pa.int64()) for v in out[1:])], ["queue", "at", "round", "token", "n"])
+
+    schema = "queue string, at long, round long, token long, n long"
+    served = queues.repartition("queue").select("queue", "total", "weight", F.lit(0).cast("long").alias("start"), F.col("total").alias("end"))
+    served = written(served.mapInArrow(lambda b: turns(b, True), schema), "packing-rounds")
+    until = lambda by, order, value: F.coalesce(F.sum(value).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rounds = served.groupBy("round").agg(F.sum("n").alias("n")).withColumn("bucket", F.floor(F.col("round") / TOGETHER))
+    buckets = rounds.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", until([], "bucket", "n").alias("earlier"))
+    rounds = rounds.withColumn("inside", until(["bucket"], "round", "n")).join(buckets, "bucket").select("round", (F.col("earlier") + F.col("inside")).alias("opens"))
+    starts = served.withColumn("inside", until(["round"], "queue", "n")).join(rounds, "round")
+    starts = starts.select("queue", "round", (F.col("opens") + F.col("inside") - F.col("token")).alias("shift"))
+    # A document is known by its queue and its first token there.
+    keys = placed.select("queue", (F.col("start") + F.col("before")).alias("first"), "n").join(queues, "queue")
+    spans = keys.select("queue", "total", "weight", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end")).mapInArrow(lambda b: turns(b, False), schema)
+    spans = spans.join(starts, ["queue", "round"]).groupBy("queue", "at").agg(F.sort_array(F.collect_list(F.struct((F.col("token") - F.col("at")).alias("start"), "n", (F.col("token") + F.col("shift")).alias("place")))).alias("spans"))
+    return placed.withColumn("at", F.col("start") + F.col("before")).join(spans, ["queue", "at"])
 
 
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
@@ -122,29 +183,34 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     all queues last to the end.  A queue that runs dry leaves its time to the others.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    largest = docs.groupBy("source").count().orderBy(F.desc("count"), F.asc_nulls_first("source")).limit(QUEUES).collect()
-    names = {r.source: i for i, r in enumerate(sorted(largest, key=lambda r: (r.source is not None, r.source)))}
+    sources = [r.source for r in docs.select("source").distinct().limit(QUEUES + 1).collect()]
+    names = {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is not None, s)))} if len(sources) <= QUEUES else None
     encoded = written(_encoded(docs, tokenizer, names), "packing-ids")
     # Written, so that Spark knows its size and broadcasts it rather than shuffle the ids, unless it is large.
     sums = written(encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum")), "packing-sums")
-    found = {r.queue: r["total"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # QUEUES + 1 rows at most
-    totals = [found.get(q, 0) for q in range(len(names) + 1)]
-    if targets is None:
-        shares, over = [t * ROUND for t in totals], max(1, sum(totals))
-    else:
-        weights = [round(1e6 * targets.get(s, 0)) or 1 for s, _ in sorted(names.items(), key=lambda x: x[1])] + [1]
-        shares, over = [x * ROUND for x in weights], sum(weights)
     before = F.coalesce(F.sum("sum").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = encoded.join(sums.select("queue", "part", before.alias("before")), ["queue", "part"])
+    columns = ["doc_id", "queue", "start", "n", "width", "ids", "before"]
+    if names is None:
+        placed = _by_tables(placed, sums, targets).select(*columns, "spans")
+        totals, shares, over = [], [], 1
+    else:
+        placed = placed.select(*columns)
+        found = {r.queue: r["total"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # QUEUES rows at most
+        totals = [found.get(q, 0) for q in range(len(names))]
+        weights = totals if targets is None else [round(1e6 * targets.get(s, 0)) or 1 for s in names]
+        shares, over = [x * ROUND for x in weights], max(1, sum(weights))
 
     def laid_out(rounds: Rounds, rows: pa.RecordBatch) -> pa.RecordBatch:
         doc, queue, start, n, width, ids, base = (rows.column(i) for i in range(7))
+        spans = rows.column(7).to_pylist() if names is None else None
         take, out, every = [], [[] for _ in range(6)], []
         for k, (q, s, b, size, w) in enumerate(zip(queue.to_pylist(), start.to_pylist(), base.to_pylist(), n.to_pylist(), width.to_pylist())):
             raw = np.frombuffer(ids[k].as_buffer(), f"<u{w}").astype("<u4")
             view = memoryview(raw).cast("B")
             every.append(raw)
-            for at, length, place in rounds.pieces(q, s + b, size, SEQUENCE):
+            pieces = rounds.pieces(q, s + b, size, SEQUENCE) if spans is None else cut([(x["start"], x["n"], x["place"]) for x in spans[k]], SEQUENCE)
+            for at, length, place in pieces:
                 take.append(k)
                 for values, v in zip(out, (at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), size, place // SEQUENCE, place % SEQUENCE)):
                     values.append(v)
@@ -161,4 +227,4 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
                 yield laid_out(rounds, batch.slice(first, LAID_OUT))
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return placed.select("doc_id", "queue", "start", "n", "width", "ids", "before").mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)

@@ -132,6 +132,22 @@ def test_rounds_are_a_partition(totals, shares, over):
             assert sum(n for _, n, _ in rounds.pieces(q, t - 5000, 5000, 1024)) == 5000
 
 
+def test_packing_gives_every_source_its_queue(spark, monkeypatch):
+    """Targets hold for sources beyond those whose totals a task holds, and tables give the layout that tasks work out."""
+    rows = [(i, "word " * (40 if i % 5 else 900), None if i % 5 == 4 else f"s{i % 5}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    monkeypatch.setattr(packing, "ROUND", 4 * packing.SEQUENCE)
+    for targets in (None, {"s0": 0.5, "s3": 0.25, "s1": 0.25}):
+        monkeypatch.setattr(packing, "QUEUES", 1000)
+        want = packing.pack(docs, PATH, targets, with_ids=True).collect()
+        monkeypatch.setattr(packing, "QUEUES", 2)
+        got = packing.pack(docs, PATH, targets, with_ids=True).collect()
+        check_packing(docs, got)
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    first = sum(r.length for r in got if r.doc_id % 5 == 0 and r.sequence_id < 4) / (4 * packing.SEQUENCE)
+    assert abs(first - 0.5) < 0.01
+
+
 def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert codec.digests(docs, PATH).collect() == []
