@@ -6,8 +6,19 @@ is, merging the bytes of the pair alone leaves the pair.  Where a longest match
 its left neighbour, the encoder tries shorter tokens and then steps back; places that are known
 to lead nowhere are marked, so that each is tried once.
 
-Words are told apart by 64-bit hashes of their bytes; each distinct word is encoded once while
-it stays in a cache of bounded size, and the ids of whole batches are gathered with NumPy.
+Every byte is a token, so that a search for longest matches never follows a failure link of the
+automaton and needs its goto function alone.  That is one table of (node, byte), and what is
+known of pairs is another; both answer whole arrays.  All short words of a batch take their
+steps at the same time, one array operation for each; long ones go one by one.
+
+Compatibility is read from the merges: two tokens are undone along their common border, latest
+merge first, and fit if at no moment a merge over the border would have come first.
+
+Each distinct word of a batch is encoded once.  Words are grouped by 64-bit hashes, and the bytes
+of each are compared with those of its group, so that words that only hash alike stay apart.
+
+A vocabulary must have every byte as a token, and merges in the order of training: one for each
+token, after those of its parts.  Others are refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -26,18 +37,18 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = range(5)
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings that the pattern of this vocabulary splits off.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
-#: Words and pairs that a worker remembers.
-CACHE_WORDS = 150_000
-CACHE_PAIRS = 200_000
+#: Words of more bytes are encoded one by one.
+SHORT = 48
+#: Places of the table of pairs; a pair may take another's place.
+PAIRS = 1 << 18
+#: No letters or numbers beyond: the planes above 3 hold none.
+PLANES = 0x40000
 
 
 def _classes() -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
     kinds = {"L": LETTER, "N": NUMBER}
-    for point in range(0x110000):
-        kind = kinds.get(unicodedata.category(chr(point))[0])
-        if kind is not None:
-            table[point] = kind
+    table[:PLANES] = [kinds.get(unicodedata.category(chr(point))[0], OTHER) for point in range(PLANES)]
     table[list(WHITE_SPACE)] = SPACE
     return table
 
@@ -49,8 +60,40 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """Open addressing from keys (distinct, below 2 ** 40) to numbers below 2 ** 22, for whole arrays of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.entries = np.full(1 << bits, -1, np.int64)  # key and value in one number
+        slot, entries = self._slot(keys), keys << 22 | values
+        while len(entries):
+            free = self.entries[slot] < 0
+            self.entries[slot[free]] = entries[free]
+            left = self.entries[slot] != entries
+            entries, slot = entries[left], slot[left] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of the keys, -1 where there is none."""
+        slot = self._slot(keys)
+        found = self.entries[slot]
+        out = np.where(found >> 22 == keys, found & 0x3FFFFF, -1)
+        left = np.flatnonzero((out < 0) & (found >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            found = self.entries[slot[left]]
+            hit = found >> 22 == keys[left]
+            out[left[hit]] = found[hit] & 0x3FFFFF
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Vocabulary:
-    """Tokens as bytes, merge ranks, the automaton and the pair table."""
+    """Tokens as bytes, merges, the automaton and the pair table."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -61,8 +104,6 @@ class Vocabulary:
         names = {t["content"] for t in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in names}
         self.size = 1 + max([*self.ids.values(), *self.special.values()])
-        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(self.ids[raw(a)], self.ids[raw(b)]): (rank, self.ids[raw(a + b)]) for rank, (a, b) in enumerate(merges)}
         tokens = [b""] * self.size
         for token, i in [*self.ids.items(), *self.special.items()]:
             tokens[i] = token
@@ -71,75 +112,175 @@ class Vocabulary:
         self.token_length = np.array(self.lengths, np.int64)
         self.token_start = np.concatenate([[0], np.cumsum(self.token_length)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._merges([[raw(x) for x in (m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]])
+        self._automaton()
+
+    def _merges(self, merges: list[list[bytes]]) -> None:
+        """The merge that makes each token: its rank (-1 for a byte) and its two parts."""
+        left, right, made = (np.array([self.ids[x] for x in column], np.int64) for column in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
+        self.rank = np.full(self.size, -1, np.int64)
+        self.rank[made] = ranks = np.arange(len(merges))
+        if len(np.unique(made)) < len(made) or (self.rank[left] >= ranks).any() or (self.rank[right] >= ranks).any():
+            raise ValueError("merges are not in the order of training")
+        if not all(bytes([b]) in self.ids for b in range(256)):
+            raise ValueError("not every byte is a token")
+        self.left, self.right = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        self.left[made], self.right[made] = left, right
+        self.merged = Table(left * self.size + right, ranks)
+        self.known = np.full(PAIRS, -2, np.int64)  # 2 * pair + whether it fits
+        # A token is the encoding of its own bytes if it is a byte, or its parts are and fit until their merge.
+        self.whole = self.rank < 0
+        self.whole[made] = self._undone(left, right, ranks, ranks)
+        for i in made.tolist():
+            self.whole[i] &= self.whole[self.left[i]] and self.whole[self.right[i]]
+
+    def _automaton(self) -> None:
+        """The goto function: (node, byte) to node. Nodes have a token or not; of tokens, the longest proper prefix is kept."""
+        words = [(t, i) for t, i in self.ids.items() if self.whole[i]]
+        ids, size = np.array([i for _, i in words]), np.array([len(t) for t, _ in words])
+        width = int(size.max())
+        letters = np.frombuffer(b"".join(t.ljust(width, b"\0") for t, _ in words), np.uint8).reshape(-1, width)
+        node, above = np.zeros(len(words), np.int64), np.full(1, -1, np.int64)
+        self.token = np.full(1, -1, np.int64)
+        edges, children = [], []
+        for depth in range(width):
+            some = np.flatnonzero(size > depth)
+            keys, place = np.unique(node[some] << 8 | letters[some, depth], return_inverse=True)
+            first = len(self.token)
+            node[some] = first + place
+            parent = keys >> 8
+            above = np.append(above, np.where(self.token[parent] >= 0, self.token[parent], above[parent]))
+            self.token = np.append(self.token, np.full(len(keys), -1))
+            ends = some[size[some] == depth + 1]
+            self.token[node[ends]] = ids[ends]
+            edges.append(keys)
+            children.append(first + np.arange(len(keys)))
+        self.goto = Table(np.concatenate(edges), np.concatenate(children))
+        self.root = self.goto.get(np.arange(256))
+        self.shorter = np.full(self.size, -1, np.int64)
+        self.shorter[ids] = above[node]
         self.automaton = ahocorasick.Automaton()
-        for token, i in self.ids.items():
-            if len(token) < 2 or self.merged(token) == [i]:
-                self.automaton.add_word(token.decode("latin-1"), i)
+        for token, i in words:
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}  # by left * size + right
-        self.shorter: dict[int, int | None] = {}
-
-    def merged(self, word: bytes) -> list[int]:
-        """Plain merging, lowest rank first: for pairs and single tokens only."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            found = min((ranks[p][0], k) for k, p in enumerate(zip(parts, parts[1:])) if p in ranks) if any(p in ranks for p in zip(parts, parts[1:])) else None
-            if found is None:
-                break
-            k = found[1]
-            parts[k : k + 2] = [ranks[parts[k], parts[k + 1]][1]]
-        return parts
+        self.longest_token = width
+
+    def _undone(self, left: np.ndarray, right: np.ndarray, before_left: np.ndarray, before_right: np.ndarray) -> np.ndarray:
+        """Whether no merge over the border comes before the merges (ranks) that are to take left and right next; of equal ranks the left one goes first."""
+        fit = np.ones(len(left), bool)
+        at = np.arange(len(left))
+        a, b, before_a, before_b = left, right, before_left, before_right
+        while len(at):
+            over = self.merged.get(a * self.size + b)
+            spoils = (over >= 0) & (over < before_a) & (over <= before_b)
+            fit[at[spoils]] = False
+            rank_a, rank_b = self.rank[a], self.rank[b]
+            of_left = rank_a > rank_b
+            before_a, before_b = np.where(of_left, rank_a, before_a), np.where(of_left, before_b, rank_b)
+            a, b = np.where(of_left, self.right[a], a), np.where(of_left, b, self.left[b])
+            go = ~spoils & ((rank_a >= 0) | (rank_b >= 0))
+            at, a, b, before_a, before_b = (x[go] for x in (at, a, b, before_a, before_b))
+        return fit
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pairs of tokens are compatible."""
+        pair = left * self.size + right
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & PAIRS - 1
+        known = self.known[slot]
+        new = np.flatnonzero(known >> 1 != pair)
+        if len(new):
+            never = np.full(len(new), 1 << 62)
+            known[new] = self.known[slot[new]] = 2 * pair[new] + self._undone(left[new], right[new], never, never)
+        return (known & 1).astype(bool)
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = left * self.size + right
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
-
-    def next_shorter(self, token: int) -> int | None:
-        """The longest token that is a proper prefix of this one."""
-        if token not in self.shorter:
-            name, found = self.tokens[token], None
-            for end in range(len(name) - 1, 0, -1):
-                key = name[:end].decode("latin-1")
-                if key in self.automaton:
-                    found = self.automaton.get(key)
-                    break
-            self.shorter[token] = found
-        return self.shorter[token]
+        return bool(self.fits(np.array([left]), np.array([right]))[0])
+
+    def longest(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest token that stands at each place, before its end."""
+        node = self.root[data[at]]
+        best = self.token[node]
+        who = np.flatnonzero(at + 1 < end)
+        place, node = at[who] + 1, node[who]
+        while len(who):
+            node = self.goto.get(node << 8 | data[place])
+            more = np.flatnonzero(node >= 0)
+            who, place, node = who[more], place[more] + 1, node[more]
+            token = self.token[node]
+            named = np.flatnonzero(token >= 0)
+            best[who[named]] = token[named]
+            more = np.flatnonzero(place < end[who])
+            who, place, node = who[more], place[more], node[more]
+        return best
+
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word)."""
+        size = ends - starts
+        base = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int64)  # a word's tokens stand from its base on
+        depth = np.zeros(len(starts), np.int64)
+        for k in np.flatnonzero(size > SHORT).tolist():
+            ids = self.encode_word(data[starts[k] : ends[k]].tobytes())
+            out[base[k] : base[k] + len(ids)] = ids
+            depth[k] = len(ids)
+        dead = np.zeros(len(out) + 1, bool)
+        who = np.flatnonzero(size <= SHORT)
+        at, end, shift = starts[who], ends[who], (base - starts)[who]
+        token = self.longest(data, at, end)
+        while len(who):
+            has = token >= 0
+            stop = at + self.token_length[token]
+            ok = has & ~dead[np.where(has, stop + shift, 0)]
+            top = base[who] + depth[who]
+            second = np.flatnonzero(ok & (depth[who] > 0))
+            ok[second] = self.fits(out[top[second] - 1], token[second])
+            out[top[ok]] = token[ok]
+            depth[who[ok]] += 1
+            at = np.where(ok, stop, at)
+            # Where no token fits, take back the last one and go on with a shorter one in its place.
+            back = np.flatnonzero(~has)
+            if len(back):
+                dead[at[back] + shift[back]] = True
+                token[back] = out[top[back] - 1]
+                depth[who[back]] -= 1
+                at[back] -= self.token_length[token[back]]
+            token = np.where(ok, token, self.shorter[token])
+            left = ~ok | (at < end)
+            if not left.all():
+                who, at, end, shift, token, ok = (x[left] for x in (who, at, end, shift, token, ok))
+            go = np.flatnonzero(ok)
+            token[go] = self.longest(data, at[go], end[go])
+        return out[expand(base, depth)], depth
 
     def encode_word(self, word: bytes) -> list[int]:
+        """The ids of one word, of any length."""
         text = word.decode("latin-1")
         tokens = [i for _, i in self.automaton.iter_long(text)]
-        pairs, size = self.pairs, self.size
-        for left, right in zip(tokens, tokens[1:]):
-            known = pairs.get(left * size + right)
-            if not (self.compatible(left, right) if known is None else known):
-                return self.backtrack(text)
-        return tokens
-
-    def backtrack(self, text: str) -> list[int]:
-        longest = lambda at: next(self.automaton.iter_long(text[at : at + 256]))[1] if at < len(text) else None
-        lengths, out, dead, at = self.lengths, [], set(), 0
-        token = longest(0)
-        while token is not None:
-            while token is not None:
-                end = at + lengths[token]
-                if end not in dead and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.next_shorter(token)
-            if token is not None:
-                out.append(token)
-                at = end
-                token = longest(at)
-            else:  # no token fits here: take back the last one and go on with a shorter one in its place
-                dead.add(at)
-                token = out.pop()
-                at -= lengths[token]
+        pairs = np.array(tokens, np.int64)
+        wrong = np.flatnonzero(~self.fits(pairs[:-1], pairs[1:]))
+        return self.backtrack(text, tokens[: int(wrong[0]) + 1]) if len(wrong) else tokens
+
+    def backtrack(self, text: str, out: list[int]) -> list[int]:
+        """The ids of a word whose first ids are known."""
+        lengths, shorter, reach, n = self.lengths, self.shorter, self.longest_token, len(text)
+        at, dead, seen = sum(lengths[i] for i in out), set(), {}
+        while at < n:
+            token = next(self.automaton.iter_long(text[at : at + reach]))[1]
+            while True:
+                if token < 0:  # no token fits here: take back the last one and go on with a shorter one in its place
+                    dead.add(at)
+                    token = out.pop()
+                    at -= lengths[token]
+                elif at + lengths[token] not in dead:
+                    pair = (out[-1], token) if out else None
+                    fit = seen.get(pair) if out else True
+                    if fit is None:
+                        fit = seen[pair] = self.compatible(*pair)
+                    if fit:
+                        break
+                token = int(shorter[token])
+            out.append(token)
+            at += lengths[token]
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -153,14 +294,6 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.classes = _classes()
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[int, int] = {}
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, np.int32)
-        self.used = 0
 
     def byte_classes(self, data: np.ndarray) -> np.ndarray:
         """The class of the character that each byte belongs to."""
@@ -223,39 +356,21 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
-        keys, first, place = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
-        known = self.lookup(data, keys, starts[first], ends[first])[place]
-        counts = self.count[known]
-        ids = self.pool[expand(self.start[known], counts)]
+        first, place = distinct(data, starts, ends)
+        known, counts = self.vocabulary.encode_words(data, starts[first], ends[first])
+        where = np.cumsum(counts) - counts
+        known = known.astype(np.int32)
+        for name, i in self.vocabulary.special.items():
+            if data.tobytes().find(name) >= 0:
+                size = ends[first] - starts[first]
+                for k in np.flatnonzero(size == len(name)).tolist():
+                    if data[starts[first[k]] : ends[first[k]]].tobytes() == name:
+                        known[where[k]], counts[k] = i, 1
+        counts = counts[place]
+        ids = known[expand(where[place], counts)]
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[np.searchsorted(starts, bounds)]
 
-    def lookup(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.index) + len(keys) > CACHE_WORDS and self.index:
-            self.forget()
-        index, vocabulary = self.index, self.vocabulary
-        found = [index.get(k, -1) for k in keys.tolist()]
-        out = np.array(found, np.int64)
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            ids: list[int] = []
-            counts = np.zeros(len(missing), np.int64)
-            raw, special = data.tobytes(), vocabulary.special
-            for k, (a, b) in enumerate(zip(starts[missing].tolist(), ends[missing].tolist())):
-                word = raw[a:b]
-                got = [special[word]] if word in special else vocabulary.encode_word(word)
-                ids += got
-                counts[k] = len(got)
-            base, new = len(index), len(missing)
-            self.start, self.count, self.pool = (room(x, size) for x, size in ((self.start, base + new), (self.count, base + new), (self.pool, self.used + len(ids))))
-            self.count[base : base + new] = counts
-            self.start[base : base + new] = self.used + np.cumsum(counts) - counts
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            out[missing] = np.arange(base, base + new)
-            index.update(zip(keys[missing].tolist(), range(base, base + new)))
-        return out
-
     def batches(self, texts, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds) of an Arrow column, piece by piece."""
         from storyloom.llm.ragged import pieces
@@ -264,12 +379,18 @@ class Encoder:
             yield row, end, *self.encode(data, bounds)
 
 
-def room(array: np.ndarray, size: int) -> np.ndarray:
-    if size <= len(array):
-        return array
-    out = np.zeros(max(size, 2 * len(array)), array.dtype)
-    out[: len(array)] = array
-    return out
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each kind of words, kind of each word). The words follow each other without gaps."""
+    size = ends - starts
+    _, first, place = np.unique(span_hashes(prefix_sums(data), starts, ends), return_index=True, return_inverse=True)
+    model = first[place]
+    model = np.where(size[model] == size, model, np.arange(len(size)))
+    wrong = np.flatnonzero(data[starts[0] : ends[-1]] != data[expand(starts[model], size)]) + starts[0]
+    apart = np.unique(np.concatenate([np.searchsorted(starts, wrong, "right") - 1, np.flatnonzero(model != first[place])]))
+    if len(apart):  # they only hash like the first of their kind
+        place[apart] = len(first) + np.arange(len(apart))
+        first = np.concatenate([first, apart])
+    return first, place
 
 
 _encoders: dict[str, Encoder] = {}

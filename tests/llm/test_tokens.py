@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -53,7 +54,38 @@ def test_incompatible_pairs_step_back():
     for _ in range(3000):
         word = bytes(rng.choice(b"aeinorst") for _ in range(rng.randint(1, 24)))
         assert vocabulary.encode_word(word) == ids_of(word.decode())
-        assert vocabulary.backtrack(word.decode()) == ids_of(word.decode())
+        assert vocabulary.backtrack(word.decode(), []) == ids_of(word.decode())
+        got, counts = vocabulary.encode_words(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+        assert got.tolist() == ids_of(word.decode()) and counts.tolist() == [len(got)]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_hash_alike_stay_apart(size):
+    """Polynomials modulo 2 ** 64 give the Thue-Morse word and its complement one hash."""
+    ones = [bin(i).count("1") % 2 for i in range(size)]
+    words = ["".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones), "".join("ab"[x] for x in ones)]
+    raw = "".join(words).encode()
+    bounds = np.arange(4) * size
+    ids, at = encoder(PATH).encode(np.frombuffer(raw, np.uint8), bounds)
+    for k, word in enumerate(words):
+        assert ids[at[k] : at[k + 1]].tolist() == ids_of(word)
+    assert encoder(PATH).vocabulary.decode(ids).tobytes() == raw
+
+
+def test_lengths_around_the_switch():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeinorst日1") for _ in range(n)) for n in range(30, 70) for _ in range(5)]
+    raw = [w.encode() for w in words]
+    ids, at = encoder(PATH).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(w) for w in words]
+
+
+def test_merges_out_of_order_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    (tmp_path / "odd.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="order of training"):
+        encoder(str(tmp_path / "odd.json"))
 
 
 @pytest.mark.parametrize("gaps", [[0], [5, 0, 0, 7], [1] * 300, [0] * 200, [10**6, 3, 10**9]])
