@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.checkpoints import checkpoint, shared_folder
 
-__all__ = ["SPACES", "checkpoint", "documents", "same", "shared_folder", "text_of", "written"]
+__all__ = ["SPACES", "checkpoint", "documents", "named", "same", "shared_folder", "text_of", "written"]
 
 #: The white space of all contracts: space, \t, \n, \v, \f and \r.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -8,8 +8,11 @@ tokens, the JSON header of a web token, the frame of a private key.
 
 Everything runs on UTF-8 bytes, where ASCII patterns match as they do on characters; places
 are returned in code points.  Defined results: a null text is an empty one and has no spans;
-overlapping spans of different kinds all count, of one kind the leftmost.  Rows that repeat
-are scanned one by one.  An empty table gives an empty result.
+overlapping spans of different kinds all count, of one kind the leftmost.  A text of any length
+is scanned whole, in time that grows with its length; a web token whose header is nested too
+deeply to be read is none.  Rows that repeat are scanned one by one; a null doc_id stays null.  An
+empty table gives an empty result.  scan() reads no columns but doc_id and text; redact() hands
+on all others as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 VENDOR = re.compile(rb"(?:gh[pousr]|npm)_(?P<body>[A-Za-z0-9]{30})(?P<sum>[A-Za-z0-9]{6})(?![A-Za-z0-9])")
+WEB_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 WEB = re.compile(rb"(?P<head>eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 KEY = re.compile(rb"-----BEGIN (?P<name>[A-Z ]{0,40}PRIVATE KEY)-----")
 KEYWORDS = {
@@ -63,9 +67,10 @@ def _summed(match: re.Match) -> bool:
 def _header(match: re.Match) -> bool:
     head = match["head"]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (binascii.Error, ValueError, TypeError):
+        header = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
+    except (binascii.Error, ValueError, RecursionError):
         return False
+    return isinstance(header, dict) and "alg" in header
 
 
 TESTS = {
@@ -91,17 +96,22 @@ class Scanner:
         spans = [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
         hits = sorted((end - size + 1, kind) for end, (kind, size) in self.automaton.iter(raw.lower().decode("latin-1")))
         last = dict.fromkeys(KINDS, -1)
+        closes: dict[bytes, int] = {}
         for start, kind in hits:
             if start < last[kind]:
                 continue
             form, test = TESTS[kind]
             match = form.match(raw, start)
             if match is None:
+                if kind == "webtoken":  # what follows the run of letters rules out all starts in it
+                    last[kind] = WEB_RUN.match(raw, start).end()
                 continue
             end = match.end()
             if kind == "private_key":
                 close = b"-----END " + match["name"] + b"-----"
-                at = raw.find(close, end)
+                at = closes.get(close, 0)
+                if 0 <= at < end:
+                    at = closes[close] = raw.find(close, end)
                 end = at + len(close) if at >= 0 else end
             last[kind] = end
             if test(match):
@@ -120,8 +130,8 @@ def in_characters(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[i
     return [(places[a], places[b], kind) for a, b, kind in spans]
 
 
-def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
-    for value in batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()):
+def texts(column: pa.Array) -> Iterator[bytes]:
+    for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
 
 
@@ -136,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
         scanner = Scanner()
         for batch in batches:
             counts, digests, listed = {k: [] for k in BASE}, [], []
-            for raw in texts(batch):
+            for raw in texts(batch.column(1)):
                 spans = in_characters(raw, scanner.scan(raw))
                 for k in BASE:
                     counts[k].append(sum(s[2] == k for s in spans))
@@ -152,28 +162,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each run of secrets replaced by a mark, and n_chars, if there, brought up to date."""
-    sized = "n_chars" in docs.columns
+    names = docs.columns
+    place, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches):
         scanner = Scanner()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            old, out, lengths = batch.column(at), [], []
-            for valid, raw in zip(old.is_valid().to_pylist(), texts(batch)):
-                new, place = b"", 0
+            old, out, lengths = batch.column(place), [], []
+            for valid, raw in zip(old.is_valid().to_pylist(), texts(old)):
+                new, at = [], 0
                 for a, b, _ in scanner.scan(raw):
-                    if a >= place:
-                        new += raw[place:a] + MARK
-                    place = max(place, b)
-                new = (new + raw[place:]).decode("utf-8", "replace")
+                    if a >= at:
+                        new += [raw[at:a], MARK]
+                    at = max(at, b)
+                new = b"".join([*new, raw[at:]]).decode("utf-8", "replace")
                 out.append(new if valid else None)
                 lengths.append(len(new))
             columns = list(batch.columns)
-            columns[at] = pa.array(out, old.type)
-            if sized:
-                n = batch.schema.get_field_index("n_chars")
-                changed = pc.not_equal(pc.fill_null(columns[at], ""), pc.fill_null(old, ""))
-                columns[n] = pc.if_else(changed, pa.array(lengths, pa.int64()).cast(batch.column(n).type), batch.column(n))
+            columns[place] = pa.array(out, old.type)
+            if sized is not None:
+                changed = pc.not_equal(pc.fill_null(columns[place], ""), pc.fill_null(old, ""))
+                columns[sized] = pc.if_else(changed, pa.array(lengths, pa.int64()).cast(batch.column(sized).type), batch.column(sized))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import pytest
@@ -79,3 +80,18 @@ def test_redact_keeps_columns_and_nulls(spark):
 def test_empty_table(spark, schema):
     assert secrets.scan(spark.createDataFrame([], schema)).collect() == []
     assert secrets.redact(spark.createDataFrame([], schema)).collect() == []
+
+
+def nested(depth):
+    head = base64.urlsafe_b64encode(b'{"alg":' + b"[" * depth + b"]" * depth + b"}").rstrip(b"=")
+    return head + b".abc.def"
+
+
+def test_hostile_texts_neither_stop_nor_stall():
+    scanner = secrets.Scanner()
+    assert [s[2] for s in scanner.scan(nested(2))] == ["webtoken"]
+    assert scanner.scan(nested(200_000)) == []
+    for text in (b"eyJ" * 400_000, b"-----BEGIN PRIVATE KEY-----" * 40_000, b"token=" * 200_000, b"password" + b" " * 1_000_000, b"a" * 3_000_000):
+        begin = time.process_time()
+        scanner.scan(text)
+        assert time.process_time() - begin < 10
