@@ -6,12 +6,15 @@ a line boilerplate, one well below does not; lines whose estimate lies within th
 errors of the threshold get an exact count of distinct sites.  The first occurrence of a
 boilerplate line (by doc_id, then place) stays, all others go.
 
-Lines of fewer than MIN_WORDS words are never boilerplate.  Texts are shuffled once at most,
-to meet their list of lines to remove, and not at all where Spark can broadcast the lists.
+Every line with a word counts, menus of one word included.  A document with one such line is
+content and not boilerplate: its line counts for the spread but stays.  Texts are shuffled once
+at most, to meet their list of lines to remove, and not at all where Spark can broadcast the lists.
 
 Defined results: a null text has no lines and stays null; a null source is a site of its own; a
-null doc_id comes after all others.  Rows with equal doc_id and text are treated alike.  Other
-columns stay as they are.  An empty table gives an empty result.
+null doc_id comes after all others.  Where rows share a doc_id and hold the line at the same
+place, each of them holds the first occurrence and keeps it; repeated rows are treated alike, one
+by one.  A text of any length is split as a whole, within one task.  Other columns stay as they
+are, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACES, checkpoint, written
+from storyloom.llm.common import SPACES, checkpoint, named, written
 
 MIN_SITES = 10
-MIN_WORDS = 3
 LG_K = 10
+#: A text with words on two lines or more.
+SEVERAL = r"[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]"
 ERROR = 1.04 / 2 ** (LG_K / 2)
 
 
@@ -32,14 +36,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_k1, _k2 of the document, site, place, and h1, h2 of every line with words enough."""
+    """_k1, _k2 of the document, whether it has several lines with words, site, place, and h1, h2 of each of them."""
     rows = _keyed(docs.select("doc_id", "text", "source"))
     site = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    lines = rows.select("doc_id", "_k1", "_k2", site.alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    several = F.col("text").rlike(SEVERAL)
+    lines = rows.select("doc_id", "_k1", "_k2", several.alias("several"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.regexp_replace(F.regexp_replace("line", SPACES, " "), "^ | $", "")
-    lines = lines.select("*", words.alias("words")).where(F.regexp_count("words", F.lit(" ")) >= MIN_WORDS - 1)
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("pos"), F.col("_k1"))
-    return lines.select("_k1", "_k2", "site", "pos", place.alias("place"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
+    lines = lines.select("*", words.alias("words")).where("words <> ''")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("pos"))
+    return lines.select("_k1", "_k2", "several", "site", "pos", place.alias("place"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -57,7 +62,7 @@ def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     """docs with _lines (all lines), _left (places of those that stay) and _text (what is left)."""
     lines = written(_lines(docs), "line-keys")  # read three times
     found = boilerplate(lines, min_sites)
-    copies = lines.join(found, ["h1", "h2"]).where(F.col("place") != F.col("first"))
+    copies = lines.join(found, ["h1", "h2"]).where(F.col("several") & (F.col("place") != F.col("first")))
     gone = copies.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_gone"))
     rows = _keyed(docs).join(gone, ["_k1", "_k2"], "left").withColumn("_lines", F.split("text", "\n"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
@@ -80,12 +85,12 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def apply(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The documents without boilerplate; those of which no word is left go."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", "source", F.struct(*names).alias("_in"))
+    packed = docs.select("doc_id", "text", "source", F.struct(*map(named, names)).alias("_in"))
     rows = _cleaned(packed, min_sites).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("_text")}
     if "n_chars" in names:
         new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_in.n_chars")).otherwise(F.length("_text")).cast(dict(docs.dtypes)["n_chars"])
-    return rows.select(*(new.get(c, F.col(f"_in.`{c}`")).alias(c) for c in names))
+    return rows.select(*(new.get(c, F.col("_in")[c]).alias(c) for c in names))
 
 
 #: DuckDB's form of report() over documents.
@@ -93,10 +98,10 @@ SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, 'null') AS site, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, site, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM t),
 w AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS words FROM l),
-k AS (SELECT *, count(DISTINCT site) OVER (PARTITION BY words) AS sites, row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) AS nth FROM w
-      WHERE len(string_split(words, ' ')) >= {MIN_WORDS}),
-g AS (SELECT r, pos FROM k WHERE sites >= {MIN_SITES} AND nth > 1)
-SELECT doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
+k AS (SELECT *, count(DISTINCT site) OVER (PARTITION BY words) AS sites, rank() OVER (PARTITION BY words ORDER BY doc_id NULLS LAST, pos) AS nth,
+             count(*) OVER (PARTITION BY r) AS own FROM w WHERE words <> ''),
+g AS (SELECT r, pos FROM k WHERE sites >= {MIN_SITES} AND nth > 1 AND own > 1)
+SELECT t.doc_id, count(l.pos) AS n_lines, count(g.pos) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
-FROM t LEFT JOIN l USING (r, doc_id) LEFT JOIN g USING (r, pos) GROUP BY r, doc_id
+FROM t LEFT JOIN l USING (r) LEFT JOIN g USING (r, pos) GROUP BY r, t.doc_id
 """
