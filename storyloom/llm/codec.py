@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole texts.
 
-Defined results: a null text is an empty one, without ids.  Rows that repeat are encoded one
-by one.  An empty table gives an empty result; columns besides doc_id and text are not read.
+Defined results: a null text is an empty one, without ids; a null doc_id stays null.  Rows that
+repeat are encoded one by one.  A text of any length is encoded whole, as one piece.  An empty table
+gives an empty result; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

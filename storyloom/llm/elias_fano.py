@@ -41,19 +41,18 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """The value at place i."""
-        left, at = i % STEP, int(self.directory[i // STEP])
-        byte = at >> 3
-        skip = at & 7
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 32], bitorder="little")[skip:])
-            if len(ones) > left:
-                one = byte * 8 + skip + int(ones[left])
-                return (one - i << self.bits) + int(self._low(i, i + 1)[0])
-            left -= len(ones)
-            byte, skip = byte + 32, 0
+        return int(self.select_many(i, i + 1)[0])
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def select_many(self, first: int, end: int) -> np.ndarray:
+        """The values at places first to end: of the unary bits, no more are read than the directory says they need."""
+        if first >= end:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n) << self.bits) + self._low(0, self.n)
+        lead = int(self.directory[first // STEP])
+        tail = int(self.directory[-(-end // STEP)]) if -(-end // STEP) < len(self.directory) else 8 * len(self.high)
+        byte = lead >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : (tail >> 3) + 1], bitorder="little")) + 8 * byte
+        ones = ones[ones >= lead][first % STEP :][: end - first]
+        return (ones - np.arange(first, end) << self.bits) + self._low(first, end)
+
+    def all(self) -> np.ndarray:
+        return self.select_many(0, self.n)

@@ -7,8 +7,9 @@ of those that pass are broadcast, at most ``1 / support`` rows whatever the inpu
 their copies on the map side.  All other digests are shuffled in the ordinary way.
 
 Defined results: a null text is an empty one, and all empty texts are equal.  A null doc_id comes
-after all others.  Of rows that are alike in everything exactly one is kept.  An empty table gives
-an empty result.  Columns other than doc_id and text are not read.
+after all others.  Of rows that are alike in everything exactly one is kept.  A text of any length is
+digested whole.  An empty table gives an empty result.  Columns other than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations

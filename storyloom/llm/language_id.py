@@ -16,7 +16,9 @@ by their lower-case code point modulo 35.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text
 when there is nothing to learn from.  A null doc_id is not held out.  Rows that repeat are
-predicted one by one.  An empty table gives an empty result.
+predicted one by one; of equal scores the language first in order of names wins.  A text of any
+length is read whole.  An empty table gives an empty result.  Columns other than doc_id, text and
+lang are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ the sums of the shards, of which there are as many as write tasks.  The table is
 read by Spark, so it can lie in any store, and offsets can be read without the ids.
 
 Defined results: a null text is an empty one and holds the end id alone; a null doc_id comes
-first; rows that share a doc_id follow the hash of their text.  An empty table gives a table
-without blocks.  Columns other than doc_id and text are not read.
+first; rows that share a doc_id follow the hash of their text, repeated rows each other.  A text of
+any length is one document of one block.  An empty table gives a table without blocks.  Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from storyloom.llm.common import text_of
 from storyloom.llm.ragged import PIECE_BYTES, column, with_ends
 
 END = 0
+#: Documents whose boundaries are looked up at once.
+AT_ONCE = 256
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
@@ -78,20 +81,33 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return _read(_based(spark, path), kind, True)
 
 
-def _read(table: DataFrame, kind: str, with_ids: bool) -> DataFrame:
-    wanted = ["base", "offset", "n_docs", "width", "doc_ids", "low_bits", "low", "high", "directory", *["ids"] * with_ids]
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """documents() of a few doc_ids: their blocks alone are opened, and in them select() finds the boundaries."""
+    table = _based(spark, path)
+    hit = F.arrays_overlap("doc_ids", F.array(*map(F.lit, doc_ids)))
+    return _read(table.where(hit), dict(table.dtypes)["doc_ids"][6:-1], True, np.array(doc_ids))
+
+
+def _read(table: DataFrame, kind: str, with_ids: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    fields = ["base", "offset", "n_docs", "width", "doc_ids", "low_bits", "low", "high", "directory", *["ids"] * with_ids]
 
     def run(batches):
         for batch in batches:
-            at = {n: batch.column(i) for i, n in enumerate(wanted)}
+            at = {n: batch.column(i) for i, n in enumerate(fields)}
             for k in range(batch.num_rows):
                 get = lambda n: at[n][k].as_py()  # noqa: B023, E731
-                ends = elias_fano.EliasFano(get("n_docs"), get("low_bits"), get("low"), get("high"), get("directory")).all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                columns = [at["doc_ids"][k].values, pa.array(starts + get("base") + get("offset")), pa.array(ends - starts)]
-                if with_ids:
-                    raw = memoryview(np.frombuffer(get("ids"), f"<u{get('width')}").astype("<u4").tobytes())
-                    columns.append(pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"][: len(columns)])
-
-    return table.select(*wanted).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long" + ", ids_crc32 long" * with_ids)
+                code = elias_fano.EliasFano(get("n_docs"), get("low_bits"), get("low"), get("high"), get("directory"))
+                names, raw = at["doc_ids"][k].values, np.frombuffer(get("ids"), f"<u{get('width')}") if with_ids else None
+                where = np.arange(code.n) if wanted is None else np.flatnonzero(np.isin(names.to_numpy(zero_copy_only=False), wanted))
+                for first in range(0, len(where), AT_ONCE):
+                    some = where[first : first + AT_ONCE]
+                    low = int(some[0])
+                    bounds = code.select_many(max(low - 1, 0), int(some[-1]) + 1)
+                    bounds = bounds if low else np.concatenate([[0], bounds])
+                    starts, ends = bounds[some - low], bounds[some - low + 1]
+                    columns = [names.take(pa.array(some)), pa.array(starts + get("base") + get("offset")), pa.array(ends - starts)]
+                    if with_ids:
+                        columns.append(pa.array([zlib.crc32(raw[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"][: len(columns)])
+
+    return table.select(*fields).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long" + ", ids_crc32 long" * with_ids)

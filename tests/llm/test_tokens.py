@@ -94,6 +94,7 @@ def test_elias_fano(gaps):
     code = elias_fano.EliasFano(len(values), *elias_fano.encode(values))
     assert code.all().tolist() == values.tolist()
     assert [code.select(i) for i in range(len(values))] == values.tolist()
+    assert all(code.select_many(a, b).tolist() == values[a:b].tolist() for a, b in [(0, 1), (63, 65), (64, 129), (100, 200), (7, 7)] if b <= len(values))
 
 
 def test_token_files(spark, docs, tmp_path):
@@ -106,6 +107,7 @@ def test_token_files(spark, docs, tmp_path):
         ids = [*ids_of(texts[r.doc_id]), 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    assert [tuple(r) for r in token_files.lookup(spark, str(tmp_path / "ids"), [3, 77, 10**6]).orderBy("doc_id").collect()] == [tuple(r) for r in got if r.doc_id in (3, 77)]
     assert {tuple(r) for r in token_files.offsets(spark, str(tmp_path / "ids")).collect()} == {(r.doc_id, r.start, r.n_tokens) for r in got}
 
 
