@@ -15,7 +15,9 @@ totals; beyond, queues and what each round serves are tables, joined to the docu
 give the same layout.
 
 Defined results: a null text is an empty one and holds the end id alone; a null source is a
-source of its own.  Rows that repeat are packed one by one.  An empty table gives no pieces.
+source of its own; a null doc_id stays null.  Rows that repeat are packed one by one, and queues of
+equal shares go in the order of their names.  A text of any length is cut into as many pieces as it
+needs.  An empty table gives no pieces.  Columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | Non
         for batch in batches:
             sources = batch.column(2).to_pylist()
             queues = [names[s] for s in sources] if names is not None else ["" if s is None else f"={s}" for s in sources]
-            for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES // 4):
+            for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES):
                 ids, bounds = with_ends(ids, bounds, END)
                 raw, n = ids.astype(f"<u{width}").tobytes(), np.diff(bounds)
                 starts = np.zeros(end - row, np.int64)
