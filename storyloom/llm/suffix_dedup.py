@@ -5,12 +5,13 @@ strings.  Equal windows have equal anchors at the same distance, so windows need
 compared within the group of one anchor string, and consecutive windows of one anchor (a
 stretch) travel together.
 
-1. Tasks find stretches and send their hashes, 34 bytes each.  Copies of a whole stretch are
-   settled by the hashes alone, within a task before anything is sent.
+1. Tasks find stretches and send their hashes, 34 bytes each.  Copies of a whole stretch, known by
+   two 64-bit hashes (of the anchor and of everything), are pre-aggregated to the first of them,
+   within a task before anything is sent.
 2. Where stretches of one anchor differ, one of each kind asks for its bytes.
-3. In each group the windows of these stretches are put in suffix order (to LENGTH bytes, ties by
-   position), which gives the longest-previous-factor array to that length: a window with a
-   smaller position before it in its run of equal prefixes has an earlier match.
+3. In each group the windows of these stretches are put in suffix order to LENGTH bytes.  Previous
+   and next smaller positions in that order give each window's longest previous factor; those that
+   reach LENGTH have an earlier match.
 4. The ranges found meet their text, which is cut and hashed.
 
 Work is split by hashes of anchors and of documents into a number of buckets that grows with
@@ -18,7 +19,8 @@ the text; a group of copies reaches a bucket as one stretch of so many at most.
 
 Order is by doc_id (null last), then the text's hash, then place.  Defined results: a null
 text is an empty one; rows with equal doc_id and text count as one document, and each gets its
-result.  An empty table gives an empty result.  Columns besides doc_id and text are not read.
+result.  A text of any length counts as a whole, its stretches taken apart.  An empty table gives an
+empty result.  Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -211,14 +213,51 @@ def answer(asks: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     return asks.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(run, "bucket int, asks binary, blob binary")
 
 
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 if there is none."""
+    n = len(values)
+    least = [values]  # least[k][i]: the least of the 2 ** k values that end at i
+    while 2 << len(least) <= 2 * n:
+        size, before = 1 << len(least) - 1, least[-1]
+        least.append(np.concatenate([before[:size], np.minimum(before[size:], before[:-size])]))
+    at = np.arange(n) - 1
+    for k in reversed(range(len(least))):
+        go = np.flatnonzero(at >= (1 << k) - 1)
+        go = go[least[k][at[go]] > values[go]]
+        at[go] -= 1 << k
+    return at
+
+
+def common_prefix(suffixes: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each suffix (row) and another one, 0 where there is none (-1)."""
+    out = np.zeros(len(suffixes), np.int64)
+    some = np.flatnonzero(other >= 0)
+    differ = suffixes[some] != suffixes[other[some]]
+    out[some] = np.where(differ.any(axis=1), differ.argmax(axis=1), suffixes.shape[1])
+    return out
+
+
+def longest_previous_factors(suffixes: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """The length of the longest match of each suffix that starts earlier, both cut to the width of suffixes.
+
+    In suffix order the longest earlier match of a suffix is with the nearest one before it, or the
+    nearest one after it, that has a smaller position.
+    """
+    array = np.argsort(suffixes.view(f"S{suffixes.shape[1]}").ravel(), kind="stable")
+    suffixes, position = suffixes[array], position[array]
+    before = previous_smaller(position)
+    after = len(array) - 1 - previous_smaller(position[::-1])[::-1]
+    after[after == len(array)] = -1
+    out = np.empty(len(array), np.int64)
+    out[array] = np.maximum(common_prefix(suffixes, before), common_prefix(suffixes, after))
+    return out
+
+
 def earlier_matches(records: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Ranges of the windows of these stretches that have an earlier match among them.
 
-    The stretches' bytes follow each other in data.  Windows whose hash is there once cannot match.
-    The others are sorted by their bytes, ties by position: the suffix array of these places, to
-    LENGTH bytes.  Within a run of equal prefixes the position before a window in the array is then
-    its previous smaller one, and the next is never smaller, so that the longest previous factor
-    reaches LENGTH exactly for all but the first of a run.
+    The stretches' bytes follow each other in data.  Places whose window's hash is there once have no
+    match; of the others, the longest previous factors say whether one reaches LENGTH bytes.
     """
     length = records["w"].astype(np.int64) + LENGTH
     base = np.cumsum(length) - length
@@ -229,26 +268,22 @@ def earlier_matches(records: np.ndarray, data: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(records)), count)
     place = expand(np.zeros(len(records), np.int64), count)
     start = base[owner] + place
-    sums = prefix_sums(data)
-    hashes = span_hashes(sums, start, start + LENGTH)
-    by = np.lexsort([place, rank[owner], hashes])
+    hashes = span_hashes(prefix_sums(data), start, start + LENGTH)
+    by = np.argsort(hashes, kind="stable")
     hashes = hashes[by]
     same = np.zeros(len(by) + 1, bool)
     same[1:-1] = hashes[1:] == hashes[:-1]
     twice = same[:-1] | same[1:]
     by, fresh = by[twice], ~same[:-1][twice]
+    position = rank[owner] * 256 + place  # a stretch has fewer windows
     hit = np.zeros(len(start), bool)
     edges = np.flatnonzero(fresh)
     at = 0
-    while at < len(by):
+    while at < len(by):  # lots of whole groups of equal hash
         upto = int(edges[min(np.searchsorted(edges, at + WINDOWS), len(edges) - 1)]) if at + WINDOWS < len(by) else len(by)
         upto = upto if upto > at else len(by)
         some = by[at:upto]
-        some = some[np.lexsort([place[some], rank[owner[some]]])]
-        suffixes = data[start[some][:, None] + np.arange(LENGTH)].view(f"S{LENGTH}").ravel()
-        array = np.argsort(suffixes, kind="stable")
-        suffixes = suffixes[array]
-        hit[some[array[1:][suffixes[1:] == suffixes[:-1]]]] = True
+        hit[some] = longest_previous_factors(data[start[some][:, None] + np.arange(LENGTH)], position[some]) >= LENGTH
         at = upto
     found = np.flatnonzero(hit)
     out = np.zeros(len(found), RANGE)

@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 
@@ -71,3 +72,19 @@ def test_driver_table(spark):
 
 def test_empty(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(1)
+    for n, width in ((1, 4), (2, 4), (40, 4), (300, 6)):
+        suffixes = rng.integers(97, 99, (n, width)).astype(np.uint8)
+        position = rng.permutation(n)
+        want = [max([0, *(next((k for k in range(width) if a[k] != b[k]), width) for b, q in zip(suffixes, position) if q < p)]) for a, p in zip(suffixes, position)]
+        assert suffix_dedup.longest_previous_factors(suffixes, position).tolist() == want
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(2)
+    for values in ([3], [1, 2], [2, 1], [5, 4, 3, 2, 1], rng.permutation(200).tolist()):
+        want = [max([-1, *(j for j in range(i) if values[j] < v)]) for i, v in enumerate(values)]
+        assert suffix_dedup.previous_smaller(np.array(values)).tolist() == want
