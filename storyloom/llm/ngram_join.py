@@ -29,8 +29,8 @@ Groups of everything are the connected components of the links found.
 
 Defined results: a null or empty text has no shingles and no links, and is its own component;
 one to four words are one shingle.  Rows with equal doc_id and text are one document.  A null
-doc_id comes after all others.  An empty table gives an empty result.  Columns besides doc_id and
-text are not read.
+doc_id comes after all others.  A text of any length gives one set of all its shingles.  An empty
+table gives an empty result.  Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,7 +46,7 @@ from pyspark.sql import Window as W
 from storyloom.llm.common import checkpoint, written
 from storyloom.llm.components import components
 from storyloom.llm.ragged import LOWER, PIECE_BYTES, column, expand, give_back, mix, pieces, prefix_sums, row_of, span_hashes, word_spans
-from storyloom.llm.texts import LAST, doc_bucket, document_keys, packed, unpacked
+from storyloom.llm.texts import LAST, doc_bucket, document_keys, packed, parts, unpacked
 
 SHINGLE = 5
 LEAST, OF = 80, 100
@@ -55,6 +56,9 @@ BUCKET_BYTES = 10_000_000
 HELD = 400_000
 #: N-grams that one task joins at once.
 SHARD = 1_500_000
+#: N-grams that every task is told the counts of, at most; rarer ones than OFTEN are none of them.
+FREQUENT = 100_000
+OFTEN = 10_000
 SIGNS, DOCS, EDGES = 0, 1, 2
 DOC = np.dtype([("doc", "<i8"), ("th", "<u4"), ("n", "<u4"), ("k", "<i8")])
 SCHEMA = "kind int, bucket int, blob binary"
@@ -180,6 +184,7 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         give_back(kept_too=True)
+        turn = TaskContext.get().partitionId()
         for batch in batches:
             texts = column(batch, "text")
             ids, hashes = document_keys(batch, texts)
@@ -189,7 +194,8 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
                 table = np.zeros(end - row, DOC)
                 table["doc"], table["th"], table["n"] = ids[row:end], hashes[row:end], np.diff(at)
                 table["k"] = key = set_keys(values, at)
-                yield _rows([(DOCS, row // 64 % buckets, table.tobytes())])
+                turn += 1
+                yield _rows([(DOCS, turn % buckets, table.tobytes())])
                 one = np.zeros(len(key), bool)
                 one[np.unique(key, return_index=True)[1]] = True
                 owner, got = signatures(values, at)
@@ -258,33 +264,84 @@ BLOBS = "bucket int, found binary"
 
 
 def near_edges(members: DataFrame, buckets: int) -> DataFrame:
-    """Edges a, b between members (k, blob) that share one of their rarest n-grams and may be similar by size."""
+    """Edges a, b between members (n, k, blob) that share one of their rarest n-grams and may be similar by size.
 
-    def spell(batches):
+    N-grams are counted with sums in each task first.  Those that more than one in FREQUENT of all
+    places of members hold, FREQUENT at most, are then sent to every task; only pairs of a member and
+    one of the other n-grams meet their counts by a shuffle, so that no n-gram fills a bucket.
+    """
+    total = members.agg(F.sum("n")).first()[0] or 0
+    limit = max(OFTEN, total // FREQUENT)
+
+    def tally(batches):
         give_back()
         for batch in batches:
-            for keys, values, at in _sets_of(batch.column(0).to_pylist(), _unzipped(batch.column(1))):
-                yield _split((values % np.uint64(buckets)).astype(np.int64), keys[row_of(at)], values)
+            got, held = [], 0
+            for _, values, _ in _sets_of(batch.column(0).to_pylist(), _unzipped(batch.column(1))):
+                got.append(values)
+                held += len(values)
+                if held > HELD:
+                    yield _summed(got, buckets)
+                    got, held = [], 0
+            if got:
+                yield _summed(got, buckets)
 
-    def count(table):
-        keys, values = _joined([_unblob(b.as_buffer(), "<u8") for b in table.column("found").combine_chunks()])
+    def add(table):
+        counts, values = _joined([_unblob(b.as_buffer(), "<u8") for b in table.column("found").combine_chunks()])
         order = np.argsort(values, kind="stable")
-        keys, values = keys[order], values[order]
-        begin, end = _runs(values)
-        often = np.repeat(end - begin, end - begin)
-        keys, values, often = keys[often > 1], values[often > 1], np.minimum(often[often > 1], 0xFFFFFFFF)
+        counts, values = counts[order], values[order]
+        begin, _ = _runs(values)
+        values, counts = values[begin], np.add.reduceat(counts, begin)
+        values, counts = values[counts > 1], counts[counts > 1]
+        often = counts > limit
+        raw = pa.array([values[often].astype("<u8").tobytes() + counts[often].astype("<i8").tobytes()], pa.binary())
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "found": pa.array([_blob(counts[~often], values[~often])], pa.binary()), "often": raw})
+
+    counts = written(members.select("k", "blob").mapInArrow(tally, BLOBS).groupBy("bucket").applyInArrow(add, BLOBS + ", often binary"), "ngram-counts")
+    lists = [bytes(r.often) for r in counts.where(F.length("often") > 0).select("often").collect()]  # FREQUENT numbers at most
+    common = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8", len(x) // 16) for x in lists)])
+    times = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8", len(x) // 16, len(x) // 2) for x in lists)])
+    times, common = times[np.argsort(common)], np.sort(common)
+
+    def spell(batches, frequent: bool):
+        """Members and n-grams by bucket of the n-gram, or those of the frequent n-grams, with their counts, by bucket of the member."""
+        give_back()
+        for batch in batches:
+            for keys, values, at in _sets_of(batch.column(0).to_pylist(), _unzipped(batch.column(1))):
+                keys = keys[row_of(at)]
+                place = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+                known = common[place] == values if len(common) else np.zeros(len(values), bool)
+                if frequent:
+                    keys, values, often = keys[known], values[known], np.minimum(times[place[known]], 0xFFFFFFFF)
+                    yield _split(_place(keys, buckets), keys, values, often.astype("<u4"))
+                else:
+                    yield _split((values[~known] % np.uint64(buckets)).astype(np.int64), keys[~known], values[~known])
+
+    def count(left, right):
+        nothing = pa.Table.from_batches([_split(np.zeros(0, np.int64), np.zeros(0, np.int64))])
+        if not left.num_rows or not right.num_rows:
+            return nothing
+        keys, values = _joined([_unblob(b.as_buffer(), "<u8") for b in left.column("found").combine_chunks()])
+        often, names = _joined([_unblob(b.as_buffer(), "<u8") for b in right.column("found").combine_chunks()])
+        if not len(names):
+            return nothing
+        order = np.argsort(names)
+        often, names = often[order], names[order]
+        place = np.minimum(np.searchsorted(names, values), len(names) - 1)
+        several = names[place] == values
+        keys, values, often = keys[several], values[several], np.minimum(often[place[several]], 0xFFFFFFFF)
         return pa.Table.from_batches([_split(_place(keys, buckets), keys, values, often.astype("<u4"))])
 
     def prefix(left, right):
         raw = dict(zip(left.column("k").to_pylist(), left.column("blob").to_pylist()))
-        if not raw or not right.num_rows:
-            return pa.Table.from_batches([_split(np.zeros(0, np.int64), np.zeros(0, np.int64))])
-        keys, values, often = _joined([_unblob(b.as_buffer(), "<u8", "<u4") for b in right.column("found").combine_chunks()])
-        order = np.lexsort([values, keys])
-        keys, values, often = keys[order], values[order], often[order]
-        begin, end = _runs(keys)
-        where = {int(keys[a]): (a, b) for a, b in zip(begin, end)}
         out = [[], [], []]
+        where = {}
+        if raw and right.num_rows:
+            keys, values, often = _joined([_unblob(b.as_buffer(), "<u8", "<u4") for b in right.column("found").combine_chunks()])
+            order = np.lexsort([values, keys])
+            keys, values, often = keys[order], values[order], often[order]
+            begin, end = _runs(keys)
+            where = {int(keys[a]): (a, b) for a, b in zip(begin, end)}
         for name, blob in raw.items():
             span = where.get(name)
             if span is None:
@@ -298,29 +355,49 @@ def near_edges(members: DataFrame, buckets: int) -> DataFrame:
             out[0].append(np.full(len(some), name))
             out[1].append(values[some])
             out[2].append(np.full(len(some), n, "<u4"))
-        if not out[0]:
-            return pa.Table.from_batches([_split(np.zeros(0, np.int64), np.zeros(0, np.int64))])
-        keys, values, sizes = (np.concatenate(x) for x in out)
-        return pa.Table.from_batches([_split((values % np.uint64(buckets)).astype(np.int64), keys, values, sizes)])
+        keys, values, sizes = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(out, (np.int64, np.uint64, np.uint32)))
+        # Members of one size that share an n-gram are chained here, and one of them goes on.
+        order = np.lexsort([keys, sizes, values])
+        keys, values, sizes = keys[order], values[order], sizes[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = (values[1:] != values[:-1]) | (sizes[1:] != sizes[:-1])
+        head = keys[first][np.cumsum(first) - 1] if len(keys) else keys
+        edges = np.unique(np.stack([head[~first], keys[~first]], axis=1), axis=0).reshape(-1, 2)
+        sent = _split((values[first] % np.uint64(buckets)).astype(np.int64), keys[first], values[first], sizes[first].astype("<u4"))
+        rows = [(b, None, pairs) for b, pairs in parts(edges.astype("<i8"), _place(edges[:, 1], buckets))]
+        rows += list(zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), [None] * sent.num_rows))
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate([("bucket", pa.int32()), ("found", pa.binary()), ("edges", pa.binary())])})
 
     def chain(table):
-        keys, values, sizes = _joined([_unblob(b.as_buffer(), "<u8", "<u4") for b in table.column("found").combine_chunks()])
-        order = np.lexsort([keys, sizes, values])
-        keys, values, sizes = keys[order], values[order], sizes[order].astype(np.int64)
-        close = (values[1:] == values[:-1]) & (OF * sizes[:-1] >= LEAST * sizes[1:])
-        pairs = np.unique(np.stack([keys[:-1], keys[1:]], axis=1)[close], axis=0).reshape(-1, 2)
+        pairs = [np.zeros((0, 2), np.int64)] + [np.frombuffer(b.as_buffer(), "<i8").reshape(-1, 2) for b in table.column("edges").combine_chunks() if b.is_valid]
+        sent = [_unblob(b.as_buffer(), "<u8", "<u4") for b in table.column("found").combine_chunks() if b.is_valid]
+        if sent:
+            keys, values, sizes = _joined(sent)
+            order = np.lexsort([keys, sizes, values])
+            keys, values, sizes = keys[order], values[order], sizes[order].astype(np.int64)
+            close = (values[1:] == values[:-1]) & (OF * sizes[:-1] >= LEAST * sizes[1:])
+            pairs.append(np.stack([keys[:-1], keys[1:]], axis=1)[close])
+        pairs = np.unique(np.concatenate(pairs), axis=0).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    counted = members.select("k", "blob").mapInArrow(spell, BLOBS).groupBy("bucket").applyInArrow(count, BLOBS)
-    prefixes = members.select("place", "k", "blob").groupBy("place").cogroup(counted.groupBy("bucket")).applyInArrow(prefix, BLOBS)
+    texts = members.select("k", "blob")
+    counted = texts.mapInArrow(lambda b: spell(b, False), BLOBS).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(count, BLOBS)
+    if len(common):
+        counted = counted.unionByName(texts.mapInArrow(lambda b: spell(b, True), BLOBS))
+    prefixes = members.select("place", "k", "blob").groupBy("place").cogroup(counted.groupBy("bucket")).applyInArrow(prefix, BLOBS + ", edges binary")
     return prefixes.groupBy("bucket").applyInArrow(chain, "a long, b long").where("a <> b")
 
 
+def _summed(values: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    names, n = np.unique(np.concatenate(values), return_counts=True)
+    return _split((names % np.uint64(buckets)).astype(np.int64), n.astype(np.int64), names)
+
+
 def block_edges(signed: DataFrame) -> DataFrame:
     def run(key, table):
         kind, blobs = key[0].as_py(), [b.as_buffer() for b in table.column("blob").combine_chunks()]
         if kind != SIGNS:
-            return pa.Table.from_batches([_rows([(kind, 0, b"".join(b.to_pybytes() for b in blobs))])])
+            return table
         signs, keys = [], []
         for blob in blobs:
             m, n = np.frombuffer(blob, "<u4", 2).tolist()
@@ -566,11 +643,14 @@ def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     large = named.where("shards > 1")
     if not large.isEmpty():
         links = _across(known.join(large, "k"), links, shard)
-    labels = components(links)
-    named = classes.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    named = checkpoint(named.select("doc", "n", "label"))
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
-    joined = named.where("n > 0").join(least, "label").unionByName(named.where("n = 0").withColumn("least", F.col("doc")))
+    # Classes are nodes in the order of their first documents, so that a component's label holds its first document.
+    nodes = reps.select("k", F.struct("at.doc", "at.th", "k").alias("node"))
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("k").alias(end), F.col("node").alias(f"node_{end}")), end)
+    labels = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    least = reps.select("k", "at").join(labels.select(F.col("node.k").alias("k"), F.col("label.doc").alias("least")), "k", "left").select("k", F.coalesce("least", "at.doc").alias("least"))
+    full = classes.where("n > 0").join(least, "k").select("doc", "n", "least")
+    joined = full.unionByName(classes.where("n = 0").select("doc", "n", F.col("doc").alias("least")))
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return joined.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"))
 
