@@ -1,9 +1,10 @@
 """Quality rules whose thresholds follow the corpus, in DataFrame operations only.
 
 Each document gets integer measures; ratios are read in thousandths, the mean word length in
-tenths.  Counts per language, source, measure and value form a mergeable quantile sketch (a
-histogram of fixed width: adding counts merges two of them, and a quantile is off by less than
-one step).  The sketches give two quantiles per language and source (QUANTILES); a source with
+tenths.  Counts per language, source, measure and bin form a mergeable quantile sketch: bins are
+single numbers up to 64 and above that 32 to each doubling, so that adding counts merges two
+sketches, a quantile is off by less than one part in 32, and a sketch of any corpus has a few
+hundred bins at most.  The sketches give two quantiles per language and source (QUANTILES); a source with
 few documents falls back on its language, a language with few documents on the whole corpus.  A
 measure fails beyond the fence ``high + 1.5 * max(high - low, FLOOR)``, and for the word length also
 below the mirrored one.  Most documents have no symbols, repeated lines or repeated words, so
@@ -13,8 +14,10 @@ FREE by count.  Thresholds join back by language and source; a salt spreads a ho
 table of thresholds is too large for Spark to broadcast.
 
 Defined results: a null or empty text has no words and fails; a null lang or source is a
-group of its own.  Rows that repeat are judged alike, one by one.  An empty table gives an
-empty result.  Other columns stay as they are, whatever their names.
+group of its own.  Rows that repeat are judged alike, one by one; a null doc_id stays null.  A
+text of any length is measured as a whole, within one task.  A bin counts to a quantile as a
+whole, so ties need no order.  An empty table gives an empty result.  Other columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from storyloom.llm.common import SPACES, checkpoint, text_of
+from storyloom.llm.common import SPACES, checkpoint, named, text_of, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: measure -> its low and high quantile, in twentieths; fences lie 1.5 spreads beyond.
@@ -32,11 +35,10 @@ QUANTILES = {"symbols": (10, 18), "dup_lines": (10, 18), "repeats": (10, 18), "w
 FLOOR = 2
 #: measure -> what no document fails for: symbols, repeated lines, repeated words, characters beyond the fence.
 FREE = {"symbols": 2, "dup_lines": 2, "repeats": 20, "word_length": 50}
-#: The wide floors of sql(), which judge() no longer has.
-LEAST = {"symbols": 30, "dup_lines": 300, "repeats": 120, "word_length": 30}
 #: Documents that a group needs for thresholds of its own.
 ENOUGH = 50
-LONGEST = 10_000
+#: Bits of a number that its bin keeps.
+EXACT = 6
 SALTS = 32
 WINDOW = 5
 
@@ -78,7 +80,7 @@ def _measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _steps() -> dict[str, Column]:
-    ratio = lambda a, b, by: F.expr(f"least({LONGEST}, _m.{a} * {by} div greatest(1, _m.{b}))")
+    ratio = lambda a, b, by: F.expr(f"_m.{a} * {by} div greatest(1, _m.{b})")
     return {
         "symbols": ratio("n_symbols", "word_chars", 1000),
         "dup_lines": ratio("n_dup_lines", "n_lines", 1000),
@@ -96,10 +98,16 @@ def _groups() -> list[Column]:
     return [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")).alias(f"_{c}") for c in ("lang", "source")]
 
 
+def _bin(value: Column) -> Column:
+    """The least number of the value's bin: the value with its first EXACT bits alone."""
+    rest = F.greatest(F.length(F.bin(value)) - EXACT, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, rest), rest)
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """_lang, _source, and low_* and high_* of every measure, from mergeable sketches."""
     steps = _steps()
-    values = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("step")) for k, v in steps.items()))).alias("_v")
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), _bin(v).alias("step")) for k, v in steps.items()))).alias("_v")
     sketch = measured.select(*_groups(), values).groupBy("_lang", "_source", F.col("_v.measure").alias("measure"), F.col("_v.step").alias("step")).agg(F.count(F.lit(1)).alias("n"))
     sketch = checkpoint(sketch)
     levels = {"s": ["_lang", "_source"], "l": ["_lang"], "c": []}
@@ -146,31 +154,33 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their columns. Texts are measured twice rather than written or shuffled."""
-    columns = [F.col("_in")[c].alias(c) for c in docs.columns]
-    packed = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_in"))
-    limits = checkpoint(thresholds(_measures(docs, ["doc_id", "lang", "source"])))
-    measured = _measures(packed, ["doc_id", "lang", "source", "_in"])
-    return _judged(measured, ["_in"], limits).where("_kept").select(*columns)
+    """The documents kept, with their columns. They are measured once and written with their measures."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = F.struct(*(named(c).alias(n) for c, n in zip(docs.columns, names))).alias("_in")
+    measured = written(_measures(docs.select("doc_id", "text", "lang", "source", whole), ["doc_id", "lang", "source", "_in"]), "quality-measures")
+    limits = checkpoint(thresholds(measured.select("doc_id", "lang", "source", "_m")))
+    return _judged(measured, ["_in"], limits).where("_kept").select(*(F.col(f"_in.{n}").alias(c) for n, c in zip(names, docs.columns)))
 
 
-def sql(table: str = "documents", output: str = "judge") -> str:
+def sql(table: str = "documents") -> str:
     """DuckDB's form of judge()."""
     ratios = {"symbols": ("n_symbols", "word_chars", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000), "word_length": ("word_chars", "n_words", 10)}
-    step = {k: f"least({LONGEST}, {a} * {by} // greatest(1, {b}))" for k, (a, b, by) in ratios.items()}
-    steps = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS step FROM m" for k, v in step.items())
-    levels = {"s": "lang, source", "l": "lang", "c": ""}
-    quartiles = []
-    for level, by in levels.items():
+    step = {k: f"({a} * {by} // greatest(1, {b}))" for k, (a, b, by) in ratios.items()}
+    steps = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS value FROM m" for k, v in step.items())
+    quantiles = []
+    for level, by in {"s": "lang, source", "l": "lang", "c": ""}.items():
         comma = f"{by}, " if by else ""
-        picks = ", ".join(f"min(step) FILTER (measure = '{k}' AND 4 * upto >= {q} * total) AS {level}_{k}_{q}" for k in ratios for q in (1, 3))
-        quartiles.append(f"""
+        picks = ", ".join(f"min(step) FILTER (measure = '{k}' AND 20 * upto >= {q} * total) AS {level}_{k}_{q}" for k in ratios for q in QUANTILES[k])
+        quantiles.append(f"""
 {level} AS (SELECT {comma}max(total) AS {level}_n, {picks} FROM (
   SELECT {comma}measure, step, sum(n) OVER (PARTITION BY {comma}measure ORDER BY step) AS upto, sum(n) OVER (PARTITION BY {comma}measure) AS total
   FROM (SELECT {comma}measure, step, count(*) AS n FROM v GROUP BY ALL)) {f"GROUP BY {by}" if by else ""})""")
-    pick = lambda k, q: f"CASE WHEN s_n >= {ENOUGH} THEN s_{k}_{q} WHEN l_n >= {ENOUGH} THEN l_{k}_{q} ELSE c_{k}_{q} END"
-    spread = lambda k: f"greatest({pick(k, 3)} - {pick(k, 1)}, {LEAST[k]})"
-    tests = " AND ".join([f"2 * {step[k]} <= 2 * {pick(k, 3)} + 3 * {spread(k)}" for k in ratios] + [f"2 * {step['word_length']} >= 2 * {pick('word_length', 1)} - 3 * {spread('word_length')}"])
+    pick = lambda k, i: f"CASE WHEN s_n >= {ENOUGH} THEN s_{k}_{QUANTILES[k][i]} WHEN l_n >= {ENOUGH} THEN l_{k}_{QUANTILES[k][i]} ELSE c_{k}_{QUANTILES[k][i]} END"
+    spread = lambda k: f"greatest({pick(k, 1)} - {pick(k, 0)}, {FLOOR})"
+    high, low = lambda k: f"(2 * {pick(k, 1)} + 3 * {spread(k)})", lambda k: f"(2 * {pick(k, 0)} - 3 * {spread(k)})"
+    counts = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
+    tests = [f"(2 * {step[k]} <= {high(k)} OR {n} <= {FREE[k]})" for k, n in counts.items()]
+    tests += [f"20 * word_chars - {high('word_length')} * n_words <= {20 * FREE['word_length']}", f"{low('word_length')} * n_words - 20 * word_chars <= {20 * FREE['word_length']}"]
     failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS lang, coalesce('=' || source, 'null') AS source,
@@ -183,8 +193,8 @@ k AS (SELECT r, count(DISTINCT x) AS n_repeat_words FROM (SELECT r, unnest(range
 m AS (SELECT doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM t LEFT JOIN k USING (r)),
-v AS ({steps}), {", ".join(quartiles)}
+v AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - {EXACT}, 0)) << greatest(length(bin(value)) - {EXACT}, 0) AS step FROM ({steps})), {", ".join(quantiles)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
-    NOT {failed} AND {tests} AS kept
+    NOT {failed} AND {" AND ".join(tests)} AS kept
 FROM m JOIN s USING (lang, source) JOIN l USING (lang) CROSS JOIN c
 """

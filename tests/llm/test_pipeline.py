@@ -2,9 +2,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from storyloom.llm import exact_dedup, line_dedup, quality
+from storyloom.llm import exact_dedup, line_dedup, ngram_join, packing, quality, secrets
 from storyloom.llm.tokenizers import byte_bpe
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_secrets import brute as base_secrets
@@ -28,11 +29,11 @@ def drop_lines(rows):
             sites.setdefault(key(line), set()).add(source)
     seen, out = set(), {}
     for doc, _, text in sorted(rows):
-        left = []
+        left, several = [], sum(bool(key(line)) for line in text.split("\n")) > 1
         for line in text.split("\n"):
             k = key(line)
-            if len(k.split(" ")) >= line_dedup.MIN_WORDS and len(sites[k]) >= line_dedup.MIN_SITES:
-                if k in seen:
+            if k and len(sites[k]) >= line_dedup.MIN_SITES:
+                if k in seen and several:
                     continue
                 seen.add(k)
             left.append(line)
@@ -93,6 +94,38 @@ def test_quality_and_lines_and_copies_handle_odd_rows(spark):
     assert exact_dedup.deduplicate(docs).columns == docs.columns
 
 
+def test_menu_lines_repeats_and_lone_lines(spark):
+    """Short lines count, a document of one line keeps it, and repeated rows are treated alike, as in the SQL."""
+    menu = [(i, f"Home\nown words of page {i}\nNext page", f"site{i % 5}") for i in range(20)]
+    alone = [(100 + i, "\nHome \n", f"site{i}") for i in range(5)]
+    rows = menu + menu[:7] + alone + [(None, "Home\nof a page without a name", None), (3, "Home\nanother text of page 3", "site9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.report(docs, min_sites=3)
+    assert {r.doc_id: r.n_removed for r in got.collect() if r.doc_id != 3} == {None: 1} | {i: 2 * (i > 0) for i in range(20) if i != 3} | {100 + i: 0 for i in range(5)}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    sql = line_dedup.SQL.replace(f">= {line_dedup.MIN_SITES}", ">= 3")
+    want = con.execute(f"SELECT doc_id, n_lines, n_removed, kept_sha256 FROM ({sql})").fetchall()
+    by = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(map(tuple, got.collect()), key=by) == sorted(want, key=by)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "_in", "k", "x y", "pos", "c0"]
+    rows = [(i, f"some words that stand here in row {i} and nowhere else at all", "en", "s", 1, i, 2, 3, 4, 5, 6) for i in range(4)]
+    docs = spark.createDataFrame(rows, names)
+    for stage in (quality.apply, line_dedup.apply, ngram_join.apply, secrets.redact):
+        after = stage(docs)
+        assert after.columns == names and sorted(map(tuple, after.collect())) == rows
+    assert exact_dedup.deduplicate(docs).columns == names and packing.pack(docs, byte_bpe()).count() == 4
+
+
+def test_bins_are_close_and_merge(spark):
+    values = [0, 1, 63, 64, 65, 127, 128, 1000, 12345, 10**12]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality._bin(F.col("v")).alias("b")).collect()
+    assert all(r.b <= r.v < r.b * 33 / 32 or r.b == r.v for r in rows)
+
+
 def test_quality_fences_follow_the_corpus(spark):
     """In a corpus free of symbols and repeats, a document with clearly more of them than the rest goes, below any wide floor."""
     words = lambda i, n, start=0: " ".join(f"w{i:03d}{j:03d}" for j in range(start, start + n))
