@@ -49,7 +49,9 @@ def candidates(rows: DataFrame, cutoff: int = config.POSTING_CUTOFF, need: int =
     for kind, column, weight in sides:
         part = rows.select("ord", F.explode(column).alias("value")).select("ord", F.lit(kind).alias("kind"), "value", F.lit(weight).alias("weight"))
         posts = part if posts is None else posts.unionByName(part)
-    sized = posts.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("kind", "value"))).where(F.col("n").between(2, cutoff)).drop("n")
+    # Sizes come from counts that combine before the shuffle: long postings never meet in one task.
+    sizes = posts.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, cutoff)).drop("n")
+    sized = posts.join(sizes, ["kind", "value"], "left_semi")
     left, right = sized.withColumnRenamed("ord", "a"), sized.select(F.col("ord").alias("b"), "kind", "value")
     pairs = left.join(right, ["kind", "value"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= need)
@@ -122,6 +124,13 @@ def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(found.select(F.col("node").alias("ord"), F.col("label").alias("_label")), "ord", "left").withColumn("grp", F.coalesce("_label", "ord")).drop("_label")
 
 
+def _lead_key() -> list[Column]:
+    """lead_order() as values whose least is the lead's."""
+    tier = F.when(F.col("tier") == "A", 0).when(F.col("tier") == "B", 1).otherwise(2)
+    complete = F.when(F.col("description") != "", 1).otherwise(0) + F.size("entities").cast("boolean").cast("int")
+    return [tier.alias("tier"), (-complete).alias("complete"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), F.col("ord").alias("ord")]
+
+
 def lead_order() -> list[Column]:
     tier = F.when(F.col("tier") == "A", 0).when(F.col("tier") == "B", 1).otherwise(2)
     complete = F.when(F.col("description") != "", 1).otherwise(0) + F.size("entities").cast("boolean").cast("int")
@@ -131,24 +140,26 @@ def lead_order() -> list[Column]:
 def validated(rows: DataFrame) -> DataFrame:
     """Undo chains: a member stays that the lead or most others support; the rest stand alone.
 
-    The lead counts among the others but never as support.  Pairs are formed within groups of the
-    blocking's bounded size only; a group beyond the posting cutoff squared is checked against its lead.
+    The lead counts among the others but never as support.  What supports what follows from titles and
+    names alone, so members alike in these are one kind, and kinds are compared rather than members: a
+    group of any size takes as many pairs as it has pairs of different headlines.
     """
-    w = W.partitionBy("grp")
-    ranked = rows.withColumn("_nth", F.row_number().over(w.orderBy(*lead_order()))).withColumn("_size", F.count(F.lit(1)).over(w))
-    ranked = checkpoint(ranked)
+    key = ["grp", "title", "entities"]
+    best = rows.groupBy("grp").agg(F.min_by("ord", F.struct(*_lead_key())).alias("_lead"), F.count(F.lit(1)).alias("_size"))
+    ranked = checkpoint(rows.join(best, "grp"))
     many = ranked.where("_size > 1")
-    lead = many.where("_nth = 1").select("grp", F.col("ord").alias("b"))
-    with_lead = many.where("_nth > 1").select(F.col("ord").alias("a"), "grp").join(lead, "grp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    small = many.where(F.col("_size") <= config.POSTING_CUTOFF).where("_nth > 1").select("grp", "ord")
-    others = small.select("grp", F.col("ord").alias("a")).join(small.select("grp", F.col("ord").alias("b")), "grp").where("a < b").select("a", "b")
-    rated = decide(with_lead.unionByName(others), ranked).where("supports").select("a", "b")
-    both = rated.unionByName(rated.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = both.join(ranked.select(F.col("ord").alias("b"), F.col("_nth").alias("_bn")), "b")
-    support = named.groupBy(F.col("a").alias("ord")).agg(F.count_if(F.col("_bn") == 1).alias("_lead"), F.count_if(F.col("_bn") > 1).alias("_others"))
-    kept = ranked.join(support, "ord", "left")
-    stays = (F.col("_nth") == 1) | (F.coalesce("_lead", F.lit(0)) > 0) | (2 * F.coalesce("_others", F.lit(0)) > F.col("_size") - 1)
-    return kept.withColumn("grp", F.when(stays, F.col("grp")).otherwise(F.col("ord"))).drop("_nth", "_size", "_lead", "_others")
+    kinds = many.groupBy(*key).agg(F.min("ord").alias("kind"), F.count(F.lit(1)).alias("weight"), F.max(F.col("ord") == F.col("_lead")).alias("leads"))
+    kinds = checkpoint(kinds.select(*key, "kind", (F.col("weight") - F.col("leads").cast("int")).alias("weight"), "leads"))
+    side = lambda name: kinds.select("grp", F.col("kind").alias(name))
+    pairs = side("a").join(side("b"), "grp").where("a <= b").select("a", "b")
+    rated = decide(pairs, ranked).where("supports").select("a", "b")
+    both = rated.unionByName(rated.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    support = both.join(kinds.select(F.col("kind").alias("b"), "weight", "leads"), "b").groupBy(F.col("a").alias("kind"))
+    support = support.agg(F.max("leads").alias("_by_lead"), F.sum(F.col("weight") - (F.col("a") == F.col("b")).cast("int")).alias("_others"))
+    named = kinds.join(support, "kind", "left").select(*key, "_by_lead", "_others")
+    kept = ranked.join(named, key, "left")
+    stays = (F.col("ord") == F.col("_lead")) | F.coalesce("_by_lead", F.lit(False)) | (2 * F.coalesce("_others", F.lit(0)) > F.col("_size") - 1)
+    return kept.withColumn("grp", F.when(stays, F.col("grp")).otherwise(F.col("ord"))).drop("_lead", "_size", "_by_lead", "_others")
 
 
 def second_pass(rows: DataFrame, top: int = 10, overlap: float = 0.6) -> DataFrame:

@@ -130,3 +130,60 @@ def coherence(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
 def precision_recall(pairs: DataFrame, truth: str, found: str) -> DataFrame:
     tp, fp, fn = (F.count_if(t) for t in (F.col(truth) & F.col(found), ~F.col(truth) & F.col(found), F.col(truth) & ~F.col(found)))
     return pairs.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), scores.rate(tp, tp + fp, 4).alias("precision"), scores.rate(tp, tp + fn, 4).alias("recall"))
+
+
+def concentration(rows: DataFrame, by: str, n: str) -> DataFrame:
+    """By group, how many publications stories have: shares in percent, median, mean to one place."""
+    c, whole = F.col(n), F.count(F.lit(1))
+    shares = {"single": c <= 1, "two": c == 2, "three_up": c >= 3, "four_up": c >= 4, "multi": c >= 2}
+    return rows.groupBy(by).agg(
+        *(scores.percent(F.count_if(test), whole).alias(f"{name}_pct") for name, test in shares.items()),
+        F.percentile(c, F.lit(0.5)).alias("median"),
+        scores.rounded(F.avg(c), 1).alias("mean"),
+    )
+
+
+def top_label(rows: DataFrame, by: str, name: str, vocabulary: list[str]) -> DataFrame:
+    """(by, label, n): the label with most rows; ties go to the first of the vocabulary, then to unknown ones by name."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, vocabulary)), F.col(name)), F.lit(0))
+    place = F.when(place == 0, len(vocabulary) + 1).otherwise(place)
+    counts = rows.groupBy(by, name).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("n"), place.alias("place"), F.col(name).alias("label"))).alias("best"))
+    return best.select(by, F.col("best.label").alias("label"), (-F.col("best.n")).alias("n"))
+
+
+def most_covered(rows: DataFrame, by: str, ever: str, score: str, first_seen: str, slug: str, most: int) -> DataFrame:
+    """The stories of each group with most publications ever; then by score (null as 0), first seen, slug."""
+    order = W.partitionBy(by).orderBy(F.desc(ever), F.coalesce(score, F.lit(0.0)).desc(), F.asc(first_seen), F.asc(slug))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def reach(changes: DataFrame, key: str, first_seen: str, at: str, source: str, to: str, target: int) -> DataFrame:
+    """(key, minutes): from the first sight of a story to the first change to so many publications.
+
+    Only where it was seen below the target first: else when it got there is not known.
+    """
+    spans = changes.groupBy(key).agg(
+        F.min(first_seen).alias("seen"),
+        F.min(F.struct(F.col(at).alias("at"), F.col(source).alias("source"))).alias("first"),
+        F.min(F.when(F.col(to) >= target, F.col(at))).alias("reached"),
+    )
+    return spans.where((F.col("first.source") < target) & F.col("reached").isNotNull()).select(key, dates.minutes_between(F.col("seen"), F.col("reached")).alias("minutes"))
+
+
+def pickup_gain(changes: DataFrame, key: str, first_seen: str, at: str, source: str, to: str, hours: int = 24) -> DataFrame:
+    """(key, source, to, gained, minutes): growth within so many hours of the first sight, where there is any."""
+    within = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(first_seen).cast("timestamp")) <= hours * 3_600_000_000
+    spans = changes.groupBy(key).agg(
+        F.min(first_seen).alias("seen"),
+        F.min(F.struct(F.col(at).alias("at"), F.col(source).alias("source"))).alias("first"),
+        F.min(F.when(within, F.struct((-F.col(to)).alias("to"), F.col(at).alias("at")))).alias("best"),
+    )
+    gained = -F.col("best.to") - F.col("first.source")
+    out = spans.where(F.col("best").isNotNull() & (gained > 0))
+    return out.select(key, F.col("first.source").alias("source"), (-F.col("best.to")).alias("to"), gained.alias("gained"), dates.minutes_between(F.col("seen"), F.col("best.at")).alias("minutes"))
+
+
+def content_bucket(kind: Column) -> Column:
+    """news where it is unknown, opinion and press releases as they are, other for the rest."""
+    return F.when(kind.isNull() | (kind == "news"), "news").when(kind.isin("opinion", "press_release"), kind).otherwise("other")
