@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from storyloom.llm.common import SPACES, checkpoint, named, text_of, written
+from storyloom.llm.common import SPACES, checkpoint, named, text_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: measure -> its low and high quantile, in twentieths; fences lie 1.5 spreads beyond.
@@ -154,11 +154,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """The documents kept, with their columns. They are measured once and written with their measures."""
+    """The documents kept, with their columns. Texts are measured twice rather than written or shuffled."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(named(c).alias(n) for c, n in zip(docs.columns, names))).alias("_in")
-    measured = written(_measures(docs.select("doc_id", "text", "lang", "source", whole), ["doc_id", "lang", "source", "_in"]), "quality-measures")
-    limits = checkpoint(thresholds(measured.select("doc_id", "lang", "source", "_m")))
+    limits = checkpoint(thresholds(_measures(docs, ["doc_id", "lang", "source"])))
+    measured = _measures(docs.select("doc_id", "text", "lang", "source", whole), ["doc_id", "lang", "source", "_in"])
     return _judged(measured, ["_in"], limits).where("_kept").select(*(F.col(f"_in.{n}").alias(c) for n, c in zip(names, docs.columns)))
 
 
