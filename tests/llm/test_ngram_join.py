@@ -63,6 +63,14 @@ def test_matches_brute_force(spark, seed, shard):
     assert got == brute(rows)
 
 
+def test_frequent_ngrams_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "OFTEN", 2)
+    rows = list(enumerate(corpus(4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(docs).collect()}
+    assert got == brute(rows)
+
+
 def test_signatures_lose_no_pair():
     rng = random.Random(5)
     for _ in range(60):
