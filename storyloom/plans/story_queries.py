@@ -24,7 +24,7 @@ def built(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         _built.clear()
-        rows = ingest.dedupe(articles(spark, sf_dir))
+        rows = ingest.dedupe(articles(spark, sf_dir)).drop("text")  # the description holds it
         members = checkpoint(linking.cluster(rows))
         _built[key] = members, checkpoint(stories.ranked(stories.build(members, now()), now()))
     return _built[key]

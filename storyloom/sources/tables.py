@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: the first sentence is the title; time and section follow from doc_id."""
+    """Documents as articles: the first sentence is the title, the whole text the description; time and section follow from doc_id."""
     docs = table(spark, sf_dir, "documents")
     title = F.trim(F.regexp_extract("text", r"^[^.!?\n]+", 0))
     section = F.element_at(F.array(*map(F.lit, config.CATEGORIES)), (F.length("text") % len(config.CATEGORIES) + 1).cast("int"))
@@ -29,7 +29,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.stable_id(url).alias("id"),
         url.alias("canonical_url"),
         title.alias("title"),
-        F.substring("text", 1, 500).alias("description"),
+        F.col("text").alias("description"),
         "text",
         "source",
         F.concat("source", F.lit(".example.com")).alias("domain"),
@@ -46,7 +46,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARTICLES_SQL = f"""articles AS (
   SELECT ord, substr(sha256(canonical_url), 1, 12) AS id, * EXCLUDE (ord), list_distinct(regexp_extract_all(title, '[A-Z][a-z]{{4,}}')) AS entities FROM (
   SELECT doc_id AS ord, 'https://' || source || '.example.com/' || lang || '/' || substr(sha256(text), 1, 12) AS canonical_url,
-    trim(regexp_extract(text, '^[^.!?\\n]+')) AS title, substr(text, 1, 500) AS description, text, source, source || '.example.com' AS domain,
+    trim(regexp_extract(text, '^[^.!?\\n]+')) AS title, text AS description, text, source, source || '.example.com' AS domain,
     CASE substr(source, 4)::INT % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier,
     CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 3 = 0 THEN 'CA' ELSE 'US' END WHEN lang = 'fr' THEN 'US_CA' WHEN lang = 'es' THEN 'GLOBAL_NA' ELSE 'GLOBAL' END AS country,
     ({list(config.CATEGORIES)})[length(text) % {len(config.CATEGORIES)} + 1] AS category,

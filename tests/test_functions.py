@@ -133,3 +133,13 @@ def test_image_headers(spark):
     got = each(spark, [bytearray(x) for x in (png, gif, jpeg, webp, b"junk")], page.image_size("x"), "binary")
     assert [tuple(g) for g in got] == [("png", 640, 480), ("gif", 10, 20), ("jpeg", 500, 300), ("webp", 800, 600), (None, None, None)]
     assert zlib.crc32(png)  # a fixture, not a file
+
+
+def test_words_are_found_anywhere_in_a_text(spark):
+    terms = ("goal", "goals", "north sea", "class")
+    rows = spark.createDataFrame([("x " * 4000 + "goals in the north seas",), ("classes, subgoal; goalkeeper north  sea",), ("class-goal",), ("",)], "t string")
+    found = [sorted(r.h) for r in rows.select(classify.hits(F.col("t"), terms).alias("h")).collect()]
+    assert found == [["goal", "goals", "north sea"], [], ["class", "goal"], []]
+    far = spark.createDataFrame([("News", "word " * 900 + "senate election")], "t string, d string")
+    scores = far.select(classify.category_scores("t", "d").alias("s")).first().s
+    assert {s.category: s.score for s in scores}["politics"] == 2
