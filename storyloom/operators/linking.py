@@ -42,6 +42,8 @@ def rare_limit(n: Column) -> Column:
 def candidates(rows: DataFrame, cutoff: int = config.POSTING_CUTOFF, need: int = 2) -> DataFrame:
     """(a, b, shared) with a < b: one shared name, or tokens and stems shared that count two or more together.
 
+    The cutoff is a rule of linking, not a saving: a word in more titles than it says nothing about an event.
+    Where copies must meet in groups of any size, alike() is the way.
     A word whose stem is shared as well counts twice, as the two indexes add to one counter.
     """
     sides = [("t", "tokens", 1), ("s", "stems", 1), ("n", "names", need)]
@@ -57,6 +59,29 @@ def candidates(rows: DataFrame, cutoff: int = config.POSTING_CUTOFF, need: int =
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= need)
 
 
+def alike(rows: DataFrame, column: str = "tokens") -> DataFrame:
+    """Links (a, b) that give the same components as linking all rows whose sets have a Jaccard index of 4/5 or more.
+
+    Exact for groups of any size: equal sets are one class, named by its least ord, whose members link to
+    it alone.  Classes are compared only where they share one of their rarest words: sets of n words that
+    are alike share ceil(4n/5), hence one of the n - ceil(4n/5) + 1 rarest; sizes are part of the key.
+    Empty sets link with nothing.
+    """
+    keyed = rows.where(F.size(column) > 0).select("ord", F.array_sort(F.array_distinct(column)).alias("words"))
+    classes = checkpoint(keyed.groupBy("words").agg(F.min("ord").alias("a")).withColumn("n", F.size("words")))
+    copies = keyed.join(classes, "words").where("ord <> a").select("a", F.col("ord").alias("b"))
+    posts = classes.select("a", "n", F.explode("words").alias("word"))
+    ranked = posts.join(posts.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    order = F.array_sort(F.collect_list(F.struct("df", "word")))  # of one class
+    firsts = ranked.groupBy("a", "n").agg(order.alias("w")).select("a", "n", F.explode(F.slice("w", F.lit(1), (F.col("n") - F.ceil(4 * F.col("n") / 5) + 1).cast("int"))).alias("w"))
+    firsts = checkpoint(firsts.select("a", "n", F.col("w.word").alias("word")))
+    longer = F.explode(F.sequence(F.col("n"), F.floor(5 * F.col("n") / 4).cast("int")))
+    meet = firsts.select("a", "word", longer.alias("n")).join(firsts.select(F.col("a").alias("b"), "word", "n"), ["word", "n"]).where("a <> b").select("a", "b").distinct()
+    sets = lambda name: classes.select(F.col("a").alias(name), F.col("words").alias(f"_{name}"))
+    both = meet.join(sets("a"), "a").join(sets("b"), "b").where(5 * F.size(F.array_intersect("_a", "_b")) >= 4 * F.size(F.array_union("_a", "_b")))
+    return copies.unionByName(both.select("a", "b"))
+
+
 def headline_similarity(a: str, b: str) -> Column:
     part = lambda name: text.jaccard(F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
     return 0.5 * part("tokens") + 0.3 * part("bigrams") + 0.2 * part("names")

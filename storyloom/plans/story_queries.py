@@ -129,16 +129,14 @@ def pair_decisions(spark, sf_dir):
     return linking.decide(linking.candidates(rows), rows).select("a", "b", F.round("headline", 6).alias("headline"), "conflict", "near", "link", "supports")
 
 
-@query(f"""WITH RECURSIVE {ARTICLES_SQL}, {_FEATURES}, {_PAIRS},
-e AS (SELECT a, b FROM c JOIN f x ON a = x.ord JOIN f y ON b = y.ord WHERE len(list_intersect(x.tokens, y.tokens)) >= 0.8 * len(list_distinct(x.tokens || y.tokens))),
+@query(f"""WITH RECURSIVE {ARTICLES_SQL}, {_FEATURES},
+e AS (SELECT x.ord AS a, y.ord AS b FROM f x JOIN f y ON x.ord < y.ord AND len(x.tokens) > 0 AND 5 * len(list_intersect(x.tokens, y.tokens)) >= 4 * len(list_distinct(x.tokens || y.tokens))),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, reach) AS (SELECT ord, ord FROM articles UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a)
 SELECT node AS ord, min(reach) AS grp FROM r GROUP BY node""")
 def near_duplicate_titles(spark, sf_dir):
     """Components of titles whose words are alike to four fifths."""
-    rows = checkpoint(_plain_features(spark, sf_dir))
-    sided = linking.with_sides(linking.candidates(rows), rows)
-    links = sided.where(text.jaccard(F.col("_a.tokens"), F.col("_b.tokens")) >= 0.8).select("a", "b")
-    return linking.grouped(rows, links).select("ord", "grp")
+    rows = checkpoint(articles(spark, sf_dir).select("ord", F.array_distinct(text.tokens("title")).alias("tokens")))
+    return linking.grouped(rows, linking.alike(rows)).select("ord", "grp")
 
 
 @query()

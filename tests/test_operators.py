@@ -149,3 +149,23 @@ def test_stream_equals_batch(spark, tmp_path):
     late = flows.finished(flows.tumbling(stream), "tumbling_test", "complete")
     assert late.agg(F.sum("n")).first()[0] == rows.count()
     assert flows.due(None) and flows.due(26) and not flows.due(10) and flows.due(10, new_day=True)
+
+
+def test_alike_titles_link_in_groups_of_any_size(spark):
+    import random
+
+    pick = random.Random(5)
+    sets = [["budget", "vote"]] * 130 + [[], []] + [sorted(pick.sample("abcdefgh", pick.randint(1, 7))) for _ in range(90)]
+    sets += [[f"w{i}" for i in range(10) if i != k] for k in range(10)] + [[f"w{i}" for i in range(10)]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "ord long, tokens array<string>")
+    found = {r.ord: r.grp for r in linking.grouped(rows, linking.alike(rows)).collect()}
+    want = list(range(len(sets)))
+    for _ in sets:
+        before = list(want)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if x and sets[j] and 5 * len(set(x) & set(sets[j])) >= 4 * len(set(x) | set(sets[j])):
+                    want[i] = want[j] = min(want[i], want[j])
+        if want == before:
+            break
+    assert found == dict(enumerate(want))
