@@ -15,34 +15,53 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack(vectors.to_list()).astype(np.float64)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1, norms)
+
+
+def _best(asked: pd.DataFrame, given: pd.DataFrame, k: int, rows: int = 1024) -> pd.DataFrame:
+    """The k nearest of given for each row of asked, ties by the lower vec_id; products of so many rows at a time."""
+    given = given.sort_values("vec_id", kind="stable")
+    own, base = given["vec_id"].to_numpy(), _unit(given["embedding"])
+    n, found = min(k, len(own)), []
+    for at in range(0, len(asked), rows):
+        part = asked.iloc[at : at + rows]
+        ids = part["vec_id"].to_numpy()
+        s = _unit(part["embedding"]) @ base.T
+        s[ids[:, None] == own[None, :]] = -np.inf
+        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
+        least = np.take_along_axis(s, best, 1).min(axis=1, keepdims=True)
+        for i in np.flatnonzero((s >= least).sum(axis=1) > n):
+            best[i] = np.argsort(-s[i], kind="stable")[:n]
+        found.append(pd.DataFrame({"query": np.repeat(ids, n), "vec_id": own[best].ravel(), "cosine": np.take_along_axis(s, best, 1).ravel()}))
+    return pd.concat(found)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 16384) -> DataFrame:
     """(query, vec_id, cosine): the k nearest of base for each query, never itself. Both: vec_id, embedding.
 
-    The stated queries go in blocks; each block meets every batch of the base in one matrix product, keeps k
-    per batch, and the batches' winners are merged by a window over k rows a batch.
+    Queries are dealt into blocks and the base into chunks of about so many rows by a hash of the id; each
+    block meets each chunk in one group, which keeps k of the chunk for each query, and a window merges
+    these.  No vector passes through the driver, and a group's size does not depend on the tables'.
+    Null embeddings neither ask nor answer; a vector of zeros has cosine 0 with all.
     """
-    blocks = queries.withColumn("_block", F.floor(F.col("vec_id") / F.lit(100 * block)))
-    out = None
-    for row in blocks.select("_block").distinct().collect():  # one pass over the base for each block of queries
-        some = blocks.where(F.col("_block") == row[0]).toPandas().sort_values("vec_id")
-        ids, matrix = some["vec_id"].to_numpy(), np.stack(some["embedding"].to_list()).astype(np.float64)
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-
-        def run(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                x = np.stack(batch["embedding"].to_list()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                s = matrix @ x.T
-                own = batch["vec_id"].to_numpy()
-                s[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, len(own))
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                yield pd.DataFrame({"query": np.repeat(ids, n), "vec_id": own[best].ravel(), "cosine": np.take_along_axis(s, best, 1).ravel()})
-
-        part = base.select("vec_id", "embedding").mapInPandas(run, "query long, vec_id long, cosine double").where("cosine > -2")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.select(F.col("vec_id").alias("query"), "vec_id", F.lit(0.0).alias("cosine")).limit(0)
+    asked, given = (rows.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL") for rows in (queries, base))
+    blocks = max(1, -(-asked.count() // block))
+    chunks = max(base.sparkSession.sparkContext.defaultParallelism, -(-given.count() // block))
+    dealt = lambda rows, own, n, other, m: rows.select(
+        "*", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    )
+    left = dealt(asked, "_block", blocks, "_chunk", chunks).groupBy("_block", "_chunk")
+    right = dealt(given, "_chunk", chunks, "_block", blocks).groupBy("_block", "_chunk")
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"query": [], "vec_id": [], "cosine": []})
+        return _best(x, y, k)
+
+    out = left.cogroup(right).applyInPandas(run, "query long, vec_id long, cosine double").where("cosine > -2")
     return top_of_each(out, ["query"], [F.desc("cosine"), F.asc("vec_id")], k)
 
 

@@ -169,3 +169,21 @@ def test_alike_titles_link_in_groups_of_any_size(spark):
         if want == before:
             break
     assert found == dict(enumerate(want))
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    vectors = draw.integers(-2, 3, (90, 3)).astype(float)
+    vectors[7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(90, None)], "vec_id long, embedding array<double>")
+    found = semantic.nearest(rows.where("vec_id % 3 = 0"), rows, 5, block=16).collect()
+    norms = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(norms == 0, 1, norms)[:, None]
+    cosine = (unit @ unit.T).round(9)
+    for q in range(0, 90, 3):
+        got = sorted((r.cosine for r in found if r.query == q), reverse=True)
+        assert np.allclose(got, sorted((cosine[q, j] for j in range(90) if j != q), reverse=True)[:5])
+    assert all(r.query != r.vec_id and abs(r.cosine - cosine[r.query, r.vec_id]) < 1e-9 for r in found)
+    assert semantic.nearest(rows.where("vec_id < 0"), rows, 5).count() == 0
