@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.functions import text
 from storyloom.operators import archive, graph, ingest, linking, ordering, reports, semantic, stories, surfaces, topics
 from storyloom.streaming import flows
 
@@ -187,3 +188,28 @@ def test_nearest_against_brute_force(spark):
         assert np.allclose(got, sorted((cosine[q, j] for j in range(90) if j != q), reverse=True)[:5])
     assert all(r.query != r.vec_id and abs(r.cosine - cosine[r.query, r.vec_id]) < 1e-9 for r in found)
     assert semantic.nearest(rows.where("vec_id < 0"), rows, 5).count() == 0
+
+
+def test_related_finds_pairs_of_common_names(spark):
+    import random
+
+    pick = random.Random(9)
+    words = "budget storm rescue museum island harbour railway".split()
+    rows = []
+    for i in range(70):
+        names = sorted({pick.choice(["Alpha", "Beta", "Gamma"]) for _ in range(2)} | ({f"Rare{i % 9}"} if i % 4 == 0 else set()))
+        rows.append((i, " ".join(pick.sample(words, pick.randint(0, 6))), names if i else []))
+    stories_ = spark.createDataFrame(rows, "grp long, title string, entities array<string>")
+    stems = {r.grp: set(r.w) for r in stories_.select("grp", text.title_tokens("title").alias("w")).collect()}
+    want = {}
+    for i, _, x in rows:
+        passed = []
+        for j, _, y in rows:
+            n, either = len(set(x) & set(y)), stems[i] | stems[j]
+            alike = len(stems[i] & stems[j]) / len(either) if stems[i] and stems[j] else 0.0
+            if i != j and (n >= 2 or n == 1 and alike >= 0.2):
+                passed.append((-(n + alike), j))
+        want[i] = [j for _, j in sorted(passed)[:4]]
+    for common in (2, 200):
+        found = surfaces.related(stories_, common=common).collect()
+        assert {i: [r.other for r in sorted((r for r in found if r.grp == i), key=lambda r: (-r.score, r.other))] for i in want} == want
