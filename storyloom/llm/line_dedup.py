@@ -26,8 +26,8 @@ from storyloom.llm.common import SPACES, checkpoint, named, written
 
 MIN_SITES = 10
 LG_K = 10
-#: A text with words on two lines or more.
-SEVERAL = r"[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]"
+#: A text with words on two lines or more; anchored, or each place of a long line would be tried to its end.
+SEVERAL = r"\A[\x20\x09-\x0D]*[^\x20\x09-\x0D][^\n]*\n[\x20\x09-\x0D]*[^\x20\x09-\x0D]"
 ERROR = 1.04 / 2 ** (LG_K / 2)
 
 
