@@ -20,26 +20,29 @@ TITLE_STOPWORDS = tuple(
 CATEGORIES = ("politics", "business", "technology", "science", "health", "sports", "entertainment", "world", "climate", "general")
 #: Words that speak for a category: (category, word, weight in the title, weight in the text).
 CATEGORY_WORDS = {
-    "politics": ("senate", "election", "minister", "parliament", "vote", "then", "that"),
-    "business": ("market", "shares", "profit", "bank", "merger", "and", "der"),
-    "technology": ("software", "chip", "robot", "startup", "cloud", "ing", "ung"),
-    "science": ("study", "telescope", "fossil", "quantum", "genome", "the", "les"),
-    "health": ("hospital", "vaccine", "patients", "virus", "clinic", "or", "les"),
-    "sports": ("match", "league", "season", "coach", "goal", "er", "que"),
-    "entertainment": ("film", "album", "festival", "actor", "series", "on", "una"),
-    "world": ("summit", "border", "treaty", "embassy", "refugees", "of", "sur"),
-    "climate": ("emissions", "drought", "wildfire", "carbon", "flood", "re", "von"),
+    "politics": ("senate", "senator", "election", "minister", "parliament", "vote", "voter", "ballot", "campaign", "governor", "lawmaker", "cabinet", "referendum", "prime minister", "white house"),
+    "business": ("market", "share", "profit", "bank", "merger", "earnings", "inflation", "tariff", "investor", "retailer", "layoff", "acquisition", "interest rate", "stock exchange"),
+    "technology": ("software", "chip", "robot", "startup", "cloud", "smartphone", "cybersecurity", "algorithm", "browser", "semiconductor", "hacker", "artificial intelligence", "data centre"),
+    "science": ("study", "telescope", "fossil", "quantum", "genome", "physicist", "astronomer", "spacecraft", "archaeologist", "neuron", "asteroid", "black hole"),
+    "health": ("hospital", "vaccine", "patient", "virus", "clinic", "surgeon", "cancer", "diabetes", "outbreak", "nurse", "dementia", "public health", "mental health"),
+    "sports": ("match", "league", "season", "coach", "goal", "playoff", "striker", "tournament", "championship", "quarterback", "olympics", "world cup", "grand slam"),
+    "entertainment": ("film", "album", "festival", "actor", "actress", "singer", "sequel", "premiere", "streaming", "celebrity", "box office", "red carpet"),
+    "world": ("summit", "border", "treaty", "embassy", "refugee", "ceasefire", "diplomat", "sanction", "airstrike", "peacekeeper", "united nations", "foreign ministry"),
+    "climate": ("emission", "drought", "wildfire", "carbon", "flood", "glacier", "heatwave", "renewable", "deforestation", "sea level", "greenhouse gas"),
 }
 MONEY_WORDS = ("billion", "million", "profit", "shares", "revenue")
 HUBS = {
-    "energy": ("oil", "grid", "solar", "ing"),
-    "space": ("orbit", "rocket", "moon", "nd"),
-    "courts": ("judge", "trial", "appeal", "er"),
-    "weather": ("storm", "rain", "heat", "ou"),
-    "housing": ("rent", "mortgage", "tenant", "on"),
+    "energy": ("oil", "grid", "solar", "pipeline", "refinery", "electricity", "nuclear"),
+    "space": ("orbit", "rocket", "moon", "satellite", "astronaut", "lander", "spacecraft"),
+    "courts": ("judge", "trial", "appeal", "verdict", "lawsuit", "prosecutor", "jury"),
+    "weather": ("storm", "rain", "heat", "hurricane", "tornado", "blizzard", "forecast"),
+    "housing": ("rent", "mortgage", "tenant", "landlord", "eviction", "homeowner", "zoning"),
 }
 HUB_THRESHOLD = 2
-GEO_STRONG = {"US": ("washington", "congress", "texas", "california", "tion", "ther"), "CA": ("ottawa", "ontario", "quebec", "alberta", "ment", "que")}
+GEO_STRONG = {
+    "US": ("washington", "congress", "texas", "california", "florida", "chicago", "white house", "new york", "united states", "supreme court"),
+    "CA": ("ottawa", "ontario", "quebec", "alberta", "toronto", "vancouver", "canada", "british columbia", "nova scotia", "house of commons"),
+}
 GEO_WEAK = {"US": ("american", "federal"), "CA": ("canadian", "provincial")}
 GEO_NEAR = ("mexico", "north america")
 PRESS_DOMAINS = ("wire.example.org", "release.example.net", "newswire.example.com")

@@ -188,7 +188,11 @@ def validated(rows: DataFrame) -> DataFrame:
 
 
 def second_pass(rows: DataFrame, top: int = 10, overlap: float = 0.6) -> DataFrame:
-    """Merge groups whose leading terms overlap: an equi-join on rare terms, which every passing pair shares."""
+    """Merge groups whose leading terms overlap.
+
+    Groups that pass share two rare terms, so two rare terms together are the key of the equi-join: at most
+    45 keys a group, and a term that many groups lead with is no key by itself.
+    """
     n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
     terms = rows.select("grp", "published_at", F.explode("terms").alias("term"))
     df = document_frequency(rows)
@@ -198,7 +202,8 @@ def second_pass(rows: DataFrame, top: int = 10, overlap: float = 0.6) -> DataFra
     tops = checkpoint(support.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= top).select("grp", "term", "rare"))
     sizes = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     rare = tops.where("rare")
-    pairs = rare.select(F.col("grp").alias("a"), "term").join(rare.select(F.col("grp").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").count().where("count >= 2")
+    twos = checkpoint(rare.select("grp", "term").join(rare.select("grp", F.col("term").alias("second")), "grp").where("term < second"))
+    pairs = twos.withColumnRenamed("grp", "a").join(twos.withColumnRenamed("grp", "b"), ["term", "second"]).where("a < b").select("a", "b").distinct()
     shared = pairs.join(tops.select(F.col("grp").alias("a"), "term"), "a").join(tops.select(F.col("grp").alias("b"), "term"), ["b", "term"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     span = rows.groupBy("grp").agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
     rated = shared.join(sizes.select(F.col("grp").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("grp").alias("b"), F.col("size").alias("nb")), "b")

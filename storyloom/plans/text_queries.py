@@ -141,7 +141,7 @@ def _has(value: str, word: str) -> str:
 
 
 def _category_sql() -> str:
-    hit = lambda w: f"CASE WHEN {_has('head', w)} THEN 3 WHEN {_has('body', w)} THEN 1 ELSE 0 END"
+    hit = lambda w: f"CASE WHEN {_has('head', w)} THEN {4 if ' ' in w else 3} WHEN {_has('body', w)} THEN 1 ELSE 0 END"
     sums = ", ".join(f"{' + '.join(hit(w) for w in words)} AS {name}" for name, words in config.CATEGORY_WORDS.items())
     names = list(config.CATEGORY_WORDS)
     pairs = "[" + ", ".join(f"{{'c': '{n}', 's': {n}}}" for n in names) + "]"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from storyloom import config
+from storyloom.checkpoints import shared_folder
 
 
 def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -61,14 +63,22 @@ def stable_labels(rows: DataFrame, need: int = 2) -> DataFrame:
 
 
 def finished(frame: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
-    """Run a bounded stream to its end and return what it wrote."""
-    spark = frame.sparkSession
-    writer = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if folder:
-        writer = writer.option("checkpointLocation", folder)
-    query = writer.start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a bounded stream to its end and return what it wrote, as Parquet in the folder that the cluster shares.
+
+    In mode complete the last batch's table is the result; in the others every batch adds its rows.  A batch
+    that runs again after a failure replaces itself.
+    """
+    root = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/rows"
+
+    frame.sparkSession.createDataFrame([], frame.schema).write.parquet(path if mode == "complete" else f"{path}/batch=none")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    writer = frame.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", folder or f"{root}/state").start().awaitTermination()
+    return frame.sparkSession.read.schema(frame.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def publish(rows: DataFrame, path: str, folder: str, step=None):
