@@ -289,3 +289,21 @@ def false_splits(spark, sf_dir):
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def thread_timeline(spark, sf_dir):
     return surfaces.timeline(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query(f"WITH {ARTICLES_SQL} SELECT ord, id FROM articles WHERE source = 'src1'")
+def source_page(spark, sf_dir):
+    return surfaces.source_page(articles(spark, sf_dir), "src1").select("ord", "id")
+
+
+@query(f"""WITH {ARTICLES_SQL}, best AS (SELECT category, ord FROM articles QUALIFY row_number() OVER (PARTITION BY category ORDER BY ord) <= 5)
+SELECT a.ord AS grp, b.ord AS other FROM articles a JOIN best b ON a.category = b.category AND a.ord <> b.ord QUALIFY row_number() OVER (PARTITION BY a.ord ORDER BY b.ord) <= 4""")
+def more_in_category(spark, sf_dir):
+    """Articles as stories of one, ranked by their order."""
+    return surfaces.more_in_category(articles(spark, sf_dir).select("category", F.col("ord").alias("rank"), F.col("ord").alias("grp"))).select("grp", "other")
+
+
+@query()
+def country_page(spark, sf_dir):
+    members, ranked = built(spark, sf_dir)
+    return surfaces.country_page(ranked, members, "canada")

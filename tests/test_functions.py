@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from storyloom.functions import classify, dates, scores, text, urls
+from storyloom.functions import classify, cleaning, dates, scores, text, urls
 from storyloom.sources import feeds
 from storyloom.sources import pages as page
 
@@ -143,3 +143,34 @@ def test_words_are_found_anywhere_in_a_text(spark):
     far = spark.createDataFrame([("News", "word " * 900 + "senate election")], "t string, d string")
     scores = far.select(classify.category_scores("t", "d").alias("s")).first().s
     assert {s.category: s.score for s in scores}["politics"] == 2
+
+
+def test_descriptions_without_chrome(spark):
+    rows = {
+        "Real news here. Sign up for our newsletter today! More facts.": "Real news here. More facts.",
+        "Officials asked residents to sign up for alerts.": "Officials asked residents to sign up for alerts.",
+        "Welcome to the new era of flight": "Welcome to the new era of flight",
+        "Welcome to The Daily briefing\nDefense & Security\nThe Big Story: Amid rain, he left.\nShort line\nClick in for more": "Amid rain, he left. Short line",
+        "Before {beacon} after 10\u00a0000 people \u00a0 Next\u2009 tail. Continue reading...": "Before after 10\u00a0000 people Next tail.",
+        "ALL TERMS OF THE PROSPECTUS AND OF ITS SUPPLEMENTS ARE AVAILABLE FROM THE ISSUER ON REQUEST NOW. Fine.": "Fine.",
+        "Read more": "",
+        "": "",
+    }
+    frame = spark.createDataFrame([(t, w) for t, w in rows.items()] + [(None, None)], "t string, want string")
+    found = frame.select("want", cleaning.description("t").alias("once")).select("want", "once", cleaning.description("once").alias("twice")).collect()
+    assert [r.once for r in found] == [r.want for r in found] == [r.twice for r in found]
+    one = spark.createDataFrame([("It rains today sign up for the daily email. End", "www.theguardian.com"), ("It rains today sign up for the daily email. End", "a.b")], "t string, d string")
+    assert [r[0] for r in one.select(cleaning.description("t", "d")).collect()] == ["It rains today End", "It rains today sign up for the daily email. End"]
+
+
+def test_titles_without_bylines(spark):
+    titles = ["Why we left the city | Jane Doe", "Rovers win | Premier League", "Hi | Jane Doe", "Plain ", "Two | bars | Anna O’Neil", None]
+    found = spark.createDataFrame([(t,) for t in titles], "t string").select(cleaning.display_title("t")).collect()
+    assert [r[0] for r in found] == ["Why we left the city", "Rovers win | Premier League", "Hi | Jane Doe", "Plain", "Two | bars", None]
+
+
+def test_real_words_decide_sections_and_places(spark):
+    rows = [("Prime minister calls referendum", "Voters go to the ballot", "politics", "GLOBAL"), ("Playoff goal sends Toronto through", "The coach praised the striker", "sports", "CA"), ("Then that the or", "ing ung tion ther", "general", "GLOBAL")]
+    frame = spark.createDataFrame(rows, "t string, d string, c string, p string")
+    found = frame.select("c", "p", classify.category(classify.category_scores("t", "d"), classify.money(F.col("t")))["category"].alias("x"), classify.country("t", "d")["country"].alias("y")).collect()
+    assert [(r.x, r.y) for r in found] == [(r.c, r.p) for r in found]

@@ -213,3 +213,35 @@ def test_related_finds_pairs_of_common_names(spark):
     for common in (2, 200):
         found = surfaces.related(stories_, common=common).collect()
         assert {i: [r.other for r in sorted((r for r in found if r.grp == i), key=lambda r: (-r.score, r.other))] for i in want} == want
+
+
+def test_earlier_and_related_take_common_names(spark):
+    """Every limit on common names gives the pairs of comparing all with all."""
+    titles = ["Storm floods coastal towns", "Storm floods northern towns", "Bank merger approved today", "Chip maker opens plant", "Storm hits bank", None]
+    names = [["Maine", "Acme"], ["Maine"], ["Acme", "Maine"], ["Acme"], ["Maine", "Bangor"], ["Maine", "Acme"]]
+    rows = [(i, titles[i % 6], names[(i // 2) % 6], ts(f"2024-01-{i + 1:02d} 00:00:00"), ts(f"2024-01-{i + 1:02d} 05:00:00")) for i in range(24)]
+    frame = spark.createDataFrame(rows, "grp int, title string, entities array<string>, first_at timestamp, last_at timestamp")
+    cut = lambda title: set(title or [])
+    words = {r.grp: cut(r.w) for r in frame.select("grp", text.title_tokens("title").alias("w")).collect()}
+    passes = lambda a, b: len(set(a[2]) & set(b[2])) >= 2 or (len(set(a[2]) & set(b[2])) == 1 and bool(words[a[0]] & words[b[0]]) and 5 * len(words[a[0]] & words[b[0]]) >= len(words[a[0]] | words[b[0]]))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and passes(a, b)}
+    past = {(a[0], b[0]) for a in rows for b in rows if b[4] < a[3] and passes(a, b)}
+    for common in (1, 200):
+        assert {(r.grp, r.other) for r in surfaces.related(frame, 99, common).collect()} == want
+        assert {(r.grp, r.other) for r in surfaces.earlier(frame, frame, 99, common).collect()} == past
+
+
+def test_country_page_shows_no_story_twice(spark):
+    sections = ["politics", "business", "technology", "climate", "sports"]
+    rows = [(i, i + 1, sections[i % 5], "CA" if i % 2 else "US", "news", 2, 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "grp long, rank int, category string, country string, content_type string, source_count int, n_articles int")
+    frame = frame.withColumn("all_release", F.lit(False))
+    arts = spark.createDataFrame([(i, i, "CA", ts("2024-01-01 00:00:00") + dt.timedelta(minutes=i)) for i in range(60)], "ord long, grp long, country string, published_at timestamp")
+    page = surfaces.country_page(frame, arts, "canada").collect()
+    cards = [r.grp for r in page if r.slot not in ("top", "latest")]
+    assert len(cards) == len(set(cards)) == 17 and sorted(r.grp for r in page if r.slot == "top") == list(range(1, 20, 2))
+    shown = {r.grp for r in page if r.slot != "latest"}
+    latest = sorted((r.ord for r in page if r.slot == "latest"), reverse=True)
+    assert latest == [i for i in range(59, -1, -1) if i not in shown][:8]
+    more = surfaces.more_in_category(frame)
+    assert sorted(r.other for r in more.where("grp = 5").collect()) == [0, 10, 15, 20]
