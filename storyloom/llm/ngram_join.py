@@ -1,7 +1,7 @@
 """Groups of documents whose sets of word 5-grams have a Jaccard similarity of at least 0.8.
 
-A document's set are the 64-bit hashes of its distinct shingles.  Equal sets are one class; one
-document of it stands for all.
+A document's set are the 64-bit hashes of its distinct shingles.  Sets with equal keys of 128 bits are
+one class; one document of it stands for all.
 
 1. Blocks.  Let two sets of n <= m shingles be similar; then they differ in at most (n + m) / 9.
    The hash space is cut into more parts than that, so that some part holds the same shingles
@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from storyloom.llm.common import checkpoint, written
-from storyloom.llm.components import components
-from storyloom.llm.ragged import LOWER, PIECE_BYTES, column, expand, give_back, mix, pieces, prefix_sums, row_of, span_hashes, word_spans
+from storyloom.llm.ragged import LOWER, PIECE_BYTES, column, expand, give_back, mix, pieces, row_of, word_hashes, word_spans
 from storyloom.llm.texts import LAST, doc_bucket, document_keys, packed, parts, unpacked
+from storyloom.operators.graph import components
 
 SHINGLE = 5
 LEAST, OF = 80, 100
@@ -60,7 +60,7 @@ SHARD = 1_500_000
 FREQUENT = 100_000
 OFTEN = 10_000
 SIGNS, DOCS, EDGES = 0, 1, 2
-DOC = np.dtype([("doc", "<i8"), ("th", "<u4"), ("n", "<u4"), ("k", "<i8")])
+DOC = np.dtype([("doc", "<i8"), ("th", "<u4"), ("n", "<u4"), ("k", "<i8"), ("k2", "<i8")])
 SCHEMA = "kind int, bucket int, blob binary"
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(SHINGLE)]
 
@@ -72,7 +72,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     count = np.diff(words)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    hashes = span_hashes(prefix_sums(data), starts, ends)
+    hashes = word_hashes(data, starts, ends)
     whole = np.maximum(count - SHINGLE + 1, 0)
     at = expand(words[:-1], whole)
     long = np.zeros(len(at), np.uint64)
@@ -93,9 +93,9 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return value[new], np.searchsorted(row[new], np.arange(len(bounds)))
 
 
-def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One 64-bit key of each set, 0 for an empty one."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(7)))])
+def set_keys(values: np.ndarray, bounds: np.ndarray, seed: int = 7) -> np.ndarray:
+    """One 64-bit key of each set, 0 for an empty one; keys of different seeds are independent."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(seed)))])
     return mix(sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.int64)
 
 
@@ -179,8 +179,9 @@ def _signed(sign: np.ndarray, key: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _rows(items)
 
 
-def sign(docs: DataFrame, buckets: int) -> DataFrame:
+def sign(docs: DataFrame, buckets: int, key_bits: int = 64) -> DataFrame:
     """Signatures by bucket, the classes of documents, and edges that a task finds by itself."""
+    mask = np.int64((1 << key_bits) - 1 if key_bits < 64 else -1)
 
     def run(batches):
         give_back(kept_too=True)
@@ -193,11 +194,12 @@ def sign(docs: DataFrame, buckets: int) -> DataFrame:
                 values, at = shingle_sets(data, bounds)
                 table = np.zeros(end - row, DOC)
                 table["doc"], table["th"], table["n"] = ids[row:end], hashes[row:end], np.diff(at)
-                table["k"] = key = set_keys(values, at)
+                table["k"] = key = set_keys(values, at) & mask
+                table["k2"] = second = set_keys(values, at, 0x2545F4914F6CDD1D)
                 turn += 1
                 yield _rows([(DOCS, turn % buckets, table.tobytes())])
                 one = np.zeros(len(key), bool)
-                one[np.unique(key, return_index=True)[1]] = True
+                one[np.unique(second, return_index=True)[1]] = True
                 owner, got = signatures(values, at)
                 signs.append(got[one[owner]])
                 keys.append(key[owner[one[owner]]])
@@ -423,10 +425,10 @@ def _read(found: DataFrame, kind: int) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0):
                 rows = np.frombuffer(blob.as_buffer(), DOC)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["th"].astype(np.int64)), pa.array(rows["n"].astype(np.int64)), pa.array(rows["k"])], ["doc", "th", "n", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"]), pa.array(rows["th"].astype(np.int64)), pa.array(rows["n"].astype(np.int64)), pa.array(rows["k"]), pa.array(rows["k2"])], ["doc", "th", "n", "k", "k2"])
 
     rows = found.where(F.col("kind") == kind).select("blob")
-    return rows.mapInArrow(edges, "a long, b long") if kind == EDGES else rows.mapInArrow(documents, "doc long, th long, n long, k long")
+    return rows.mapInArrow(edges, "a long, b long") if kind == EDGES else rows.mapInArrow(documents, "doc long, th long, n long, k long, k2 long")
 
 
 class PrefixTree:
@@ -619,14 +621,25 @@ def _across(members: DataFrame, links: DataFrame, shard: int) -> DataFrame:
     return checkpoint(links.unionByName(join_units(units)))
 
 
-def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _apart(classes: DataFrame, paired: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes and the keys that are in blocks, with a key of their own for sets that share the first 64 bits by chance."""
+    shared = classes.where("n > 0").groupBy("k").agg(F.min("k2").alias("least"), F.max("k2").alias("most")).where("least <> most").select("k")
+    if shared.isEmpty():
+        return classes, paired
+    renamed = checkpoint(classes.where("n > 0").join(shared, "k").select("k", "k2").distinct().withColumn("own", F.xxhash64("k", "k2")))
+    every = renamed.select(F.col("own").alias("k")).unionByName(paired.join(shared, "k", "left_anti"))
+    return classes.join(renamed, ["k", "k2"], "left").withColumn("k", F.coalesce("own", "k")).drop("own"), every
+
+
+def groups(docs: DataFrame, shard: int = SHARD, key_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. key_bits: of the first half of the key, fewer in tests only."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 32 + int(size // BUCKET_BYTES)
-    found = written(block_edges(sign(docs, buckets)), "ngram-blocks")
+    found = written(block_edges(sign(docs, buckets, key_bits)), "ngram-blocks")
     classes = _read(found, DOCS)
     paired = _read(found, EDGES)
     paired = paired.select(F.col("a").alias("k")).unionByName(paired.select(F.col("b").alias("k"))).distinct()
+    classes, paired = _apart(classes, paired)
     reps = classes.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "th")).alias("at"), F.max("n").alias("n"))
     members = reps.join(paired, "k").select(F.col("at.doc").alias("doc"), F.col("at.th").alias("th"), "k", "n")
     fetched = fetch(_bucketed(members, buckets), packed(docs, buckets))

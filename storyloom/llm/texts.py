@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from storyloom.llm.ragged import PIECE_BYTES, column, mix, pieces, prefix_sums, span_hashes
+from storyloom.llm.ragged import column, mix
 
 #: A null doc_id, in order after all others.
 LAST = (1 << 63) - 1
@@ -30,10 +31,7 @@ def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
 def document_keys(batch: pa.RecordBatch, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """doc_id with null as LAST, and 32 bits of the text's hash."""
     docs = batch.column(batch.schema.get_field_index("doc_id")).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = np.zeros(len(texts), np.uint32)
-    for row, end, data, bounds in pieces(texts, PIECE_BYTES):
-        hashes[row:end] = (span_hashes(prefix_sums(data), bounds[:-1], bounds[1:]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return docs, hashes
+    return docs, np.fromiter((xxhash.xxh3_64_intdigest(text.as_buffer()) & 0xFFFFFFFF for text in texts), np.uint32, len(texts))
 
 
 def packed(docs: DataFrame, buckets: int) -> DataFrame:

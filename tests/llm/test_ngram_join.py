@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from storyloom.llm import ngram_join
-from storyloom.llm.components import components
+from storyloom.operators.graph import components
 
 
 def shingles(text):
@@ -71,6 +71,39 @@ def test_frequent_ngrams_change_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    texts = []
+    for n in (1024, 2048, 4096):
+        word = thue_morse(n)
+        other = word.translate(str.maketrans("ab", "ba"))
+        texts += [word, other]
+        texts += [f"one two three four five {w} six seven eight nine ten" for w in (word, other)]
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and {c for _, c in got.values()} == set(got)
+
+
+def test_sets_that_share_half_a_key_stay_apart(spark):
+    rows = list(enumerate(corpus(8)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(docs, key_bits=3).collect()}
+    assert got == brute(rows)
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(260_000)]
+    near = words[:1000] + ["x"] + words[1001:]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:200_000])), (4, " ".join(words[:20_000])), (5, "a b c")]
+    assert len(rows[0][1]) > 1 << 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_signatures_lose_no_pair():
     rng = random.Random(5)
     for _ in range(60):
