@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from storyloom.llm import codec, exact_dedup, language_id, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_files
+from storyloom.llm import codec, exact_dedup, language_id, lexical_search, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_files
 from storyloom.llm.common import documents, shared_folder
 from storyloom.llm.tokenizers import byte_bpe
 
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_line_dedup,
@@ -67,10 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_secret_scan,
         op10_quality_rules,
+        op13_lexical_search,
     )
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_line_dedup": line_dedup.SQL, "op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_line_dedup": line_dedup.SQL, "op13_lexical_search": lexical_search.SQL, "op2_exact_dedup": exact_dedup.SQL, "op10_quality_rules": quality.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}

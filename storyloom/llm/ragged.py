@@ -142,9 +142,9 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the bounds of each row's words among them."""
-    inside = ~WHITE[data]
+def word_spans(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the bounds of each row's words among them; apart: the bytes between words, ``[\\x20\\x09-\\x0D]``."""
+    inside = ~apart[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     edges = bounds[1:-1]
