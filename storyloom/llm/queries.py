@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from storyloom.llm import codec, conversation_repair, exact_dedup, language_id, lexical_search, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_files
+from storyloom.llm import codec, conversation_repair, embedding_dedup, exact_dedup, language_id, lexical_search, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_files
 from storyloom.llm.common import documents, shared_folder
 from storyloom.llm.tokenizers import byte_bpe
 
@@ -55,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_files,
         op9_secret_scan,
         op10_quality_rules,
+        op11_embedding_dedup,
         op12_conversation_repair,
         op13_lexical_search,
     )
