@@ -136,61 +136,6 @@ def xml_escaped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.xml_escape("text").cast("binary"), 256).alias("escaped"))
 
 
-def _has(value: str, word: str) -> str:
-    return f"regexp_matches({value}, '(^|[^a-z0-9]){word}s?([^a-z0-9]|$)')"
-
-
-def _category_sql() -> str:
-    hit = lambda w: f"CASE WHEN {_has('head', w)} THEN {4 if ' ' in w else 3} WHEN {_has('body', w)} THEN 1 ELSE 0 END"
-    sums = ", ".join(f"{' + '.join(hit(w) for w in words)} AS {name}" for name, words in config.CATEGORY_WORDS.items())
-    names = list(config.CATEGORY_WORDS)
-    pairs = "[" + ", ".join(f"{{'c': '{n}', 's': {n}}}" for n in names) + "]"
-    money = f"regexp_matches(lower(title || ' ' || description), '(^|[^a-z0-9])({'|'.join(config.MONEY_WORDS)})([^a-z0-9]|$)')"
-    return f"""WITH {ARTICLES_SQL}, h AS (SELECT ord, title, description, lower(title) AS head, lower(description) AS body FROM articles),
-s AS (SELECT ord, {money} AS money, {sums} FROM h), m AS (SELECT ord, money, greatest({', '.join(names)}) AS top, {pairs} AS best FROM s),
-t AS (SELECT *, list_transform(list_filter(best, lambda x : x.s = top), lambda x : x.c) AS tied FROM m)
-SELECT ord, CASE WHEN top < 2 THEN 'general' WHEN len(tied) > 1 AND list_contains(tied, 'business') AND money THEN 'business' WHEN len(tied) > 1 THEN 'general' ELSE tied[1] END AS category,
- CASE WHEN top > 0 THEN round((top - coalesce(list_max(list_transform(list_filter(best, lambda x : x.c <> tied[1]), lambda x : x.s)), 0)) / top, 6) ELSE 0 END AS confidence FROM t"""
-
-
-@query(_category_sql())
-def category_scores(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    found = classify.category(classify.category_scores("title", "description"), classify.money(F.concat_ws(" ", "title", "description")))
-    return rows.select("ord", found.alias("c")).select("ord", "c.category", F.round("c.confidence", 6).alias("confidence"))
-
-
-def _geo_sql() -> str:
-    count = lambda words: " + ".join(f"{_has('low', w)}::INT" for w in words)
-    return f"""WITH {ARTICLES_SQL}, l AS (SELECT ord, title || ' ' || description AS raw, lower(title || ' ' || description) AS low FROM articles),
-c AS (SELECT ord, {count(config.GEO_STRONG['US'])} + regexp_matches(raw, '\\b(US|USA|U\\.S\\.)([^A-Za-z]|$)')::INT AS su, {count(config.GEO_WEAK['US'])} AS wu,
- {count(config.GEO_STRONG['CA'])} AS sc, {count(config.GEO_WEAK['CA'])} AS wc, {count(config.GEO_NEAR)} > 0 AS near FROM l),
-d AS (SELECT ord, near, CASE WHEN su > 0 THEN su + wu ELSE 0 END AS us, CASE WHEN sc > 0 THEN sc + wc ELSE 0 END AS ca FROM c)
-SELECT ord, us::DOUBLE AS us, ca::DOUBLE AS ca, CASE WHEN us >= 1 AND ca >= 1 AND abs(us - ca) <= 1 THEN 'US_CA' WHEN us > ca AND us > 0 THEN 'US' WHEN ca > 0 THEN 'CA' WHEN near THEN 'GLOBAL_NA' ELSE 'GLOBAL' END AS country FROM d"""
-
-
-@query(_geo_sql())
-def geography(spark, sf_dir):
-    return articles(spark, sf_dir).select("ord", classify.country("title", "description").alias("c")).select("ord", "c.us", "c.ca", "c.country")
-
-
-def _hub_sql() -> str:
-    def hits(value, words):
-        form = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-        # One word at a time: neighbouring words share a separator.
-        return f"len(list_distinct(list_filter(string_split_regex(lower({value}), '[^a-z0-9]+'), lambda w : regexp_full_match(w, '(?:{form})s?'))))"
-
-    parts = " UNION ALL ".join(f"SELECT ord, '{h}' AS hub, 2 * {hits('title', w)} + {hits('description', w)} AS score FROM articles" for h, w in config.HUBS.items())
-    return f"WITH {ARTICLES_SQL}, p AS ({parts}) SELECT hub, ord, score FROM p WHERE score >= {config.HUB_THRESHOLD}"
-
-
-@query(_hub_sql())
-def hub_membership(spark, sf_dir):
-    rows = articles(spark, sf_dir)
-    each = F.explode(F.array(*(F.struct(F.lit(h).alias("hub"), classify.hub_score("title", "description", w).alias("score")) for h, w in config.HUBS.items())))
-    return rows.select("ord", each.alias("h")).where(F.col("h.score") >= config.HUB_THRESHOLD).select("h.hub", "ord", F.col("h.score").cast("long").alias("score"))
-
-
 @query(f"""WITH {ARTICLES_SQL} SELECT content_type, country, count(*) AS n FROM articles GROUP BY ALL""")
 def content_mix(spark, sf_dir):
     return articles(spark, sf_dir).groupBy("content_type", "country").agg(F.count(F.lit(1)).alias("n"))
