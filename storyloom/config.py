@@ -57,10 +57,15 @@ MAX_AGE_HOURS, FUTURE_MINUTES, ARTICLE_CAP = 72, 30, 950
 PAIR_FLOOR, CROSS_CATEGORY, CONFLICT = 0.42, 0.05, 0.15
 LEAD_FLOOR, HEADLINE_FLOOR, PRINT_FLOOR = 0.25, 0.1, 0.42
 POSTING_CUTOFF, PAIR_HOURS = 50, 48
+GROUP_OVERLAP = 0.6
+#: Titles that report a death, in plain words.
+DEATH = r"(?i)\b(?:die[ds]|dead|deaths?|passe[ds]\s+away|obituar(?:y|ies)|obit|remembered|mourn(?:s|ed|ing)?)\b"
+#: Stems that relate events in time and never identify one.
+WEAK_STEMS = tuple("monday tuesday wednesday thursday friday saturday sunday today yesterday tonight ago follow amid amidst".split())
 RARE_FLOOR, RARE_SHARE = 4, 0.04
 HISTORY_CAP, DISPLAY_CAP, CHURN_HOURS = 20, 6, 24
 TOPIC_MIN_CLUSTERS, COLLECTION_MIN = 2, 3
 ACTIONS = {
-    "death": ("die", "kill", "death"), "win": ("win", "beat", "defeat"), "launch": ("launch", "unveil", "debut"), "cut": ("cut", "slash", "reduce"),
+    "death": ("die", "died", "dead", "kill", "death"), "win": ("win", "beat", "defeat"), "launch": ("launch", "unveil", "debut"), "cut": ("cut", "slash", "reduce"),
     "rise": ("rise", "jump", "surge"), "arrest": ("arrest", "detain", "charge"),
 }

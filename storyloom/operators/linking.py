@@ -19,16 +19,35 @@ from storyloom.operators.graph import components
 
 
 def features(articles: DataFrame) -> DataFrame:
-    """tokens, stems, bigrams, names (lower-case entities), actions and canonical terms of the titles."""
-    words = articles.withColumn("_words", text.tokens("title"))
+    """What titles are linked by.
+
+    tokens, stems, bigrams, names (lower-case entities); plain: stems that are neither weak nor actions; actions; terms: plain
+    stems and action marks; proper: plain stems that are capitalised past the title's first word or stand in an entity; pairs:
+    neighbouring capitalised words, and entities of two words, as stems; death: whether the title reports one.
+    """
+    title = F.coalesce("title", F.lit(""))
+    words = articles.withColumn("_title", F.regexp_replace(F.regexp_replace(title, r"(?i)\bpasses\s+away\b", "dies"), r"(?i)\bpassed\s+away\b", "died"))
+    words = words.withColumn("_words", text.tokens(title)).withColumn("_match", text.tokens("_title")).withColumn("_raw", F.split("_title", r"\s+"))
     verbs = {verb: group for group, verbs in config.ACTIONS.items() for verb in verbs}
     table = F.create_map(*(F.lit(x) for pair in verbs.items() for x in pair))
-    rows = words.withColumn("tokens", F.array_distinct("_words")).withColumn("bigrams", text.bigrams(F.col("_words")))
-    rows = rows.withColumn("stems", F.array_distinct(F.transform("tokens", text.stem)))
+    stems_of = lambda tokens: F.array_distinct(F.transform(tokens, text.stem))
+    rows = words.withColumn("tokens", F.array_distinct("_words")).withColumn("bigrams", text.bigrams(F.col("_words"))).withColumn("stems", stems_of(F.col("_words")))
+    rows = rows.withColumn("_stems", stems_of(F.col("_match")))
     rows = rows.withColumn("names", F.array_distinct(F.transform("entities", lambda e: F.lower(e))))
-    rows = rows.withColumn("actions", F.array_distinct(F.filter(F.transform("stems", lambda s: table[s]), lambda a: a.isNotNull())))
-    marked = F.transform("stems", lambda s: F.coalesce(F.concat(F.lit("act:"), table[s]), s))
-    return rows.withColumn("terms", F.array_distinct(marked)).drop("_words")
+    rows = rows.withColumn("actions", F.array_distinct(F.filter(F.transform("_stems", lambda s: table[s]), lambda a: a.isNotNull())))
+    rows = rows.withColumn("plain", F.filter("_stems", lambda s: table[s].isNull() & ~s.isin(*config.WEAK_STEMS)))
+    rows = rows.withColumn("terms", F.concat("plain", F.transform("actions", lambda a: F.concat(F.lit("act:"), a))))
+    # A word of the title with its stems, each once, whether capitalised.
+    parts = F.transform("_raw", lambda w: F.struct(w.rlike("^[A-Z]").alias("up"), F.transform(text.tokens(w), text.stem).alias("s")))
+    rows = rows.withColumn("_parts", parts).withColumn("_names", F.transform("entities", lambda e: F.transform(text.tokens(e), text.stem)))
+    upper = F.flatten(F.transform(F.filter(F.slice("_parts", 2, 1 << 20), lambda p: p["up"]), lambda p: p["s"]))
+    rows = rows.withColumn("proper", F.array_intersect("plain", F.concat(upper, F.flatten("_names"))))
+    twos = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.struct(F.get("_parts", i - 1).alias("x"), F.get("_parts", i).alias("y")))
+    twos = F.filter(F.when(F.size("_parts") > 1, twos), lambda p: p["x"]["up"] & p["y"]["up"] & (F.size(p["x"]["s"]) == 1) & (F.size(p["y"]["s"]) == 1))
+    twos = F.concat(F.transform(F.coalesce(twos, F.array()), lambda p: F.concat(p["x"]["s"], p["y"]["s"])), F.filter("_names", lambda n: F.size(n) == 2))
+    both = F.filter(twos, lambda p: F.array_contains("plain", p[0]) & F.array_contains("plain", p[1]))
+    rows = rows.withColumn("pairs", F.array_distinct(F.transform(both, lambda p: F.concat_ws(" ", p)))).withColumn("death", title.rlike(config.DEATH))
+    return rows.drop("_title", "_words", "_match", "_raw", "_stems", "_parts", "_names")
 
 
 def document_frequency(rows: DataFrame, column: str = "terms") -> DataFrame:
@@ -117,30 +136,60 @@ def containment_bar(shared_action: Column, rare: Column) -> Column:
     return F.when(~shared_action, 0.72).when(rare >= 3, 0.62).otherwise(0.65)
 
 
+def weighing(rows: DataFrame) -> DataFrame:
+    """rows with prints: their terms with weight and rarity in the table, and weight, their sum."""
+    if "prints" in rows.columns:
+        return rows
+    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+    weights = document_frequency(rows).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n_rows") / F.col("df")).alias("w"), (F.col("df") <= rare_limit(F.col("n_rows"))).alias("rare"))
+    listed = rows.select("ord", F.explode("terms").alias("term")).join(weights, "term").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("term", "w", "rare"))).alias("prints"))  # of one title
+    out = rows.join(listed, "ord", "left").withColumn("prints", F.coalesce("prints", F.array().cast("array<struct<term:string,w:double,rare:boolean>>")))
+    return out.withColumn("weight", _weight("prints"))
+
+
+def _weight(terms: Column | str) -> Column:
+    return F.aggregate(col(terms), F.lit(0.0), lambda sum_, t: sum_ + t["w"])
+
+
 def decide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidate pairs with headline, print, contain, rare, near (within the hours and of two domains) and link."""
-    sided = with_sides(pairs, rows).select(
+    """Pairs with headline, print, contain, rare, conflict, near (within the hours and of two domains), link and supports.
+
+    strong: two rare stems in common, one of them a proper noun on either side, no conflict of actions.  death: both titles
+    report one, with a person in common (two rare proper stems or a whole name of rare stems) and no other act that differs,
+    within the hours.  Everything follows from the two rows, which meet the pair once.
+    """
+    keep = ["tokens", "bigrams", "names", "actions", "plain", "proper", "pairs", "death", "prints", "weight", "published_at", "domain", "category"]
+    weighed = weighing(rows)
+    side = lambda name: weighed.select(F.col("ord").alias(name), F.struct(*keep).alias(f"_{name}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    met = met.withColumn("_shared", F.array_intersect("_a.prints", "_b.prints"))
+    met = met.withColumn("_rare", F.transform(F.filter("_shared", lambda t: t["rare"] & ~t["term"].startswith("act:")), lambda t: t["term"]))
+    met = met.withColumn("_anchors", F.array_intersect("_rare", F.concat("_a.proper", "_b.proper")))
+    other = lambda name: F.filter(f"_{name}.actions", lambda a: a != "death")
+    differ = lambda x, y: (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
+    whole = F.exists(F.array_intersect("_a.pairs", "_b.pairs"), lambda p: F.array_contains("_rare", F.split(p, " ")[0]) & F.array_contains("_rare", F.split(p, " ")[1]))
+    hours = F.abs(F.unix_seconds("_a.published_at") - F.unix_seconds("_b.published_at")) <= config.PAIR_HOURS * 3600
+    conflict = differ(F.col("_a.actions"), F.col("_b.actions"))
+    both = _weight("_shared")
+    ratio = lambda total: F.when(total > 0, both / total).otherwise(0.0)
+    rated = met.select(
         "a",
         "b",
         headline_similarity("_a", "_b").alias("headline"),
+        ratio(F.col("_a.weight") + F.col("_b.weight") - both).alias("print"),
+        ratio(F.least("_a.weight", "_b.weight")).alias("contain"),
+        F.size("_rare").alias("rare"),
         F.arrays_overlap("_a.actions", "_b.actions").alias("same_action"),
-        ((F.size("_a.actions") > 0) & (F.size("_b.actions") > 0) & ~F.arrays_overlap("_a.actions", "_b.actions")).alias("conflict"),
+        conflict.alias("conflict"),
         (F.col("_a.category") != F.col("_b.category")).alias("cross"),
-        (F.array_contains("_a.actions", "death") & F.array_contains("_b.actions", "death") & F.arrays_overlap("_a.names", "_b.names")).alias("death"),
-        (F.arrays_overlap("_a.names", "_b.names")).alias("named"),
-        ((F.abs(F.unix_seconds("_a.published_at") - F.unix_seconds("_b.published_at")) <= config.PAIR_HOURS * 3600) & (F.col("_a.domain") != F.col("_b.domain"))).alias("near"),
+        ((F.size("_rare") >= 2) & (F.size("_anchors") > 0) & ~conflict).alias("strong"),
+        (F.col("_a.death") & F.col("_b.death") & ~differ(other("a"), other("b")) & ((F.size("_anchors") >= 2) | whole) & hours).alias("died"),
+        (hours & (F.col("_a.domain") != F.col("_b.domain"))).alias("near"),
     )
-    rated = sided.join(weighted(pairs, rows), ["a", "b"])
-    strong = (F.col("rare") >= 2) & F.col("named") & ~F.col("conflict")
     floor = config.PAIR_FLOOR + F.when(F.col("cross"), config.CROSS_CATEGORY).otherwise(0.0) + F.when(F.col("conflict"), config.CONFLICT).otherwise(0.0)
-    alike = (
-        (F.col("headline") >= floor)
-        | (strong & (F.col("print") >= config.PRINT_FLOOR) & (F.col("headline") >= config.HEADLINE_FLOOR))
-        | (strong & (F.col("contain") >= containment_bar(F.col("same_action"), F.col("rare"))) & (F.col("headline") >= config.HEADLINE_FLOOR))
-        | (F.col("death") & (F.col("headline") >= config.HEADLINE_FLOOR))
-    )
-    supported = (F.col("headline") >= config.LEAD_FLOOR) | F.col("death") | (strong & ((F.col("print") >= config.PRINT_FLOOR) | (F.col("contain") >= containment_bar(F.col("same_action"), F.col("rare")))))
-    return rated.withColumn("link", F.col("near") & alike).withColumn("supports", supported)
+    evident = F.col("strong") & ((F.col("print") >= config.PRINT_FLOOR) | (F.col("contain") >= containment_bar(F.col("same_action"), F.col("rare"))))
+    linked = (F.col("headline") >= floor) | ((evident | F.col("died")) & (F.col("headline") >= config.HEADLINE_FLOOR))
+    return rated.withColumn("link", F.col("near") & linked).withColumn("supports", (F.col("headline") >= config.LEAD_FLOOR) | F.col("died") | evident)
 
 
 def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,60 +214,84 @@ def lead_order() -> list[Column]:
 def validated(rows: DataFrame) -> DataFrame:
     """Undo chains: a member stays that the lead or most others support; the rest stand alone.
 
-    The lead counts among the others but never as support.  What supports what follows from titles and
-    names alone, so members alike in these are one kind, and kinds are compared rather than members: a
-    group of any size takes as many pairs as it has pairs of different headlines.
+    The lead counts among the others but never as support.  What supports what follows from titles,
+    names and times, so members alike in these are one kind.  All kinds are compared with the lead's; only those
+    that it does not support are compared with the others of their group.
     """
-    key = ["grp", "title", "entities"]
+    key = ["grp", "title", "entities", "published_at"]
     best = rows.groupBy("grp").agg(F.min_by("ord", F.struct(*_lead_key())).alias("_lead"), F.count(F.lit(1)).alias("_size"))
-    ranked = checkpoint(rows.join(best, "grp"))
+    ranked = rows.join(best, "grp")
     many = ranked.where("_size > 1")
     kinds = many.groupBy(*key).agg(F.min("ord").alias("kind"), F.count(F.lit(1)).alias("weight"), F.max(F.col("ord") == F.col("_lead")).alias("leads"))
     kinds = checkpoint(kinds.select(*key, "kind", (F.col("weight") - F.col("leads").cast("int")).alias("weight"), "leads"))
-    side = lambda name: kinds.select("grp", F.col("kind").alias(name))
-    pairs = side("a").join(side("b"), "grp").where("a <= b").select("a", "b")
-    rated = decide(pairs, ranked).where("supports").select("a", "b")
-    both = rated.unionByName(rated.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    support = both.join(kinds.select(F.col("kind").alias("b"), "weight", "leads"), "b").groupBy(F.col("a").alias("kind"))
-    support = support.agg(F.max("leads").alias("_by_lead"), F.sum(F.col("weight") - (F.col("a") == F.col("b")).cast("int")).alias("_others"))
-    named = kinds.join(support, "kind", "left").select(*key, "_by_lead", "_others")
+    # Only rows that are kinds are needed on either side of a pair.
+    own = checkpoint(many.join(kinds.select(F.col("kind").alias("ord")), "ord", "left_semi"))
+    lead = kinds.where("leads").select("grp", F.col("kind").alias("b"))
+    by_lead = checkpoint(decide(kinds.select("grp", F.col("kind").alias("a")).join(lead, "grp").select("a", "b"), own).where("supports").select(F.col("a").alias("kind")))
+    left = kinds.join(by_lead, "kind", "left_anti").select("grp", F.col("kind").alias("a"))
+    others = decide(left.join(kinds.select("grp", F.col("kind").alias("b")), "grp").select("a", "b"), own).where("supports").select("a", "b")
+    support = others.join(kinds.select(F.col("kind").alias("b"), "weight"), "b").groupBy(F.col("a").alias("kind")).agg(F.sum(F.col("weight") - (F.col("a") == F.col("b")).cast("int")).alias("_others"))
+    named = kinds.join(by_lead.withColumn("_by_lead", F.lit(True)), "kind", "left").join(support, "kind", "left").select(*key, "_by_lead", "_others")
     kept = ranked.join(named, key, "left")
     stays = (F.col("ord") == F.col("_lead")) | F.coalesce("_by_lead", F.lit(False)) | (2 * F.coalesce("_others", F.lit(0)) > F.col("_size") - 1)
-    return kept.withColumn("grp", F.when(stays, F.col("grp")).otherwise(F.col("ord"))).drop("_lead", "_size", "_by_lead", "_others")
+    return checkpoint(kept.withColumn("grp", F.when(stays, F.col("grp")).otherwise(F.col("ord"))).drop("_lead", "_size", "_by_lead", "_others"))
+
+
+def group_prints(rows: DataFrame, top: int = 10) -> DataFrame:
+    """One row a group: tops (its plain stems by members that have them, then weight; with rarity), proper stems, actions, times, weight."""
+    stems = rows.select("grp", F.explode(F.filter("prints", lambda t: ~t["term"].startswith("act:"))).alias("t")).groupBy("grp", "t").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("grp").orderBy(F.desc("n"), F.desc("t.w"), "t.term")
+    best = stems.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= top)
+    proper = rows.select("grp", F.explode("proper").alias("_p")).distinct()
+    named = best.join(proper, (best["grp"] == proper["grp"]) & (best["t"]["term"] == proper["_p"]), "left").select(best["grp"], "t", "_p")
+    tops = named.groupBy("grp").agg(F.sort_array(F.collect_list("t")).alias("tops"), F.collect_list("_p").alias("proper"))  # top rows
+    acts = rows.select("grp", F.explode("actions").alias("a")).groupBy("grp").agg(F.collect_set("a").alias("actions"))  # one for each kind of action
+    span = rows.groupBy("grp").agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
+    out = tops.join(span, "grp").join(acts, "grp", "left").withColumn("actions", F.coalesce("actions", F.array().cast("array<string>")))
+    return out.withColumn("weight", _weight("tops"))
 
 
-def second_pass(rows: DataFrame, top: int = 10, overlap: float = 0.6) -> DataFrame:
-    """Merge groups whose leading terms overlap.
+def second_pass(rows: DataFrame, top: int = 10, overlap: float = config.GROUP_OVERLAP) -> DataFrame:
+    """Merge groups that tell of one event.
 
-    Groups that pass share two rare terms, so two rare terms together are the key of the equi-join: at most
-    45 keys a group, and a term that many groups lead with is no key by itself.
+    They are close in time, their actions do not conflict, and of their leading stems they share two rare ones, one of them
+    a proper noun on either side, and so many that the weight of the shared ones is the given part of the lighter group's.
+
+    Candidates meet by an equi-join.  The lighter group's stems, the heaviest first, have a prefix that a partner must share
+    one of: behind it there is not enough weight left.  The key is a rare stem of that prefix with a second rare stem and a
+    stretch of time, against all such pairs of the other group.
     """
-    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    terms = rows.select("grp", "published_at", F.explode("terms").alias("term"))
-    df = document_frequency(rows)
-    support = terms.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("support")).join(df, "term").crossJoin(F.broadcast(n))
-    support = support.withColumn("idf", F.log(1 + F.col("n_rows") / F.col("df"))).withColumn("rare", F.col("df") <= rare_limit(F.col("n_rows")))
-    order = W.partitionBy("grp").orderBy(F.desc("support"), F.desc("idf"), "term")
-    tops = checkpoint(support.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= top).select("grp", "term", "rare"))
-    sizes = tops.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    rare = tops.where("rare")
-    twos = checkpoint(rare.select("grp", "term").join(rare.select("grp", F.col("term").alias("second")), "grp").where("term < second"))
-    pairs = twos.withColumnRenamed("grp", "a").join(twos.withColumnRenamed("grp", "b"), ["term", "second"]).where("a < b").select("a", "b").distinct()
-    shared = pairs.join(tops.select(F.col("grp").alias("a"), "term"), "a").join(tops.select(F.col("grp").alias("b"), "term"), ["b", "term"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    span = rows.groupBy("grp").agg(F.min("published_at").alias("lo"), F.max("published_at").alias("hi"))
-    rated = shared.join(sizes.select(F.col("grp").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("grp").alias("b"), F.col("size").alias("nb")), "b")
-    rated = rated.join(span.select(F.col("grp").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), "a").join(span.select(F.col("grp").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb")), "b")
-    gap = F.greatest(F.unix_seconds("la") - F.unix_seconds("hb"), F.unix_seconds("lb") - F.unix_seconds("ha"), F.lit(0))
-    links = rated.where((F.col("shared") / F.least("na", "nb") >= overlap) & (gap <= config.PAIR_HOURS * 3600)).select("a", "b")
+    prints = checkpoint(group_prints(weighing(rows), top))
+    reach = config.PAIR_HOURS * 3600
+    heavy = F.reverse(F.array_sort("tops", lambda x, y: F.when(x["w"] < y["w"], -1).when(x["w"] > y["w"], 1).when(x["term"] > y["term"], -1).when(x["term"] < y["term"], 1).otherwise(0)))
+    sized = prints.where(F.size(F.filter("tops", lambda t: t["rare"])) >= 2).withColumn("_h", heavy)
+    left = lambda i: F.aggregate(F.slice("_h", i + 1, top), F.lit(0.0), lambda x, t: x + t["w"])  # noqa: E731  what stands from i on
+    places = lambda: F.sequence(F.lit(0), F.size("_h") - 1)
+    two = lambda i, j: F.array_sort(F.array(F.get("_h", i)["term"], F.get("_h", j)["term"]))
+    rare = lambda i: F.get("_h", i)["rare"]
+    twos = lambda first: F.flatten(F.transform(F.filter(places(), first), lambda i: F.transform(F.filter(places(), lambda j: (j > i) & rare(j)), lambda j: two(i, j))))
+    stretch = lambda less: F.explode(F.sequence(F.floor((F.unix_seconds("lo") - less) / reach), F.floor((F.unix_seconds("hi") + less) / reach)))
+    slack = 1 - 1e-9
+    light = sized.select(F.col("grp").alias("a"), F.explode(twos(lambda i: rare(i) & (left(i) >= overlap * slack * F.col("weight")))).alias("key"), "lo", "hi").select("a", "key", stretch(reach).alias("at"))
+    every = sized.select(F.col("grp").alias("b"), F.explode(twos(rare)).alias("key"), "lo", "hi").select("b", "key", stretch(0).alias("at"))
+    pairs = light.join(every, ["key", "at"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda name: prints.select(F.col("grp").alias(name), F.struct("tops", "proper", "actions", "lo", "hi", "weight").alias(f"_{name}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("_shared", F.array_intersect("_a.tops", "_b.tops"))
+    met = met.withColumn("_rare", F.transform(F.filter("_shared", lambda t: t["rare"]), lambda t: t["term"]))
+    gap = F.greatest(F.unix_micros(F.col("_a.lo").cast("timestamp")) - F.unix_micros(F.col("_b.hi").cast("timestamp")), F.unix_micros(F.col("_b.lo").cast("timestamp")) - F.unix_micros(F.col("_a.hi").cast("timestamp")))
+    agree = (F.size("_a.actions") == 0) | (F.size("_b.actions") == 0) | F.arrays_overlap("_a.actions", "_b.actions")
+    anchored = F.arrays_overlap("_rare", F.concat("_a.proper", "_b.proper"))
+    enough = _weight("_shared") / F.least("_a.weight", "_b.weight") >= overlap
+    links = met.where((gap <= reach * 1_000_000) & agree & (F.size("_rare") >= 2) & anchored & enough).select("a", "b")
     found = components(links)
     return rows.join(found.select(F.col("node").alias("grp"), F.col("label").alias("_label")), "grp", "left").withColumn("grp", F.coalesce("_label", "grp")).drop("_label")
 
 
 def cluster(articles: DataFrame) -> DataFrame:
-    """Articles with grp: block, decide, connect, validate, merge, validate."""
-    rows = checkpoint(features(articles))
+    """Articles with grp: block, decide, connect, validate, merge, validate. Terms are weighed once, for all steps."""
+    rows = checkpoint(weighing(features(articles)))
     links = decide(candidates(rows), rows).where("link")
-    return validated(second_pass(validated(grouped(rows, links))))
+    return validated(checkpoint(second_pass(validated(grouped(rows, links)))))
 
 
 def inherit_ids(groups: DataFrame, previous: DataFrame) -> DataFrame:
