@@ -18,12 +18,12 @@ GENERIC = 12
 
 
 def stories_of_a_moment(rows):
-    """Articles of one language published within twelve hours: a stand-in for stories whose result SQL can follow."""
+    """Articles of one language published within six hours: a stand-in for stories whose result SQL can follow."""
     language = F.split("canonical_url", "/")[3]
-    return rows.withColumn("grp", F.concat_ws("-", language, F.floor(F.col("ord") * 7919 % 5760 / 720).cast("string")))
+    return rows.withColumn("grp", F.concat_ws("-", language, F.floor(F.col("ord") * 7919 % 5760 / 360).cast("string")))
 
 
-_MOMENTS = "m AS (SELECT *, split_part(canonical_url, '/', 4) || '-' || (ord * 7919 % 5760 // 720) AS grp FROM articles)"
+_MOMENTS = "m AS (SELECT * EXCLUDE (entities), regexp_extract_all(description, '[A-Z][a-z]{6,}') AS entities, split_part(canonical_url, '/', 4) || '-' || (ord * 7919 % 5760 // 360) AS grp FROM articles)"
 
 
 def _details_sql() -> str:
@@ -33,7 +33,7 @@ def _details_sql() -> str:
     count = f"regexp_extract_all(whole, {quoted('(?:^|[^0-9A-Za-z_$.,])(' + corroborate.COUNT + ')')}, 1)"
     counts = f"list_filter({count}, lambda p : NOT regexp_matches(regexp_extract(p, '^[0-9,]+'), {quoted(corroborate.YEAR)}) AND NOT list_contains({stop}, lower(regexp_extract(p, '[A-Za-z-]+$'))))"
     return f"""WITH {ARTICLES_SQL}, {_MOMENTS},
-g AS (SELECT lower(name) AS name FROM (SELECT unnest(entities) AS name FROM articles) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {GENERIC}),
+g AS (SELECT lower(name) AS name FROM (SELECT unnest(entities) AS name FROM m) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {GENERIC}),
 s AS (SELECT grp, lower(title) AS t, list_transform(entities, lambda e : lower(e)) AS shown FROM m QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) = 1),
 d AS (SELECT grp, ord, domain, source, entities, whole, lower(whole) AS low FROM (SELECT *, trim(regexp_replace(title || ' ' || description, '\\s+', ' ', 'g')) AS whole FROM m WHERE content_type <> 'press_release')),
 f AS (SELECT *, {found[0]} || {found[1]} || {found[2]} || {counts} AS figures FROM d),
@@ -47,8 +47,8 @@ SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY place) AS INTEGER)
 
 @query(_details_sql())
 def corroborated_details(spark, sf_dir):
-    """The first member's title and names stand for the story's."""
-    rows = stories_of_a_moment(articles(spark, sf_dir))
+    """Long capitalised words of the texts are the names; the first member's title and names stand for the story's."""
+    rows = stories_of_a_moment(articles(spark, sf_dir)).withColumn("entities", F.regexp_extract_all("description", F.lit("[A-Z][a-z]{6,}"), 0))
     leads = rows.groupBy("grp").agg(F.min_by("title", "ord").alias("title"), F.min_by("entities", "ord").alias("entities"))
     generic = rows.select(F.explode("entities").alias("name")).groupBy(F.lower("name").alias("name")).count().orderBy(F.desc("count"), "name").limit(GENERIC)
     return corroborate.details(rows, leads, generic).select("grp", "rank", "phrase", "domains", F.array_join("sources", ",").alias("sources"))
