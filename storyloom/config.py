@@ -65,6 +65,8 @@ WEAK_STEMS = tuple("monday tuesday wednesday thursday friday saturday sunday tod
 RARE_FLOOR, RARE_SHARE = 4, 0.04
 HISTORY_CAP, DISPLAY_CAP, CHURN_HOURS = 20, 6, 24
 TOPIC_MIN_CLUSTERS, COLLECTION_MIN = 2, 3
+#: Endings that tell the kind of a place and not which place it is.
+PLACE_SUFFIXES = ("county", "province", "region", "district", "nature reserve", "national park", "conservation area")
 ACTIONS = {
     "death": ("die", "died", "dead", "kill", "death"), "win": ("win", "beat", "defeat"), "launch": ("launch", "unveil", "debut"), "cut": ("cut", "slash", "reduce"),
     "rise": ("rise", "jump", "surge"), "arrest": ("arrest", "detain", "charge"),

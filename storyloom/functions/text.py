@@ -202,3 +202,22 @@ def topic_key(name: Column | str) -> Column:
 
 def id_token(slug: Column | str) -> Column:
     return F.substring_index(col(slug), "-", -1)
+
+
+def topic_name(name: Column | str) -> Column:
+    """Lower case without marks and apostrophes, words apart by one space: what two spellings of a topic are compared by."""
+    return F.trim(F.regexp_replace(F.regexp_replace(without_accents(F.lower(col(name))), "['’]", ""), "[^a-z0-9]+", " "))
+
+
+def plural_variants(word: Column) -> Column:
+    """array<string>: how the plural or the singular of a word may be spelled; never the word itself, nor less than three letters."""
+    cut = lambda n, end="": F.concat(F.substring(word, F.lit(1), F.length(word) - n), F.lit(end))
+    forms = F.array(
+        F.concat(word, F.lit("s")),
+        F.when(word.rlike("[^aeiou]y$"), cut(1, "ies")),
+        F.when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))),
+        F.when((F.length(word) > 4) & word.endswith("ies"), cut(3, "y")),
+        F.when((F.length(word) > 4) & word.rlike("(ses|xes|zes|ches|shes)$"), cut(2)),
+        F.when((F.length(word) > 3) & word.rlike("[^s]s$"), cut(1)),
+    )
+    return F.array_distinct(F.filter(forms, lambda f: f.isNotNull() & (F.length(f) > 2)))

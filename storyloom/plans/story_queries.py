@@ -270,11 +270,6 @@ def topic_index(spark, sf_dir):
     return topics.index(built(spark, sf_dir)[1])
 
 
-@query()
-def topic_stories(spark, sf_dir):
-    return topics.stories_of(built(spark, sf_dir)[1], "there").select("grp", "title")
-
-
 @query()
 def hub_counts(spark, sf_dir):
     return topics.hub_counts(built(spark, sf_dir)[1])
