@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import audit_queries, calendar_queries, evidence_queries, registry, report_queries, story_queries, text_queries, topic_queries  # noqa: F401
+from storyloom.plans import audit_queries, calendar_queries, evidence_queries, registry, report_queries, state_queries, story_queries, text_queries, topic_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
