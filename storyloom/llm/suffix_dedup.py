@@ -5,17 +5,24 @@ strings.  Equal windows have equal anchors at the same distance, so windows need
 compared within the group of one anchor string, and consecutive windows of one anchor (a
 stretch) travel together.
 
-1. Tasks find stretches and send their hashes, 34 bytes each.  Copies of a whole stretch, known by
-   two 64-bit hashes (of the anchor and of everything), are pre-aggregated to the first of them,
-   within a task before anything is sent.
-2. Where stretches of one anchor differ, one of each kind asks for its bytes.
+1. Tasks find stretches and send their hashes, 34 bytes each, by the hash of the whole stretch.  Copies
+   of a whole stretch, known by two 64-bit hashes (of the anchor and of everything), are
+   pre-aggregated to the first of them, within a task before anything is sent.
+2. One stretch of each kind goes on, to the bucket of its anchor.  Where stretches of one anchor
+   differ, each asks for its bytes.
 3. In each group the windows of these stretches are put in suffix order to LENGTH bytes.  Previous
    and next smaller positions in that order give each window's longest previous factor; those that
    reach LENGTH have an earlier match.
 4. The ranges found meet their text, which is cut and hashed.
 
-Work is split by hashes of anchors and of documents into a number of buckets that grows with
-the text; a group of copies reaches a bucket as one stretch of so many at most.
+A passage that stands in very many texts between different neighbours gives very many kinds of one anchor.
+Kinds are spread evenly in step 1, so an anchor that a bucket there sees often, by what KINDS in all would give, has too many
+for a group.  The up to HOTS most seen of these go another way: their windows are compared by 128-bit
+hashes.  A task keeps the first window of each hash and removes the others; the first ones of all tasks meet
+by the hash, so a passage reaches its bucket once from each task.
+
+Work is split by hashes of stretches, anchors, windows and documents into a number of buckets that grows with
+the text.
 
 Order is by doc_id (null last), then the text's hash, then place.  Defined results: a null
 text is an empty one; rows with equal doc_id and text count as one document, and each gets its
@@ -44,12 +51,16 @@ BUCKET_BYTES = 12_000_000
 STRETCH = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("w", "u1"), ("o", "u1")])
 ASK = np.dtype([("fp", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("lo", "<u4"), ("w", "u1"), ("o", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("th", "<u4"), ("a", "<u4"), ("b", "<u4")])
-RANGES, ASKS = 0, 1
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("a", "<u4")])
+RANGES, ASKS, HOT, SHARED = 0, 1, 2, 3
 HIGH = np.uint64(0xFFFFFFFF00000000)
 LOW = np.uint64(0xFFFFFFFF)
 WINDOWS = 150_000
 #: Stretches that a task settles before it sends them.
 HELD = 300_000
+#: Kinds of stretches of one anchor that a group takes, about; anchors with more that every task is told, at most.
+KINDS = 4000
+HOTS = 1_000_000
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -126,7 +137,7 @@ SCHEMA = "kind int, bucket int, blob binary"
 
 
 def find(docs: DataFrame, buckets: int) -> DataFrame:
-    """Stretches by bucket of their anchor (kind ASKS), and ranges that are settled in the task."""
+    """Stretches by bucket of their whole hash (kind ASKS), and ranges that are settled in the task."""
 
     def run(batches):
         for batch in batches:
@@ -147,34 +158,78 @@ def find(docs: DataFrame, buckets: int) -> DataFrame:
                 got, held = [], 0
                 first = first[np.lexsort([first["lo"], first["doc"]])]
                 ranges = merged(ranges)
-                items = [(ASKS, b, blob) for b, blob in parts(first, (first["fp"] % np.uint64(buckets)).astype(np.int64))]
+                items = [(ASKS, b, blob) for b, blob in parts(first, (first["ctx"] % np.uint64(buckets)).astype(np.int64))]
                 yield rows_of(items + [(RANGES, b, blob) for b, blob in parts(ranges, doc_bucket(ranges["doc"], buckets))])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def resolve(found: DataFrame, buckets: int) -> DataFrame:
-    """Ranges of copied stretches, and for differing ones of one anchor the wish for their bytes."""
+    """Ranges of copied stretches; one stretch of each kind, by bucket of its anchor (ASKS); anchors seen often here (HOT)."""
+    often = max(2, KINDS // buckets)
 
     def run(key, table):
         blobs = [b.as_buffer() for b in table.column("blob").combine_chunks()] if table.num_rows else []
         if key[0].as_py() == RANGES:
             return pa.Table.from_batches([rows_of([(RANGES, key[1].as_py(), merged(np.concatenate([np.frombuffer(b, RANGE) for b in blobs])).tobytes())])])
         first, ranges = settle(np.concatenate([np.frombuffer(b, STRETCH) for b in blobs]))
-        new = np.ones(len(first), bool)
-        new[1:] = first["fp"][1:] != first["fp"][:-1]
-        group = np.cumsum(new) - 1
-        several = first[np.bincount(group)[group] > 1]
-        asks = np.zeros(len(several), ASK)
+        kinds = np.zeros(len(first), ASK)
         for k in ASK.names:
-            asks[k] = several[k]
-        items = [(ASKS, b, blob) for b, blob in parts(asks, doc_bucket(asks["doc"], buckets))]
-        items += [(RANGES, b, blob) for b, blob in parts(merged(ranges), doc_bucket(merged(ranges)["doc"], buckets))]
+            kinds[k] = first[k]
+        items = [(ASKS, b, blob) for b, blob in parts(kinds, (kinds["fp"] % np.uint64(buckets)).astype(np.int64))]
+        ranges = merged(ranges)
+        items += [(RANGES, b, blob) for b, blob in parts(ranges, doc_bucket(ranges["doc"], buckets))]
+        anchors, n = np.unique(kinds["fp"], return_counts=True)
+        if (n >= often).any():
+            items.append((HOT, 0, anchors[n >= often].astype("<u8").tobytes()))
         return pa.Table.from_batches([rows_of(items)])
 
     return found.groupBy("kind", "bucket").applyInArrow(run, SCHEMA)
 
 
+def hot_anchors(found: DataFrame) -> np.ndarray:
+    """The anchors that most buckets have seen often, HOTS at most, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_buffer(), "<u8").view("<i8"))], ["fp"])
+
+    seen = found.where(F.col("kind") == HOT).select("blob").mapInArrow(run, "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    best = seen.orderBy(F.desc("n"), "fp").limit(HOTS).select("fp").toArrow().column("fp").to_numpy()  # HOTS numbers
+    return np.sort(best.view("<u8"))
+
+
+def grouped(found: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Wishes for bytes by bucket of their document: of kinds that share their anchor (ASKS), and of hot anchors (HOT)."""
+    told = found.sparkSession.sparkContext.broadcast(hot)
+
+    def split(batches):
+        for batch in batches:
+            items = []
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                kinds = np.frombuffer(blob.as_buffer(), ASK)
+                place = np.minimum(np.searchsorted(told.value, kinds["fp"]), max(len(told.value) - 1, 0))
+                known = told.value[place] == kinds["fp"] if len(told.value) else np.zeros(len(kinds), bool)
+                if not known.all():
+                    items.append((ASKS, bucket, kinds[~known].tobytes()))
+                items += [(HOT, b, part) for b, part in parts(kinds[known], doc_bucket(kinds["doc"][known], buckets))]
+            yield rows_of(items)
+
+    def several(table):
+        kinds = np.concatenate([np.frombuffer(b.as_buffer(), ASK) for b in table.column("blob").combine_chunks()])
+        kinds = kinds[np.argsort(kinds["fp"], kind="stable")]
+        new = np.ones(len(kinds), bool)
+        new[1:] = kinds["fp"][1:] != kinds["fp"][:-1]
+        group = np.cumsum(new) - 1
+        asks = kinds[np.bincount(group)[group] > 1]
+        return pa.Table.from_batches([rows_of([(ASKS, b, blob) for b, blob in parts(asks, doc_bucket(asks["doc"], buckets))])])
+
+    dealt = found.where(F.col("kind") == ASKS).select("bucket", "blob").mapInArrow(split, SCHEMA)
+    asks = dealt.where(F.col("kind") == ASKS).groupBy("bucket").applyInArrow(several, SCHEMA)
+    return asks.unionByName(dealt.where(F.col("kind") == HOT)) if len(hot) else asks
+
+
 def by_document(records: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     if not len(records):
         return {}
@@ -184,33 +239,105 @@ def by_document(records: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return {(int(records["doc"][a]), int(records["th"][a])): records[a:b] for a, b in zip(begin, [*begin[1:], len(records)])}
 
 
+ANSWER = "kind int, bucket int, asks binary, blob binary"
+
+
+def _answers(items: list[tuple[int, int, bytes | None, bytes]]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([i[k] for i in items], t) for k, (n, t) in enumerate(zip(("kind", "bucket", "asks", "blob"), kinds))})
+
+
 def answer(asks: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
-    """The bytes of the stretches asked for, by bucket of their anchor."""
+    """The bytes of the stretches asked for, by bucket of their anchor; of hot anchors, ranges and the first windows of the task, by hash."""
 
     def run(left, right):
-        wanted = by_document(np.concatenate([np.frombuffer(b.as_buffer(), ASK) for b in left.column("blob").combine_chunks()]) if left.num_rows else np.zeros(0, ASK))
-        done, records, raw = set(), [], []
-        for _, doc, th, text in unpacked(right) if wanted else ():
-            some = wanted.get((doc, th))
-            if some is not None and (doc, th) not in done:
+        want = {ASKS: [np.zeros(0, ASK)], HOT: [np.zeros(0, ASK)]}
+        for kind, blob in zip(left.column("kind").to_pylist(), left.column("blob").combine_chunks() if left.num_rows else ()):
+            want[kind].append(np.frombuffer(blob.as_buffer(), ASK))
+        asked, hot = (by_document(np.concatenate(want[kind])) for kind in (ASKS, HOT))
+        done, records, raw, items = set(), [], [], []
+        shared, held = [], 0
+        for _, doc, th, text in unpacked(right) if asked or hot else ():
+            if (doc, th) in done:
+                continue
+            for wanted in (asked, hot):
+                some = wanted.get((doc, th))
+                if some is None:
+                    continue
                 done.add((doc, th))
-                records.append(some)
-                raw += [bytes(text[a : a + w + LENGTH]) for a, w in zip(some["lo"].tolist(), some["w"].tolist())]
-        if not records:
-            return pa.table({"bucket": pa.array([], pa.int32()), "asks": pa.array([], pa.binary()), "blob": pa.array([], pa.binary())})
-        records = np.concatenate(records)
-        bucket = (records["fp"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        out = [[], [], []]
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for a, b in zip(edges, [*edges[1:], len(order)]):
-            some = order[a:b]
-            for values, v in zip(out, (int(bucket[some[0]]), records[some].tobytes(), squeeze.compress(b"".join(raw[i] for i in some)))):
-                values.append(v)
-        return pa.table({"bucket": pa.array(out[0], pa.int32()), "asks": pa.array(out[1], pa.binary()), "blob": pa.array(out[2], pa.binary())})
+                bytes_ = [bytes(text[a : a + w + LENGTH]) for a, w in zip(some["lo"].tolist(), some["w"].tolist())]
+                if wanted is asked:
+                    records.append(some)
+                    raw += bytes_
+                else:
+                    shared.append(windows(some, np.frombuffer(b"".join(bytes_), np.uint8)))
+                    held += len(shared[-1])
+                    if held > 8 * HELD:
+                        first, ranges = first_windows(np.concatenate(shared))
+                        items += [(RANGES, b, None, blob) for b, blob in parts(ranges, doc_bucket(ranges["doc"], buckets))]
+                        shared, held = [first], 0
+        if shared:
+            first, ranges = first_windows(np.concatenate(shared))
+            items += [(RANGES, b, None, blob) for b, blob in parts(ranges, doc_bucket(ranges["doc"], buckets))]
+            items += [(SHARED, b, None, blob) for b, blob in parts(first, (first["g"] % np.uint64(buckets)).astype(np.int64))]
+        if records:
+            records = np.concatenate(records)
+            bucket = (records["fp"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for a, b in zip(edges, [*edges[1:], len(order)]):
+                some = order[a:b]
+                items.append((ASKS, int(bucket[some[0]]), records[some].tobytes(), squeeze.compress(b"".join(raw[i] for i in some))))
+        return _answers(items)
+
+    return asks.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def block_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """64-bit hashes of the blocks of this length at every place, mixed from those of shorter blocks; no polynomial."""
+    size, have = 1, mix(np.arange(256, dtype=np.uint64) + np.uint64(seed))[data]
+    out, done = None, 0
+    while True:
+        if length & size:
+            part = have[done : len(have)] if out is None else have[done : done + len(out)]
+            out = part if out is None else mix(out[: len(part)] * np.uint64(0xD6E8FEB86659FD93) + part)
+            done += size
+        if 2 * size > length:
+            return out[: max(0, len(data) - length + 1)]
+        have = mix(have[:-size] * np.uint64(0x9FB21C651E98DF25) + have[size:]) if len(have) > size else have[:0]
+        size *= 2
+
 
-    return asks.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(run, "bucket int, asks binary, blob binary")
+def windows(records: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The windows of these stretches, whose bytes follow each other in data."""
+    length = records["w"].astype(np.int64) + LENGTH
+    count = records["w"].astype(np.int64) + 1
+    owner, place = np.repeat(np.arange(len(records)), count), expand(np.zeros(len(records), np.int64), count)
+    start = (np.cumsum(length) - length)[owner] + place
+    out = np.zeros(len(start), WINDOW)
+    out["h"], out["g"] = block_hashes(data, LENGTH, 1)[start], block_hashes(data, LENGTH, 0x5851F42D4C957F2D)[start]
+    for k in ("doc", "th"):
+        out[k] = records[k][owner]
+    out["a"] = records["lo"][owner] + place
+    return out
+
+
+def first_windows(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first window of each hash, merged ranges of the others)."""
+    found = found[np.lexsort([found[k] for k in ("a", "th", "doc", "h", "g")])]
+    new = np.ones(len(found), bool)
+    new[1:] = (found["g"][1:] != found["g"][:-1]) | (found["h"][1:] != found["h"][:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
+    own = np.ones(len(found), bool)  # windows of two stretches may be the same one
+    for k in ("doc", "th", "a"):
+        own &= found[k] == found[k][head]
+    later = found[~own]
+    ranges = np.zeros(len(later), RANGE)
+    for k in ("doc", "th", "a"):
+        ranges[k] = later[k]
+    ranges["b"] = later["a"] + LENGTH
+    return found[new], merged(ranges)
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -295,13 +422,21 @@ def earlier_matches(records: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def compare(answers: DataFrame, buckets: int) -> DataFrame:
-    def run(table):
-        records = np.concatenate([np.frombuffer(b.as_buffer(), ASK) for b in table.column("asks").combine_chunks()])
-        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b.as_py()) for b in table.column("blob").combine_chunks()), np.uint8)
-        found = earlier_matches(records, data)
+    """Ranges by bucket of their document."""
+
+    def run(key, table):
+        kind, blobs = key[0].as_py(), table.column("blob").combine_chunks()
+        if kind == RANGES:
+            return pa.Table.from_batches([rows_of([(RANGES, key[1].as_py(), b.as_py()) for b in blobs])])
+        if kind == SHARED:
+            found = first_windows(np.concatenate([np.frombuffer(b.as_buffer(), WINDOW) for b in blobs]))[1]
+        else:
+            records = np.concatenate([np.frombuffer(b.as_buffer(), ASK) for b in table.column("asks").combine_chunks()])
+            data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(b.as_py()) for b in blobs), np.uint8)
+            found = earlier_matches(records, data)
         return pa.Table.from_batches([rows_of([(RANGES, b, blob) for b, blob in parts(found, doc_bucket(found["doc"], buckets))])])
 
-    return answers.groupBy("bucket").applyInArrow(run, SCHEMA)
+    return answers.groupBy("kind", "bucket").applyInArrow(run, SCHEMA)
 
 
 def cut(ranges: DataFrame, texts: DataFrame, with_text: bool) -> DataFrame:
@@ -332,8 +467,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 32 + int(size // BUCKET_BYTES)
     found = written(resolve(find(docs, buckets), buckets), "suffix-found")
-    texts = packed(docs, buckets)
-    asks = found.where(F.col("kind") == ASKS).select("bucket", "blob")
-    windows = written(compare(answer(asks, texts, buckets), buckets), "suffix-windows")
-    ranges = found.where(F.col("kind") == RANGES).unionByName(windows).select("bucket", "blob")
+    asks = grouped(found, hot_anchors(found), buckets)
+    matched = written(compare(answer(asks, packed(docs, buckets), buckets), buckets), "suffix-windows")
+    ranges = found.where(F.col("kind") == RANGES).unionByName(matched).select("bucket", "blob")
     return cut(ranges, packed(docs, buckets), with_text)

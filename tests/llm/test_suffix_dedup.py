@@ -55,6 +55,40 @@ def test_matches_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_anchors_of_many_kinds_go_by_windows(spark, monkeypatch, seed):
+    """A passage between different neighbours in most texts: every kind of its stretches differs."""
+    monkeypatch.setattr(suffix_dedup, "KINDS", 64)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    licence, other = prose(22)[:130], prose(30)
+    rows = [(i, f"{prose(rng.randint(4, 30))} {licence if i % 5 else other} {prose(rng.randint(4, 30))}") for i in range(400)]
+    rows += [(400 + i, t) for i, t in enumerate(texts(seed))] + [(900, rows[3][1]), (901, rows[3][1] + licence)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = suffix_dedup.resolve(suffix_dedup.find(docs, 32), 32)
+    assert len(suffix_dedup.hot_anchors(found)) > 0
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == brute(sorted(rows))
+
+
+def test_block_hashes_follow_the_bytes():
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(0, 3, 500), np.zeros(200, np.int64)]).astype(np.uint8)
+    for length in (1, 2, 3, 24, 64, 100, 700, 701):
+        got = suffix_dedup.block_hashes(data, length, 5)
+        blocks = [data[i : i + length].tobytes() for i in range(len(data) - length + 1)]
+        assert len(got) == len(blocks) and len(set(zip(got.tolist(), blocks))) == len(set(blocks)) == len(set(got.tolist()))
+
+
+def test_a_text_longer_than_a_piece(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    rows = [(1, long), (2, "start " + long[500_000:500_400] + " end"), (3, long[:700_000])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "Some text that is long enough to be found again by its windows. " * 3
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + "tail")], "doc_id long, text string").repartition(3)
