@@ -45,23 +45,17 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def template(url: Column | str) -> Column:
-    """The kind of page that a path leads to."""
-    p = path(url)
-    kinds = [
-        ("(invalid)", p == "(invalid)"),
-        ("home", p == "/"),
-        ("story", p.rlike("^/story/[^/]+$")),
-        ("topic", p.rlike("^/topic/")),
-        ("source", p.rlike("^/source/")),
-        ("archive", p.rlike("^/archive")),
-        ("report", p.rlike("^/reports/")),
-        ("article", p.rlike(r"^/[a-z]{2}/\d+\.html$")),
-        ("page", p.rlike(r"^/[a-z]{2}/\d+$")),
-    ]
-    out = F
-    for name, test in kinds:
-        out = out.when(test, F.lit(name))
+#: Kinds of pages that their first segment names itself, and those that several first segments lead to.
+OWN_TEMPLATES = ("story", "top-10", "top-100", "briefing", "topic", "source", "reports", "archive", "most-covered", "latest")
+SHARED_TEMPLATES = {"country": ("us", "canada"), "index": ("topics", "sources", "search")}
+
+
+def template(url: Column | str, sections: tuple[str, ...] = config.CATEGORIES, hubs: tuple[str, ...] = tuple(config.HUBS)) -> Column:
+    """The kind of page that an address leads to, by the first segment of its path; whatever is deeper belongs to it."""
+    first = F.split(path(url), "/")[1]
+    out = F.when(path(url) == "/", "home").when(first.isin(*OWN_TEMPLATES), first)
+    for name, segments in (SHARED_TEMPLATES | {"section": sections, "hub": hubs}).items():
+        out = out.when(first.isin(*segments), F.lit(name))
     return out.otherwise(F.lit("other"))
 
 

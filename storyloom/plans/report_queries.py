@@ -52,12 +52,16 @@ def carry_over(spark, sf_dir):
     return archive.carry_over(old, new, "key").select("key", "status")
 
 
-@query(f"""WITH {_GEN}, j AS (SELECT key, p.status AS a, c.status AS b, p.price AS x, c.price AS y FROM p JOIN c USING (key))
-SELECT key, 'headline_updated' AS kind, a AS old, b AS new FROM j WHERE a IS DISTINCT FROM b""")
+@query(f"""WITH {_GEN}, j AS (SELECT key, p.status AS a, c.status AS b, floor(p.price / 1000)::BIGINT AS x, floor(c.price / 1000)::BIGINT + (key % 5 = 0)::INT AS y FROM p JOIN c USING (key)),
+e AS (SELECT key, 'headline_updated' AS kind, a AS old, b AS new FROM j UNION ALL SELECT key, 'coverage_change', x::VARCHAR, y::VARCHAR FROM j UNION ALL SELECT key, 'category_changed', CASE WHEN key % 11 > 0 THEN 'a' END, CASE WHEN key % 11 = 0 OR key % 13 = 0 THEN 'b' ELSE 'a' END FROM j)
+SELECT key, kind, old, new FROM e WHERE old IS DISTINCT FROM new""")
 def history_events(spark, sf_dir):
+    """All three kinds: other states, one more source for some, other or first categories for some."""
     old, new = generations(spark, sf_dir)
-    side = lambda x: x.select("key", F.col("status").alias("title"), F.lit(1).alias("source_count"), F.lit("c").alias("category"))
-    return archive.diff(side(old), side(new), "key", F.lit(DAY)).select("key", "kind", "old", "new")
+    more = lambda later: F.floor(F.col("price") / 1000) + ((F.col("key") % 5 == 0).cast("int") if later else F.lit(0))
+    category = lambda later: F.when((F.col("key") % 11 == 0) | (F.col("key") % 13 == 0), "b").otherwise("a") if later else F.when(F.col("key") % 11 > 0, "a")
+    side = lambda x, later=False: x.select("key", F.col("status").alias("title"), more(later).alias("source_count"), category(later).alias("category"))
+    return archive.diff(side(old), side(new, True), "key", F.lit(DAY)).select("key", "kind", "old", "new")
 
 
 @query(f"""WITH s AS (SELECT l_orderkey AS key, l_suppkey AS url, min(l_shipdate) AS fs, max(l_shipdate) AS ls FROM lineitem WHERE l_shipdate < TIMESTAMP '{SPLIT}' GROUP BY ALL),
@@ -327,24 +331,43 @@ def global_rank(spark, sf_dir):
     return ordering.with_place(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "place")
 
 
-_INDEX = "CASE WHEN age_hours <= 336 THEN 'recent' WHEN independent >= 2 THEN 'several_publications' WHEN clicks >= 1 THEN 'clicks' WHEN NOT fresh_report THEN 'no_fresh_report' ELSE 'single_report' END"
+_EVIDENCE = """f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 23 > 0 THEN o_orderkey * 37 % 3000 END AS age_hours, 1 + (o_orderkey % 9 = 0)::INT AS independent, (o_orderkey % 7 = 0)::INT AS events, (o_orderkey % 11 = 0)::INT AS details, (o_orderkey % 13 = 0)::INT AS related,
+ (o_orderkey % 17 = 0)::INT AS clicks, (o_orderkey % 19 = 0)::INT AS impressions, o_orderkey % 3 > 0 AS fresh_report FROM orders),
+d AS (SELECT o_orderkey, CASE WHEN age_hours IS NULL THEN 'age_unknown' WHEN age_hours <= 336 THEN 'recent' WHEN independent >= 2 THEN 'several_publications' WHEN events >= 1 THEN 'history' WHEN details >= 1 THEN 'corroborated' WHEN related >= 1 THEN 'related'
+ WHEN clicks >= 1 THEN 'clicks' WHEN impressions >= 1 THEN 'impressions' WHEN NOT fresh_report THEN 'no_fresh_report' ELSE 'single_report' END AS reason FROM f)"""
 
 
-@query(f"""WITH f AS (SELECT s_suppkey, s_acctbal AS age_hours, s_nationkey % 3 AS independent, s_suppkey % 2 AS clicks, s_suppkey % 5 = 0 AS fresh_report FROM supplier) SELECT s_suppkey, {_INDEX} AS reason, {_INDEX} <> 'single_report' AS index FROM f""")
+@query(f"WITH {_EVIDENCE} SELECT o_orderkey, reason, reason <> 'single_report' AS index FROM d")
 def index_decisions(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_acctbal").alias("age_hours"), (F.col("s_nationkey") % 3).alias("independent"), F.lit(0).alias("events"), F.lit(0).alias("details"), F.lit(0).alias("related"),
-        (F.col("s_suppkey") % 2).alias("clicks"), F.lit(0).alias("impressions"), (F.col("s_suppkey") % 5 == 0).alias("fresh_report"),
-    )
-    return rows.select("s_suppkey", surfaces.index_decision().alias("d")).select("s_suppkey", "d.reason", "d.index")
+    """Orders as stories with every kind of evidence; all ten reasons come up."""
+    key = F.col("o_orderkey")
+    flag = lambda n: (key % n == 0).cast("int")
+    evidence = {"age_hours": F.when(key % 23 > 0, key * 37 % 3000), "independent": 1 + flag(9), "events": flag(7), "details": flag(11), "related": flag(13), "clicks": flag(17), "impressions": flag(19), "fresh_report": key % 3 > 0}
+    rows = table(spark, sf_dir, "orders").select(key, *(v.alias(k) for k, v in evidence.items()))
+    return rows.select("o_orderkey", surfaces.index_decision().alias("d")).select("o_orderkey", "d.reason", "d.index")
 
 
-@query("""WITH r AS (SELECT DISTINCT c_custkey AS k FROM customer), l AS (SELECT s_suppkey AS k FROM supplier) SELECT 'story-' || k AS slug, CASE WHEN k IN (SELECT k FROM l) THEN 'redirect' ELSE 'not-found' END AS outcome FROM r""")
+_CLUSTER = "'c' || substr(sha256({} || ''), 1, 12)"
+
+
+def _cluster_id(key):
+    return F.concat(F.lit("c"), F.substring(F.sha2(key.cast("string"), 256), 1, 12))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 7 AS m, {_CLUSTER.format('o_orderkey')} AS id FROM orders)
+SELECT CASE WHEN m = 5 THEN 'page-' || k ELSE 'title-' || id END AS slug, CASE m WHEN 0 THEN 'live' WHEN 1 THEN 'redirect' WHEN 2 THEN 'archived' WHEN 3 THEN 'merged' WHEN 4 THEN 'unavailable' WHEN 5 THEN 'not-found' ELSE 'live' END AS outcome,
+ CASE WHEN m IN (0, 1, 2, 6) THEN id WHEN m = 3 THEN {_CLUSTER.format('(k - 3)')} END AS cluster_id FROM r""")
 def story_resolution(spark, sf_dir):
-    asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("story-"), F.col("c_custkey")).alias("slug"))
-    live = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("cluster_id"), F.concat(F.lit("other-"), F.col("s_suppkey")).alias("slug"))
-    none = spark.createDataFrame([], "cluster_id string, slug string")
-    return surfaces.resolve(asked, live, none, spark.createDataFrame([], "node string, target string")).select("slug", "outcome")
+    """Orders as requested stories: live ones under their own or another title, archived, merged and vanished ones, and addresses of none; all six outcomes come up."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (key % 7).alias("m"), _cluster_id(key).alias("cluster_id"))
+    asked = rows.select(F.when(F.col("m") == 5, F.concat(F.lit("page-"), key)).otherwise(F.concat(F.lit("title-"), F.col("cluster_id"))).alias("slug"))
+    title = F.when(F.col("m") == 1, "changed-").otherwise("title-")
+    live = rows.where("m IN (0, 1, 6)").select("cluster_id", F.concat(title, F.col("cluster_id")).alias("slug"))
+    # What has merged is in the archive as well; the pointer counts.
+    old = rows.where("m IN (1, 2, 3)").select("cluster_id", F.concat(F.lit("old-"), F.col("cluster_id")).alias("slug"))
+    pointers = rows.where("m = 3").select(F.col("cluster_id").alias("node"), _cluster_id(key - 3).alias("target"))
+    return surfaces.resolve(asked, live, old, pointers).select("slug", "outcome", "cluster_id")
 
 
 @query()

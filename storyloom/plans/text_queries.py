@@ -101,10 +101,18 @@ def canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.host("url").alias("host"), urls.canonical("url").alias("canonical"))
 
 
-@query(rf"""WITH p AS (SELECT CASE WHEN rtrim({_PATH}, '/') = '' THEN '/' ELSE rtrim({_PATH}, '/') END AS p FROM pages)
-SELECT CASE WHEN p = '/' THEN 'home' WHEN regexp_matches(p, '^/[a-z]{{2}}/\d+\.html$') THEN 'article' WHEN regexp_matches(p, '^/[a-z]{{2}}/\d+$') THEN 'page' ELSE 'other' END AS template, count(*) AS n FROM p GROUP BY 1""")
+#: What stands before the path of every so many pages; the rest keep their own.
+_SITE = ("/story/a", "/top-10", "/top-100/", "/briefing", "/topic/b", "/topics", "/source/c", "/sources", "/search", "/reports/d", "/archive", "/most-covered", "/latest/", "/us", "/canada", "/science/", "/health", "/space", "/courts", "/storyline", "/", "", "")
+
+
+@query(rf"""WITH a AS (SELECT CASE WHEN page_id % 23 = 20 THEN '/' ELSE ({list(_SITE)})[page_id % 23 + 1] || {_PATH} END AS p FROM pages), f AS (SELECT CASE WHEN rtrim(p, '/') = '' THEN '/' ELSE rtrim(p, '/') END AS p, split_part(p, '/', 2) AS f FROM a)
+SELECT CASE WHEN p = '/' THEN 'home' WHEN f IN {urls.OWN_TEMPLATES} THEN f WHEN f IN {urls.SHARED_TEMPLATES['country']} THEN 'country' WHEN f IN {urls.SHARED_TEMPLATES['index']} THEN 'index' WHEN f IN {config.CATEGORIES} THEN 'section' WHEN f IN {tuple(config.HUBS)} THEN 'hub' ELSE 'other' END AS template, count(*) AS n FROM f GROUP BY 1""")
 def path_templates(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(urls.template("url").alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    """Pages moved to the parts of a site, so that every kind of page is there."""
+    rows = table(spark, sf_dir, "pages")
+    part = F.element_at(F.array(*map(F.lit, _SITE)), (F.col("page_id") % 23 + 1).cast("int"))
+    moved = F.when(F.col("page_id") % 23 == 20, "https://x.example.com/").otherwise(F.concat(F.lit("https://x.example.com"), part, F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1)))
+    return rows.groupBy(urls.template(moved).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(rf"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages),
