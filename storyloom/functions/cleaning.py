@@ -2,66 +2,65 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyloom.functions.classify import bind
 from storyloom.functions.text import col
 
-# What a sentence of publisher chrome starts with, and the words and lengths that decide.
-GREETINGS = (
-    r"welcome to\b[^.!?\n]{0,80}?\b(?:newsletter|briefing|email)\b",
-    r"click in for\b",
-    r"you['’]re reading\b[^.!?\n]{0,80}?\b(?:newsletter|briefing)\b",
-)
-OPENERS = (
-    r"sign up (?:for|to|here)\b",
-    r"subscribe to\b",
-    r"get (?:our|the|all)\b[^.!?]*\b(?:newsletter|email|briefing|updates|headlines)",
-    r"for (?:more|the latest)\b[^.!?]*\b(?:sign up|subscribe|newsletter)",
-    r"continue reading\b",
-    r"read more\b",
-    r"read the full (?:story|article)\b",
-    r"click here\b",
-    r"follow (?:our|the)?\s*live (?:blog|updates|coverage)\b",
-    r"follow live updates\b",
-    r"follow us on\b",
-    r"download (?:our|the) app\b",
-    r"listen to (?:our|the)\b[^.!?]*\bpodcast",
-    r"photograph:",
-    r"composite:",
-    r"illustration:",
-    r"(?:©\s*)?photo credit\b",
-    r"this (?:live )?blog (?:is now|has) closed\b",
-    r"don['’]?t already get\b[^.!?\n]{0,60}\bin your inbox",
-    r"business live [–—-] latest updates",
-    r"plus:\s",
-)
-TRAILING = r"(?:continue reading|read more|click here)[\s.…]*$"
-TEMPLATE_TOKEN = r"\{[a-z][a-z0-9_-]{1,23}\}"
-HEADER_ECHO = r"^the big (?:story|picture)\b[\s:–—-]*"
+#: What invites a reader, where to, and what names the maker of a picture: a sentence that begins with an invitation and names a place is chrome.
+INVITATIONS = ("click", "download", "follow", "for more", "for the latest", "get", "join", "listen", "register", "sign up", "subscribe", "tap", "watch")
+PLACES = ("app", "article", "blog", "briefing", "channel", "email", "headline", "here", "inbox", "newsletter", "podcast", "story", "update", "website")
+ALONE = ("continue reading", "keep reading", "read more", "read on", "read the full", "follow us")
+CREDITS = ("composite", "graphic", "illustration", "image", "photo", "photo credit", "photograph")
+#: How a newsletter greets, and what it may call its first item.
+HELLOS = ("click in for", "thank you for reading", "welcome to", "you are reading", "you['’]re reading")
+LETTERS = ("briefing", "digest", "edition", "email", "newsletter")
+FIRST_ITEMS = r"(?:the|today['’]s) (?:big|main|top) (?:item|picture|story)"
+# The lengths and shares that decide.
 ECHO_FRAGMENTS, ECHO_LENGTH = 4, 60
 SHOUTED_LENGTH, SHOUTED_SHARE = 80, 0.9
-BYLINE = r"\|\s*([A-Z][\p{L}'’.-]+(?:\s+(?:[A-Z][\p{L}'’.-]+|and|&)){1,4})\s*$"
-SECTION_WORDS = (
-    "news sport sports league cup live update updates video photos pictures podcast review analysis explained football soccer hockey briefing newsletter times post"
-    " daily weekly series open editorial"
-).split()
 TITLE_LEFT = 8
-#: Chrome of one publisher that is taken out anywhere: domain to patterns.
-PUBLISHER_CHROME = {
-    "theguardian.com": (
-        r"sign up for (?:the )?[^.!?\n]{0,60}?(?:email|newsletter)\b[.!]?",
-        r"this (?:live )?blog (?:is now|has) closed\.?",
-        r"don['’]?t already get [^.!?\n]{0,60}? in your inbox\??",
-        r"business live [–—-] latest updates",
-    ),
-}
+#: A mark that a template left in a text.
+TEMPLATE_TOKEN = r"\{[a-z][a-z0-9_-]{1,23}\}"
+#: Words of sections and series, which a bar at the end of a title may name as well as a person.
+SECTION_WORDS = ("analysis", "briefing", "cup", "editorial", "football", "hockey", "league", "live", "newsletter", "news", "photos", "podcast", "review", "series", "soccer", "sport", "sports", "updates", "video", "weekly")
+_NAME = r"\p{Lu}[\p{L}'’.-]+"
+BYLINE = rf"\|\s*({_NAME}(?:\s+(?:{_NAME}|and|&)){{1,4}})\s*$"
+
+
+@dataclass(frozen=True)
+class Chrome:
+    """What publishers put around a text, as patterns that a sentence begins with (greetings, openers), ends with or contains."""
+
+    greetings: tuple[str, ...]
+    openers: tuple[str, ...]
+    trailing: str
+    heading: str
+
+    @property
+    def greeting(self) -> str:
+        return f"(?i)^(?:{'|'.join(self.greetings)})"
+
+    @property
+    def all(self) -> str:
+        return f"(?i)^(?:{'|'.join(self.greetings + self.openers)})"
+
+
+def chrome(invitations=INVITATIONS, places=PLACES, alone=ALONE, credits=CREDITS, hellos=HELLOS, letters=LETTERS, first_items: str = FIRST_ITEMS) -> Chrome:
+    """Patterns from vocabularies."""
+    any_of = lambda words: f"(?:{'|'.join(words)})"
+    greetings = (rf"{any_of(hellos)}\b[^.!?\n]{{0,80}}\b{any_of(letters)}\b", rf"{hellos[0]}\b")
+    openers = (rf"{any_of(invitations)}\b[^.!?\n]*\b{any_of(places)}s?\b", rf"{any_of(alone)}\b", rf"(?:©\s*)?{any_of(credits)}\s*:")
+    return Chrome(greetings, openers, rf"{any_of((*alone[:3], 'click here'))}[\s.…]*$", rf"^{first_items}\b[\s:–—-]*")
+
+
+USUAL = chrome()
 
 SPACES = r"\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 LAYOUT = r"\x{2007}-\x{200B}"
-GREETING = f"(?i)^(?:{'|'.join(GREETINGS)})"
-CHROME = f"(?i)^(?:{'|'.join(GREETINGS + OPENERS)})"
 
 
 def stripped(text: Column) -> Column:
@@ -91,25 +90,27 @@ def shouted(text: Column) -> Column:
     return (F.length(text) > SHOUTED_LENGTH) & (count("L") > 0) & (count("Lu") > count("L") * SHOUTED_SHARE)
 
 
-def description(text: Column | str, domain: Column | str | None = None) -> Column:
+def description(text: Column | str, domain: Column | str | None = None, known: Chrome = USUAL, publishers: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The text without sentences of chrome; '' where nothing else stands, null for null.
 
+    publishers: for a domain (those below it included) patterns that are taken out of its texts wherever they stand.
+
     After a newsletter's greeting, short headings without a mark are dropped too until the first sentence.
     Repeating it changes nothing.
     """
     text = col(text)
     if domain is not None:
         host = F.coalesce(F.regexp_replace(F.lower(col(domain)), r"^www\.", ""), F.lit(""))
-        for name, patterns in PUBLISHER_CHROME.items():
+        for name, patterns in (publishers or {}).items():
             plain = F.regexp_replace(text, f"(?i)(?:{'|'.join(patterns)})", " ")
             text = F.when(host.rlike(rf"(^|\.){name.replace('.', '[.]')}$"), F.regexp_replace(plain, "[ \t]{2,}", " ")).otherwise(text)
-    parts = sentences(stripped(F.regexp_replace(boundaries(text), f"(?i){TRAILING}", "")))
+    parts = sentences(stripped(F.regexp_replace(boundaries(text), f"(?i){known.trailing}", "")))
 
     def joined(found: Column) -> Column:
-        greeted = F.coalesce(F.get(found, F.lit(0)).rlike(GREETING), F.lit(False))
+        greeted = F.coalesce(F.get(found, F.lit(0)).rlike(known.greeting), F.lit(False))
         placed = F.transform(found, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-        kept = F.filter(placed, lambda p: ~p["s"].rlike(CHROME) & ~shouted(p["s"]))
-        own = lambda s: stripped(F.regexp_replace(s, f"(?i){HEADER_ECHO}", ""))
+        kept = F.filter(placed, lambda p: ~p["s"].rlike(known.all) & ~shouted(p["s"]))
+        own = lambda s: stripped(F.regexp_replace(s, f"(?i){known.heading}", ""))
         echo = lambda p: (p["i"] < ECHO_FRAGMENTS) & (F.length(p["s"]) <= ECHO_LENGTH) & ~p["s"].rlike("[.!?…]")
         body = bind([kept], lambda k: F.slice(k, F.coalesce(F.nullif(F.array_position(F.transform(k, lambda p: echo(p) | (own(p["s"]) == "")), False), F.lit(0)), F.size(k) + 1).cast("int"), F.greatest(F.size(k), F.lit(1))))
         led = bind([body], lambda b: F.transform(b, lambda p, i: F.when(i == 0, own(p["s"])).otherwise(p["s"])))

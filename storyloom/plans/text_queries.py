@@ -175,6 +175,10 @@ def title_entities(spark, sf_dir):
     return articles(spark, sf_dir).select("ord", classify.entities("title", "text").alias("entities"))
 
 
+#: Sentences that many documents of the sample tables have in common stand for chrome: some as greetings, some as openers.
+_KNOWN = cleaning.Chrome(("and therhean", "nicht aulich"), ("the and attion", "to oned", "licensed under", "en laleené"), cleaning.USUAL.trailing, r"^(?:that|die|la)\b[\s:]*")
+
+
 def _description_sql() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     strip = lambda v: f"regexp_replace({v}, {quoted(f'^[{cleaning.SPACES}]+|[{cleaning.SPACES}]+$')}, '', 'g')"
@@ -182,20 +186,20 @@ def _description_sql() -> str:
     hard = rf"[{cleaning.SPACES}]*\x{{A0}}[{cleaning.SPACES}]+|[{cleaning.SPACES}]+\x{{A0}}[{cleaning.SPACES}]*"
     text = f"regexp_replace(text, {quoted(cleaning.TEMPLATE_TOKEN)}, chr(10), 'g')"
     text = f"regexp_replace(regexp_replace({text}, {quoted(run)}, chr(10), 'g'), {quoted(hard)}, chr(10), 'g')"
-    text = strip(f"regexp_replace({text}, {quoted('(?i)' + cleaning.TRAILING)}, '')")
+    text = strip(f"regexp_replace({text}, {quoted('(?i)' + _KNOWN.trailing)}, '')")
     marked = f"regexp_replace({text}, {quoted(f'([.!?…])[{cleaning.SPACES}]+')}, '\\1' || chr(10), 'g')"
-    own = lambda v: strip(f"regexp_replace({v}, {quoted('(?i)' + cleaning.HEADER_ECHO)}, '')")
+    own = lambda v: strip(f"regexp_replace({v}, {quoted('(?i)' + _KNOWN.heading)}, '')")
     count = lambda kind: f"len(regexp_extract_all(p.s, '\\p{{{kind}}}'))"
     shouted = f"length(p.s) > {cleaning.SHOUTED_LENGTH} AND {count('L')} > 0 AND {count('Lu')} > {count('L')} * {cleaning.SHOUTED_SHARE}"
     echo = f"p.i <= {cleaning.ECHO_FRAGMENTS} AND length(p.s) <= {cleaning.ECHO_LENGTH} AND NOT regexp_matches(p.s, '[.!?…]') OR {own("p.s")} = ''"
     return f"""WITH f AS (SELECT doc_id, list_filter(list_transform(string_split({marked}, chr(10)), lambda s : {strip('s')}), lambda s : s <> '') AS f FROM documents),
-k AS (SELECT doc_id, coalesce(regexp_matches(f[1], {quoted(cleaning.GREETING)}), false) AS led, list_filter(list_transform(range(1, len(f) + 1), lambda i : {{'s': f[i], 'i': i}}),
- lambda p : NOT regexp_matches(p.s, {quoted(cleaning.CHROME)}) AND NOT ({shouted})) AS k FROM f),
+k AS (SELECT doc_id, coalesce(regexp_matches(f[1], {quoted(_KNOWN.greeting)}), false) AS led, list_filter(list_transform(range(1, len(f) + 1), lambda i : {{'s': f[i], 'i': i}}),
+ lambda p : NOT regexp_matches(p.s, {quoted(_KNOWN.all)}) AND NOT ({shouted})) AS k FROM f),
 b AS (SELECT doc_id, led, CASE WHEN led THEN k[coalesce(nullif(list_position(list_transform(k, lambda p : {echo}), false), 0), len(k) + 1) :] ELSE k END AS k FROM k)
 SELECT doc_id, sha256(array_to_string(list_transform(range(1, len(k) + 1), lambda i : CASE WHEN led AND i = 1 THEN {own("k[i].s")} ELSE k[i].s END), ' ')) AS cleaned FROM b"""
 
 
 @query(_description_sql())
 def clean_descriptions(spark, sf_dir):
-    """Digests of the texts without publishers' chrome."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(cleaning.description("text").cast("binary"), 256).alias("cleaned"))
+    """Digests of the texts without the sentences that stand for chrome."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(cleaning.description("text", known=_KNOWN).cast("binary"), 256).alias("cleaned"))
