@@ -44,6 +44,8 @@ QUEUES = 1000
 TOGETHER = 4096
 #: Documents whose pieces are made at once.
 LAID_OUT = 256
+#: Bytes of text that are encoded at once: the words of a lot are encoded together, and what that takes is a hundred times as much.
+LOT_BYTES = PIECE_BYTES // 4
 END = 0
 
 
@@ -117,7 +119,7 @@ def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | Non
         for batch in batches:
             sources = batch.column(2).to_pylist()
             queues = [names[s] for s in sources] if names is not None else ["" if s is None else f"={s}" for s in sources]
-            for row, end, ids, bounds in enc.batches(column(batch, "text"), PIECE_BYTES):
+            for row, end, ids, bounds in enc.batches(column(batch, "text"), LOT_BYTES):
                 ids, bounds = with_ends(ids, bounds, END)
                 raw, n = ids.astype(f"<u{width}").tobytes(), np.diff(bounds)
                 starts = np.zeros(end - row, np.int64)

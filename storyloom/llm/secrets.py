@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from storyloom.llm.ragged import give_back
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "vendor", "registry", "webtoken", "private_key")
 #: The forms of the base kinds, and of the vendors' tokens.
@@ -50,6 +52,8 @@ KEYWORDS = {
 }
 DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 MARK = b"[SECRET]"
+#: Documents that are rewritten at once.
+REDACTED = 512
 
 
 def base62(number: int, width: int = 6) -> bytes:
@@ -167,8 +171,9 @@ def redact(docs: DataFrame) -> DataFrame:
     docs = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches):
+        give_back(kept_too=True)
         scanner = Scanner()
-        for batch in batches:
+        for batch in (whole.slice(at, REDACTED) for whole in batches for at in range(0, whole.num_rows, REDACTED)):
             old, out, lengths = batch.column(place), [], []
             for valid, raw in zip(old.is_valid().to_pylist(), texts(old)):
                 new, at = [], 0
@@ -185,5 +190,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 changed = pc.not_equal(pc.fill_null(columns[place], ""), pc.fill_null(old, ""))
                 columns[sized] = pc.if_else(changed, pa.array(lengths, pa.int64()).cast(batch.column(sized).type), batch.column(sized))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema).toDF(*names)
