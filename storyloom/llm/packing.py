@@ -135,12 +135,25 @@ def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | Non
     return docs.select("doc_id", "text", "source").mapInArrow(run, f"doc_id {kind}, queue {'string' if names is None else 'int'}, part int, start long, n long, width int, ids binary")
 
 
-def _by_tables(placed: DataFrame, sums: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+def tempered(total: int, every: int, temper: float) -> int:
+    """A queue's weight among all tokens: its part of them to this power, in millionths of millionths."""
+    return max(1, round(1e12 * (total / max(1, every)) ** temper))
+
+
+def _by_tables(placed: DataFrame, sums: DataFrame, targets: dict[str, float] | None, temper: float) -> DataFrame:
     """placed with spans: (start in the document, length, place in the output) by round, for any number of queues."""
     spark = placed.sparkSession
     queues = sums.groupBy("queue").agg(F.sum("sum").alias("total"))
-    if targets is None:
+    if targets is None and temper == 1:
         queues = queues.withColumn("weight", F.col("total"))
+    elif targets is None:
+        every = queues.agg(F.sum("total")).first()[0] or 0
+
+        def weigh(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([tempered(t, every, temper) for t in batch.column(1).to_pylist()], pa.int64())], ["queue", "total", "weight"])
+
+        queues = queues.select("queue", "total").mapInArrow(weigh, "queue string, total long, weight long")
     else:
         given = [("" if s is None else f"={s}", round(1e6 * t) or 1) for s, t in targets.items()]
         queues = queues.join(spark.createDataFrame(given, "queue string, weight long"), "queue", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
@@ -180,11 +193,12 @@ def _by_tables(placed: DataFrame, sums: DataFrame, targets: dict[str, float] | N
     return placed.withColumn("at", F.col("start") + F.col("before")).join(spans, ["queue", "at"])
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = False, temper: float = 1.0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
-    targets: weights of sources in each window; by default each source's part of all tokens, so that
-    all queues last to the end.  A queue that runs dry leaves its time to the others.
+    targets: weights of sources in each window.  By default each source's part of all tokens to the power temper: at 1 all
+    queues last to the end, below 1 small sources have more of each window than they have of the tokens, until they
+    run dry.  A queue that runs dry leaves its time to the others.
     """
     kind = dict(docs.dtypes)["doc_id"]
     sources = [r.source for r in docs.select("source").distinct().limit(QUEUES + 1).collect()]
@@ -196,13 +210,15 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     placed = encoded.join(sums.select("queue", "part", before.alias("before")), ["queue", "part"])
     columns = ["doc_id", "queue", "start", "n", "width", "ids", "before"]
     if names is None:
-        placed = _by_tables(placed, sums, targets).select(*columns, "spans")
+        placed = _by_tables(placed, sums, targets, temper).select(*columns, "spans")
         totals, shares, over = [], [], 1
     else:
         placed = placed.select(*columns)
         found = {r.queue: r["total"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}  # QUEUES rows at most
         totals = [found.get(q, 0) for q in range(len(names))]
-        weights = totals if targets is None else [round(1e6 * targets.get(s, 0)) or 1 for s in names]
+        every = sum(totals)
+        own = totals if temper == 1 else [tempered(t, every, temper) for t in totals]
+        weights = own if targets is None else [round(1e6 * targets.get(s, 0)) or 1 for s in names]
         shares, over = [x * ROUND for x in weights], max(1, sum(weights))
 
     def laid_out(rounds: Rounds, rows: pa.RecordBatch) -> pa.RecordBatch:

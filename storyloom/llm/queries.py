@@ -13,6 +13,10 @@ from storyloom.llm.common import documents, shared_folder
 from storyloom.llm.tokenizers import byte_bpe
 
 
+#: Power of a source's part of all tokens that is its target in each window.
+TEMPER = 0.7
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
@@ -26,7 +30,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), byte_bpe())
+    return packing.pack(documents(spark, sf_dir), byte_bpe(), temper=TEMPER)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

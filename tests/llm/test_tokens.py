@@ -151,6 +151,21 @@ def test_packing_holds_proportions(spark, monkeypatch):
         assert abs(small[w] / windows[w] - 0.25) < 0.01
 
 
+def test_tempered_windows_favour_small_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 400, "big" if i % 10 else "small") for i in range(1500)], "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(packing, "ROUND", 8 * packing.SEQUENCE)
+    share, small = 0.1**0.7 / (0.1**0.7 + 0.9**0.7), {}
+    rows = packing.pack(docs, PATH, temper=0.7).collect()
+    for r in rows:
+        small[r.sequence_id // 8] = small.get(r.sequence_id // 8, 0) + r.length * (r.doc_id % 10 == 0)
+    lasts = 0.1 / share * sum(r.length for r in rows) / (8 * packing.SEQUENCE)  # windows until the small source is dry
+    for window, n in small.items():
+        if window < int(lasts) - 1:
+            assert abs(n / (8 * packing.SEQUENCE) - share) < 0.01
+        elif window > int(lasts) + 1:
+            assert n == 0
+
+
 @pytest.mark.parametrize("totals,shares,over", [([5, 0, 3], [500, 0, 300], 8), ([1, 10**6, 77], [3, 1, 9], 1), ([10**13, 10**9], [10**13 * 65536, 10**9 * 65536], 10**13 + 10**9)])
 def test_rounds_are_a_partition(totals, shares, over):
     rounds = packing.Rounds(totals, shares, over)
@@ -171,11 +186,11 @@ def test_packing_gives_every_source_its_queue(spark, monkeypatch):
     rows = [(i, "word " * (40 if i % 5 else 900), None if i % 5 == 4 else f"s{i % 5}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
     monkeypatch.setattr(packing, "ROUND", 4 * packing.SEQUENCE)
-    for targets in (None, {"s0": 0.5, "s3": 0.25, "s1": 0.25}):
+    for targets, temper in ((None, 1.0), (None, 0.6), ({"s0": 0.5, "s3": 0.25, "s1": 0.25}, 1.0)):
         monkeypatch.setattr(packing, "QUEUES", 1000)
-        want = packing.pack(docs, PATH, targets, with_ids=True).collect()
+        want = packing.pack(docs, PATH, targets, with_ids=True, temper=temper).collect()
         monkeypatch.setattr(packing, "QUEUES", 2)
-        got = packing.pack(docs, PATH, targets, with_ids=True).collect()
+        got = packing.pack(docs, PATH, targets, with_ids=True, temper=temper).collect()
         check_packing(docs, got)
         assert sorted(map(repr, got)) == sorted(map(repr, want))
     first = sum(r.length for r in got if r.doc_id % 5 == 0 and r.sequence_id < 4) / (4 * packing.SEQUENCE)
