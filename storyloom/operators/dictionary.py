@@ -34,14 +34,14 @@ def prepared(terms: DataFrame) -> DataFrame:
 
 
 def matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, term, at, size): every place where a term stands, overlapping ones as well. key: columns that name a text."""
+    """(key, term, at, size, form): every place where a term stands, overlapping ones as well, and as what. key: columns that name a text."""
     known = prepared(terms)
     longest = known.agg(F.max("size").alias("_most"))
     split = texts.select(*key, words(text).alias("_words"))
     single = split.select(*key, "_words", F.posexplode("_words").alias("at", "head"))
     follow = F.array_join(F.slice("_words", F.col("at") + 2, F.col("size") - 1), " ")
     found = single.join(known, "head") if longest.first()[0] else single.join(known, "head").limit(0)
-    return found.where((F.col("size") == 1) | (follow == F.col("rest"))).select(*key, "term", "at", "size")
+    return found.where((F.col("size") == 1) | (follow == F.col("rest"))).select(*key, "term", "at", "size", F.trim(F.concat_ws(" ", "head", "rest")).alias("form"))
 
 
 def distinct_hits(texts: DataFrame, terms: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -63,19 +63,19 @@ def resolved(found: DataFrame, key: list[str]) -> DataFrame:
 
     Only matches that touch others are followed one by one, within their text.
     """
-    best = found.groupBy(*key, "at").agg(F.max(F.struct("size", "term")).alias("_b")).select(*key, "at", "_b.size", "_b.term")
+    best = found.groupBy(*key, "at").agg(F.max(F.struct("size", "term", "form")).alias("_b")).select(*key, "at", "_b.size", "_b.term", "_b.form")
     order = W.partitionBy(*key).orderBy("at")
     reach = F.max(F.col("at") + F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = best.withColumn("_new", (F.coalesce(reach, F.lit(0)) <= F.col("at")).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    chain = F.sort_array(F.collect_list(F.struct("at", "size", "term")))  # overlapping matches of one text
-    empty = F.array().cast("array<struct<at:int,size:int,term:string>>")
+    chain = F.sort_array(F.collect_list(F.struct("at", "size", "term", "form")))  # overlapping matches of one text
+    empty = F.array().cast("array<struct<at:int,size:int,term:string,form:string>>")
 
     def step(kept, m):
         last = F.element_at(kept, -1)
         return F.when((F.size(kept) == 0) | (m["at"] >= last["at"] + last["size"]), F.concat(kept, F.array(m))).otherwise(kept)
 
     kept = runs.groupBy(*key, "_run").agg(chain.alias("_c")).select(*key, F.explode(F.when(F.size("_c") == 1, F.col("_c")).otherwise(F.aggregate("_c", empty, step))).alias("_m"))
-    return kept.select(*key, "_m.term", "_m.at", "_m.size")
+    return kept.select(*key, "_m.term", "_m.at", "_m.size", "_m.form")
 
 
 def weighed(articles: DataFrame, terms: DataFrame, title_weight: int = 3, phrase_bonus: int = 1, text_weight: int = 1) -> DataFrame:
@@ -147,14 +147,13 @@ def hubs(articles: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
     """
     parts = articles.select("ord", F.lit("t").alias("part"), F.col("title").alias("_text")).unionByName(articles.select("ord", F.lit("s"), F.col("description")).toDF("ord", "part", "_text"))
     found = matches(parts, terms.select("term"), ["ord", "part"], "_text").join(terms, "term")
-    plural = parts.select("ord", "part", words("_text").alias("_words"))
-    kept = resolved(found.select("ord", "part", "hub", "negative", "term", "at", "size"), ["ord", "part", "hub", "negative"])
-    seen = kept.join(plural, ["ord", "part"]).withColumn("form", F.array_join(F.slice("_words", F.col("at") + 1, F.col("size")), " "))
-    hits = seen.groupBy("ord", "hub", "negative", "part").agg(F.count_distinct("form").alias("n"))
-    both = seen.where("negative").groupBy("ord", "hub").agg(F.count_distinct("form").alias("_minus"))
-    plus = hits.where("NOT negative").groupBy("ord", "hub").agg(F.sum(F.when(F.col("part") == "t", 2 * F.col("n")).otherwise(F.col("n"))).alias("_plus"))
-    score = F.greatest(F.lit(0), F.col("_plus") - 2 * F.coalesce("_minus", F.lit(0)))
-    return plus.join(both, ["ord", "hub"], "left").select("hub", "ord", score.cast("long").alias("score")).where(F.col("score") >= least)
+    keys = ["ord", "part", "hub", "negative"]
+    kept = resolved(found.select(*keys, "term", "at", "size", "form"), keys)
+    count = lambda test: F.count_distinct(F.when(test, F.col("form")))
+    own = ~F.col("negative")
+    sums = kept.groupBy("ord", "hub").agg(count(own & (F.col("part") == "t")).alias("_t"), count(own & (F.col("part") == "s")).alias("_s"), count(F.col("negative")).alias("_minus"))
+    score = F.greatest(F.lit(0), 2 * F.col("_t") + F.col("_s") - 2 * F.col("_minus"))
+    return sums.where(F.col("_t") + F.col("_s") > 0).select("hub", "ord", score.cast("long").alias("score")).where(F.col("score") >= least)
 
 
 def named(articles: DataFrame, names: DataFrame, aliases: DataFrame, most: int = 8) -> DataFrame:
