@@ -44,8 +44,8 @@ QUEUES = 1000
 TOGETHER = 4096
 #: Documents whose pieces are made at once.
 LAID_OUT = 256
-#: Bytes of text that are encoded at once: the words of a lot are encoded together, and what that takes is a hundred times as much.
-LOT_BYTES = PIECE_BYTES // 4
+#: Bytes of text that are encoded at once: the words of a lot are encoded together, which takes a hundred times as much memory.
+LOT_BYTES = 2 * PIECE_BYTES
 END = 0
 
 
@@ -107,7 +107,7 @@ def cut(spans: list[tuple[int, int, int]], sequence: int) -> list[tuple[int, int
     return out
 
 
-def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | None) -> DataFrame:
+def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | None, lot_bytes: int) -> DataFrame:
     """Documents with their ids, queue (a number by names, else the source's key), part (the task), and start within queue and part."""
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -119,7 +119,7 @@ def _encoded(docs: DataFrame, tokenizer: str, names: dict[str | None, int] | Non
         for batch in batches:
             sources = batch.column(2).to_pylist()
             queues = [names[s] for s in sources] if names is not None else ["" if s is None else f"={s}" for s in sources]
-            for row, end, ids, bounds in enc.batches(column(batch, "text"), LOT_BYTES):
+            for row, end, ids, bounds in enc.batches(column(batch, "text"), lot_bytes):
                 ids, bounds = with_ends(ids, bounds, END)
                 raw, n = ids.astype(f"<u{width}").tobytes(), np.diff(bounds)
                 starts = np.zeros(end - row, np.int64)
@@ -193,17 +193,17 @@ def _by_tables(placed: DataFrame, sums: DataFrame, targets: dict[str, float] | N
     return placed.withColumn("at", F.col("start") + F.col("before")).join(spans, ["queue", "at"])
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = False, temper: float = 1.0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, with_ids: bool = False, temper: float = 1.0, lot_bytes: int = LOT_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for.
 
     targets: weights of sources in each window.  By default each source's part of all tokens to the power temper: at 1 all
     queues last to the end, below 1 small sources have more of each window than they have of the tokens, until they
-    run dry.  A queue that runs dry leaves its time to the others.
+    run dry.  A queue that runs dry leaves its time to the others.  lot_bytes changes no result, only memory and time.
     """
     kind = dict(docs.dtypes)["doc_id"]
     sources = [r.source for r in docs.select("source").distinct().limit(QUEUES + 1).collect()]
     names = {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is not None, s)))} if len(sources) <= QUEUES else None
-    encoded = written(_encoded(docs, tokenizer, names), "packing-ids")
+    encoded = written(_encoded(docs, tokenizer, names, lot_bytes), "packing-ids")
     # Written, so that Spark knows its size and broadcasts it rather than shuffle the ids, unless it is large.
     sums = written(encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum")), "packing-sums")
     before = F.coalesce(F.sum("sum").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
