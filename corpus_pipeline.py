@@ -13,6 +13,10 @@ from storyloom.llm.common import documents, written
 from storyloom.llm.tokenizers import byte_bpe
 
 
+#: Executors have little memory left after the earlier stages, so words are encoded in small lots.
+LOT_BYTES = 1 << 18
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.apply(docs)
@@ -35,7 +39,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids."""
-    return packing.pack(docs, byte_bpe(), with_ids=True)
+    return packing.pack(docs, byte_bpe(), with_ids=True, lot_bytes=LOT_BYTES)
 
 
 STAGES = [
