@@ -10,7 +10,7 @@ from storyloom.checkpoints import checkpoint
 from storyloom.functions import classify
 from storyloom.operators import corroborate, dictionary
 from storyloom.plans.registry import query
-from storyloom.sources.tables import ARTICLES_SQL, articles, table
+from storyloom.sources.tables import ARTICLES_SQL, articles, spread, table
 
 
 #: Names in the most articles say what a story touches, not what it is about.
@@ -63,7 +63,7 @@ PHRASES, HUB_PHRASES = 36, 66
 
 def vocabulary(spark, sf_dir):
     """(term, r, phrase): words of four letters or more and pairs of words by the number of documents that hold them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")))
     ones = docs.select("doc_id", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("term")).where(F.length("term") >= 4)
     twos = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+ [a-z0-9]+"), 0))).alias("term"))
     ranked = None
@@ -107,7 +107,7 @@ SELECT ord, CASE WHEN vague THEN 'general' WHEN biz THEN 'business' ELSE cs[1] E
 def category_scores(spark, sf_dir):
     """Sections by a vocabulary of the table's own words, so that every rule has something to do."""
     terms = section_terms(vocabulary(spark, sf_dir))
-    rows = articles(spark, sf_dir)
+    rows = spread(articles(spark, sf_dir))
     out = dictionary.sections(rows, terms, classify.money(F.concat_ws(" ", "title", "description")))
     return out.select("ord", "category", F.round("confidence", 6).alias("confidence"), F.array_join("categories", ",").alias("categories"))
 
@@ -132,7 +132,7 @@ SELECT ord, us, ca, CASE WHEN bal THEN 'US_CA' WHEN ca > us AND ca >= 1 THEN 'CA
 def geography(spark, sf_dir):
     """Places by a vocabulary of the table's own words; the language's country is the provider's hint."""
     named = {"US": F.concat_ws(" ", "title", "description").rlike(r"(?<![A-Za-z0-9])(US|USA|U\.S\.A?\.?)(?![A-Za-z0-9])")}
-    out = dictionary.places(articles(spark, sf_dir), place_terms(vocabulary(spark, sf_dir)), named, F.col("country"))
+    out = dictionary.places(spread(articles(spark, sf_dir)), place_terms(vocabulary(spark, sf_dir)), named, F.col("country"))
     return out.select("ord", "us", "ca", "country", F.round("confidence", 6).alias("confidence"))
 
 
@@ -149,7 +149,7 @@ c AS (SELECT ord, hub, sum(CASE WHEN negative THEN 0 ELSE 2 * len(h) + len(s) EN
 SELECT hub, ord, CAST(plus - 2 * minus AS BIGINT) AS score FROM c WHERE plus > 0 AND plus - 2 * minus >= {config.HUB_THRESHOLD}""")
 def hub_membership(spark, sf_dir):
     """Hubs by a vocabulary of the table's own words and pairs of words, some of which count against."""
-    return dictionary.hubs(articles(spark, sf_dir), hub_terms(vocabulary(spark, sf_dir)), config.HUB_THRESHOLD)
+    return dictionary.hubs(spread(articles(spark, sf_dir)), hub_terms(vocabulary(spark, sf_dir)), config.HUB_THRESHOLD)
 
 
 NAMES = 40

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """frame over all cores where it comes from fewer splits, as from one small file; tables of many splits stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first sentence is the title, the whole text the description; time and section follow from doc_id."""
     docs = table(spark, sf_dir, "documents")
