@@ -1,8 +1,9 @@
 """Work that must not grow with the square of a table: copies, common names, wide rows."""
 
 import datetime as dt
+from itertools import combinations
 
-from storyloom.operators import linking
+from storyloom.operators import linking, surfaces
 from tests.test_linking import Row, Rules, table
 
 
@@ -26,3 +27,58 @@ def test_copies_are_one_node_of_the_second_pass(spark, monkeypatch):
     want = {frozenset(r.ord for r in g) for g in rules.merged([[r] for r in some])}
     assert {frozenset(g) for g in got.values() if min(g) < 62} == want and max(map(len, want)) == 61
     assert seen[0] <= 4 * len(some)  # 1,770 pairs of copies before
+
+
+def _stories(spark):
+    base = dt.datetime(2024, 1, 20)
+    rows = [(i, "Merrin tunnel opens", ["Merrin", "Kowal"], base + dt.timedelta(minutes=i % 7), base + dt.timedelta(minutes=i % 7 + 1)) for i in range(60)]
+    rows += [(100 + i, f"Merrin tunnel{i} shut{i} again{i % 3}", ["Merrin"] + ["Kowal"] * (i % 2), base + dt.timedelta(minutes=3 * i), base + dt.timedelta(minutes=4 * i)) for i in range(8)]
+    rows.append((200, "Merrin", [], base, base))
+    return spark.createDataFrame(rows, "grp long, title string, entities array<string>, first_at timestamp, last_at timestamp")
+
+
+def _passing(stories):
+    """(a, b, shared, similarity) of all ordered pairs that pass, from words by the same function."""
+    words = {r.grp: set(r.words) for r in stories.select("grp", surfaces.text.title_tokens("title").alias("words")).collect()}
+    rows = {r.grp: r for r in stories.collect()}
+    for a, b in combinations(rows, 2):
+        shared = len(set(rows[a].entities) & set(rows[b].entities))
+        alike = len(words[a] & words[b]) / len(words[a] | words[b]) if words[a] and words[b] else 0
+        if shared >= 2 or shared == 1 and alike >= 0.2:
+            yield from ((rows[a], rows[b], shared, alike), (rows[b], rows[a], shared, alike))
+
+
+def _ranked(monkeypatch):
+    seen = []
+    found = surfaces.top_of_each
+    monkeypatch.setattr(surfaces, "top_of_each", lambda rows, *more: seen.append(rows.count()) or found(rows, *more))
+    return seen
+
+
+def test_related_looks_at_copies_once(spark, monkeypatch):
+    stories = _stories(spark).cache()
+    want = {}
+    for a, b, shared, alike in _passing(stories):
+        want.setdefault(a.grp, []).append((-(shared + alike), b.grp))
+    for common in (200, 2):
+        with monkeypatch.context() as patched:
+            seen = _ranked(patched)
+            got = {}
+            for r in surfaces.related(stories, common=common).collect():
+                got.setdefault(r.grp, set()).add((-r.score, r.other))
+        assert got == {a: set(sorted(of)[:4]) for a, of in want.items()}
+        assert max(seen) <= 68 * 5  # 3,540 pairs of copies before
+
+
+def test_earlier_looks_at_copies_once(spark, monkeypatch):
+    stories = _stories(spark).cache()
+    want = {}
+    for a, b, shared, _ in _passing(stories):
+        if b.last_at < a.first_at:
+            want.setdefault(a.grp, []).append((-b.last_at.timestamp(), b.grp, shared))
+    seen = _ranked(monkeypatch)
+    got = {}
+    for r in surfaces.earlier(stories, stories).collect():
+        got.setdefault(r.grp, set()).add((-r.ended.timestamp(), r.other, r.shared))
+    assert got == {a: set(sorted(of)[:5]) for a, of in want.items()}
+    assert max(seen) <= 69 * 6
