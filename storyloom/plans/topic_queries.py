@@ -19,10 +19,15 @@ def mentions(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("grp"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("name")).where(F.length("name") >= 4)
 
 
-def vocabulary(spark, sf_dir):
+def counted(spark, sf_dir):
+    """(name, n): how many documents mention a name."""
+    return checkpoint(mentions(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def vocabulary(counts):
     """(curated, aliases): every third of the most frequent words is curated, some of the next are aliases of the first."""
-    top = mentions(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "name").limit(CURATED)
-    top = checkpoint(top.withColumn("place", F.row_number().over(W.orderBy(F.desc("_n"), "name")) - 1).select("name", "place"))  # CURATED rows
+    top = counts.orderBy(F.desc("n"), "name").limit(CURATED)
+    top = checkpoint(top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "name")) - 1).select("name", "place"))  # CURATED rows
     aliases = top.where((F.col("place") % 3 == 1) & (F.col("place") < 3 * ALIASES)).select(F.col("name").alias("alias"), (F.col("place") - 1).alias("place"))
     return top.where(F.col("place") % 3 == 0), aliases.join(top, "place").select("alias", "name")
 
@@ -40,8 +45,8 @@ kk AS (SELECT k.*, left(coalesce(ck.key, display), 60) AS key, display IN (SELEC
 
 @query(f"WITH {_TOPICS} SELECT DISTINCT name, display, key, curated FROM kk")
 def topic_keys(spark, sf_dir):
-    names = mentions(spark, sf_dir).select("name").distinct()
-    return topics.with_keys(names, *vocabulary(spark, sf_dir)).select("name", "display", "key", "curated")
+    counts = counted(spark, sf_dir)
+    return topics.with_keys(counts, *vocabulary(counts)).select("name", "display", "key", "curated")
 
 
 _DIRECTORY = f"""f AS (SELECT key, display, count(*) AS n FROM kk GROUP BY ALL),
@@ -51,8 +56,9 @@ dir AS (SELECT key, left(display, 60) AS slug, display, n_stories, curated, cura
 
 @query(f"WITH {_TOPICS}, {_DIRECTORY} SELECT key, slug, display, n_stories, curated, eligible, array_to_string(variants, ',') AS variants FROM dir")
 def topic_directory(spark, sf_dir):
-    keyed = topics.with_keys(mentions(spark, sf_dir), *vocabulary(spark, sf_dir))
-    return topics.directory(keyed, FEWEST).withColumn("variants", F.array_join("variants", ","))
+    counts = counted(spark, sf_dir)
+    names = checkpoint(topics.with_keys(counts, *vocabulary(counts)))
+    return topics.directory_of_names(names, mentions(spark, sf_dir), FEWEST).withColumn("variants", F.array_join("variants", ","))
 
 
 @query(f"""WITH {_TOPICS}, {_DIRECTORY}, r AS (SELECT DISTINCT name AS slug FROM ck UNION SELECT DISTINCT left(name, 60) FROM mm), v AS (SELECT unnest(variants) AS slug, key, n_stories FROM dir), own AS (SELECT slug, arg_max(key, (n_stories, key)) AS key FROM v GROUP BY slug),
@@ -60,16 +66,20 @@ i AS (SELECT r.slug, left(coalesce(ck.key, coalesce(ali.name, r.slug)), 60) AS k
 SELECT slug, coalesce(own.key, dir.key) AS key, CASE WHEN own.key IS NOT NULL THEN 'variant' ELSE 'identity' END AS by FROM i LEFT JOIN own USING (slug) LEFT JOIN dir ON dir.key = i.key WHERE coalesce(own.key, dir.key) IS NOT NULL""")
 def topic_resolution(spark, sf_dir):
     """Every name and every spelling that the curated names license, as requested slugs."""
-    curated, aliases = vocabulary(spark, sf_dir)
-    rows = mentions(spark, sf_dir)
-    known = topics.directory(topics.with_keys(rows, curated, aliases), FEWEST)
-    slugs = topics.curated_keys(curated).select(F.col("name").alias("slug")).unionByName(rows.select(F.substring("name", 1, 60).alias("slug"))).distinct()
+    counts = counted(spark, sf_dir)
+    curated, aliases = vocabulary(counts)
+    names = checkpoint(topics.with_keys(counts, curated, aliases))
+    known = checkpoint(topics.directory_of_names(names, mentions(spark, sf_dir), FEWEST))
+    slugs = topics.curated_keys(curated).select(F.col("name").alias("slug")).unionByName(counts.select(F.substring("name", 1, 60).alias("slug"))).distinct()
     return topics.resolved(slugs, known, curated, aliases)
 
 
 @query(f"WITH {_TOPICS}, b AS (SELECT key FROM kk GROUP BY key HAVING count(DISTINCT display) > 1 ORDER BY count(DISTINCT grp) DESC, key LIMIT 1) SELECT DISTINCT key, grp FROM kk WHERE key IN (SELECT key FROM b)")
 def topic_stories(spark, sf_dir):
     """Documents of the most covered topic that has several spellings."""
-    keyed = checkpoint(topics.with_keys(mentions(spark, sf_dir), *vocabulary(spark, sf_dir)))
-    best = keyed.groupBy("key").agg(F.count_distinct("display").alias("_forms"), F.count_distinct("grp").alias("_n")).where("_forms > 1").orderBy(F.desc("_n"), "key").limit(1)
-    return keyed.join(F.broadcast(best.select("key")), "key", "left_semi").select("key", "grp").distinct()
+    counts = counted(spark, sf_dir)
+    names = checkpoint(topics.with_keys(counts, *vocabulary(counts)))
+    rows = checkpoint(topics.several_spellings(names, mentions(spark, sf_dir)))
+    forms = names.groupBy("key").agg(F.count_distinct("display").alias("_forms")).where("_forms > 1")
+    best = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).join(forms, "key").orderBy(F.desc("_n"), "key").limit(1)
+    return rows.join(F.broadcast(best.select("key")), "key", "left_semi")

@@ -3,7 +3,8 @@
 import datetime as dt
 from itertools import combinations
 
-from storyloom.operators import audits, linking, surfaces
+from storyloom.operators import audits, linking, surfaces, topics
+from storyloom.plans import topic_queries
 from tests.test_linking import Row, Rules, table
 
 
@@ -115,3 +116,13 @@ def test_near_misses_of_a_known_score_meet_by_needed_stems(spark, monkeypatch):
     whole, seen[:] = seen[-1], []
     assert [tuple(r) for r in audits.near_misses(leads, generic, cap=5).collect()] == every[:5]
     assert seen[-1] <= 12 * 2 < whole
+
+
+def test_topics_are_keyed_by_name_not_by_mention(spark, monkeypatch):
+    """Keys are worked out for as many rows as there are names and slugs."""
+    names = topic_queries.mentions(spark, "/root/testdata/sf0.001").select("name").distinct().count()
+    seen, keyed = [], topics.with_keys
+    monkeypatch.setattr(topics, "with_keys", lambda rows, *more: seen.append(rows.count()) or keyed(rows, *more))
+    for query in (topic_queries.topic_directory, topic_queries.topic_resolution, topic_queries.topic_stories):
+        query(spark, "/root/testdata/sf0.001").count()
+    assert max(seen) <= 1.5 * names  # every mention before
