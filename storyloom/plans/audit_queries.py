@@ -13,10 +13,17 @@ from storyloom.plans.text_queries import _TOKENS
 from storyloom.sources.tables import ARTICLES_SQL, articles, table
 
 
+#: Lines that one task gathers to orders.
+LINES = 200_000
+
+
 def archived(spark, sf_dir):
     """Orders as archive rows: their lines as JSON of sources and of history, some of it malformed."""
     line = F.struct("l_linenumber", "l_suppkey", "l_returnflag", F.floor("l_quantity").alias("q"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a few for each order
+    items = table(spark, sf_dir, "lineitem")
+    # Lists are gathered in memory, so the number of tasks follows the table and not the session.
+    dealt = items.repartition(max(spark.sparkContext.defaultParallelism, -(-items.count() // LINES)), "l_orderkey")
+    lines = dealt.groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a few for each order
 
     def source(x):
         name = F.when(x["l_linenumber"] == 4, "  ").otherwise(F.concat(F.lit(" supp "), (x["l_suppkey"] % 5).cast("string")))

@@ -4,7 +4,7 @@ import datetime as dt
 from itertools import combinations
 
 from storyloom.operators import audits, linking, surfaces, topics
-from storyloom.plans import topic_queries
+from storyloom.plans import audit_queries, topic_queries
 from tests.test_linking import Row, Rules, table
 
 
@@ -126,3 +126,10 @@ def test_topics_are_keyed_by_name_not_by_mention(spark, monkeypatch):
     for query in (topic_queries.topic_directory, topic_queries.topic_resolution, topic_queries.topic_stories):
         query(spark, "/root/testdata/sf0.001").count()
     assert max(seen) <= 1.5 * names  # every mention before
+
+
+def test_lines_of_archive_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks that gather lines to lists grow in number with the table, whatever the session's partitions."""
+    monkeypatch.setattr(audit_queries, "LINES", 500, raising=False)
+    rows = audit_queries.archived(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= 10  # 4 partitions of the session, or fewer, before
