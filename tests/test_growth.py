@@ -3,7 +3,7 @@
 import datetime as dt
 from itertools import combinations
 
-from storyloom.operators import audits, linking, surfaces, topics
+from storyloom.operators import audits, linking, semantic, surfaces, topics
 from storyloom.plans import audit_queries, topic_queries
 from tests.test_linking import Row, Rules, table
 
@@ -133,3 +133,13 @@ def test_lines_of_archive_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(audit_queries, "LINES", 500, raising=False)
     rows = audit_queries.archived(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= 10  # 4 partitions of the session, or fewer, before
+
+
+def test_products_of_vectors_are_bounded_by_cells(monkeypatch):
+    """A chunk of the base meets so many queries at a time that their cosines stay below the bound."""
+    rng = semantic.np.random.default_rng(1)
+    frame = semantic.pd.DataFrame({"vec_id": range(4000), "embedding": list(rng.normal(size=(4000, 4)))})
+    seen, choose = [], semantic.np.argpartition
+    monkeypatch.setattr(semantic.np, "argpartition", lambda s, *a, **k: seen.append(s.size) or choose(s, *a, **k))
+    got = semantic._best(frame.iloc[:1000], frame, 3)
+    assert len(got) == 3000 and max(seen) <= 1 << 20  # 4,000,000 before
