@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -63,19 +64,27 @@ SPACES = r"\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{20
 LAYOUT = r"\x{2007}-\x{200B}"
 
 
+def _members(ranges: str) -> str:
+    """The characters of a class that is written as code points and ranges of them."""
+    ends = [[int(x, 16) for x in re.findall(r"\\x\{([0-9A-F]+)\}", part)] for part in re.findall(r"\\x\{[0-9A-F]+\}(?:-\\x\{[0-9A-F]+\})?", ranges)]
+    return "".join(chr(c) for e in ends for c in range(e[0], e[-1] + 1))
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^[{SPACES}]+", ""), f"(?<![{SPACES}])[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(_members(SPACES)))
 
 
 def boundaries(text: Column) -> Column:
     """Template tokens and runs of layout spaces as line ends; a lone no-break space stays.
 
-    A run is looked at from its start only, and never twice, so long runs take linear time.
+    A run is looked at from its start only, and never twice, so long runs take linear time. Texts without the character
+    that a run needs are left alone.
     """
-    text = F.regexp_replace(text, TEMPLATE_TOKEN, "\n")
-    text = F.regexp_replace(text, f"(?<![{SPACES}])[{SPACES}&&[^{LAYOUT}]]*+[{LAYOUT}][{SPACES}]*+", "\n")
-    return F.regexp_replace(text, rf"(?<![{SPACES}])(?=[{SPACES}]{{2}})[{SPACES}&&[^\x{{A0}}]]*+\x{{A0}}[{SPACES}]*+", "\n")
+    text = F.when(F.contains(text, F.lit("{")), F.regexp_replace(text, TEMPLATE_TOKEN, "\n")).otherwise(text)
+    layout = lambda t: F.when(t.rlike(f"[{LAYOUT}]"), F.regexp_replace(t, f"(?<![{SPACES}])[{SPACES}&&[^{LAYOUT}]]*+[{LAYOUT}][{SPACES}]*+", "\n")).otherwise(t)
+    hard = lambda t: F.when(F.contains(t, F.lit("\xa0")), F.regexp_replace(t, rf"(?<![{SPACES}])(?=[{SPACES}]{{2}})[{SPACES}&&[^\x{{A0}}]]*+\x{{A0}}[{SPACES}]*+", "\n")).otherwise(t)
+    return bind([bind([text], layout)], hard)
 
 
 def sentences(text: Column) -> Column:
@@ -85,9 +94,14 @@ def sentences(text: Column) -> Column:
 
 
 def shouted(text: Column) -> Column:
-    """A long sentence almost all of whose letters are capitals: legal text."""
+    """A long sentence almost all of whose letters are capitals: legal text.
+
+    Letters are counted only where the first ones leave it open: more small ones than a shouted sentence has decide.
+    """
     count = lambda kind: F.regexp_count(text, F.lit(rf"\p{{{kind}}}"))
-    return (F.length(text) > SHOUTED_LENGTH) & (count("L") > 0) & (count("Lu") > count("L") * SHOUTED_SHARE)
+    small = F.regexp_count(F.substring(text, 1, SHOUTED_LENGTH), F.lit("[a-z]"))
+    open_ = small <= F.length(text) * (1 - SHOUTED_SHARE) + 1e-6
+    return (F.length(text) > SHOUTED_LENGTH) & open_ & (count("L") > 0) & (count("Lu") > count("L") * SHOUTED_SHARE)
 
 
 def description(text: Column | str, domain: Column | str | None = None, known: Chrome = USUAL, publishers: dict[str, tuple[str, ...]] | None = None) -> Column:

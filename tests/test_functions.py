@@ -145,6 +145,19 @@ def test_words_are_found_anywhere_in_a_text(spark):
     assert {s.category: s.score for s in scores}["politics"] == 2
 
 
+def test_cleaning_reads_each_character_a_few_times(spark):
+    """Ends are cut without patterns that look back at every character; what is shouted is told from the first letters or by counts alike."""
+    texts = ["\u2003 a b \u3000\ufeff", "a \u0085", " \u200b ", ""]
+    assert "regexp" not in str(cleaning.stripped(F.col("x"))).lower()  # two patterns before
+    assert each(spark, texts, cleaning.stripped(F.col("x"))) == ["a b", "a \u0085", "", ""]  # "a" before the line end that SQL knows none of
+    loud = [("A" * up + "b" * low + "." * rest) for up, low, rest in ((90, 10, 0), (91, 9, 0), (91, 9, 900), (900, 101, 0), (902, 98, 0), (0, 0, 90), (72, 8, 1), (73, 8, 0))]
+    loud += [s[::-1] for s in loud]
+    plain = [len(s) > 80 and s.count("A") > 0.9 * (s.count("A") + s.count("b")) and "A" in s for s in loud]
+    assert each(spark, loud, cleaning.shouted(F.col("x"))) == plain and any(plain) and not all(plain)
+    small = ["{a} x", "a{now}b", "a\u2009b", "a \xa0b", "a\xa0b"]
+    assert each(spark, small, cleaning.boundaries(F.col("x"))) == ["{a} x", "a\nb", "a\nb", "a\nb", "a\xa0b"]
+
+
 def test_descriptions_without_chrome(spark):
     rows = {
         "Real news here. Sign up for our newsletter today! More facts.": "Real news here. More facts.",
