@@ -14,14 +14,10 @@ from pyspark.sql import Window as W
 
 from storyloom.functions.text import col
 
-#: Stands for anything but a single space between two words.
-_GAP = "|"
-
 
 def words(text: Column | str) -> Column:
-    """Lower-case words in order; a mark where more than one space parts two words."""
-    marked = F.regexp_replace(F.regexp_replace(F.lower(col(text)), " (?=[^a-z0-9])|(?<=[^a-z0-9]) ", _GAP), "[^a-z0-9 ]+", f" \\{_GAP} ")
-    return F.filter(F.split(marked, " "), lambda w: w != "")
+    """Lower-case words in order; an empty one stands for anything but a single space between two words. One pass over the text."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit("([a-z0-9]+)|[^a-z0-9]{2,}|[^a-z0-9 ]"), 1)
 
 
 def prepared(terms: DataFrame) -> DataFrame:
@@ -36,11 +32,14 @@ def prepared(terms: DataFrame) -> DataFrame:
 def matches(texts: DataFrame, terms: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, term, at, size, form): every place where a term stands, overlapping ones as well, and as what. key: columns that name a text."""
     known = prepared(terms)
-    longest = known.agg(F.max("size").alias("_most"))
+    longest = known.agg(F.max("size")).first()[0] or 0
     split = texts.select(*key, words(text).alias("_words"))
-    single = split.select(*key, "_words", F.posexplode("_words").alias("at", "head"))
-    follow = F.array_join(F.slice("_words", F.col("at") + 2, F.col("size") - 1), " ")
-    found = single.join(known, "head") if longest.first()[0] else single.join(known, "head").limit(0)
+    # A row has the words that a term may still have, not those of its text. Of the plain posexplode Spark would infer a filter on its
+    # argument, for which the text is split again; the row of nulls of the outer one meets no term.
+    after = [f"_w{i}" for i in range(1, longest)]
+    single = split.select(*key, "_words", F.posexplode_outer("_words").alias("at", "head")).select(*key, "at", "head", *(F.get("_words", F.col("at") + i).alias(name) for i, name in enumerate(after, 1)))
+    follow = F.array_join(F.slice(F.array(*after), F.lit(1), F.col("size") - 1), " ") if after else F.lit("")
+    found = single.join(known, "head") if longest else single.join(known, "head").limit(0)
     return found.where((F.col("size") == 1) | (follow == F.col("rest"))).select(*key, "term", "at", "size", F.trim(F.concat_ws(" ", "head", "rest")).alias("form"))
 
 

@@ -61,14 +61,38 @@ HUBS = list(config.HUBS)
 PHRASES, HUB_PHRASES = 36, 66
 
 
+#: Words whose pairs are counted at first.
+PAIRED = 1024
+
+
+def frequent_pairs(docs, counts, most, paired=PAIRED):
+    """(term, _n): the pairs of neighbouring words that most documents hold. docs: doc_id, low; counts: term, _n of all words.
+
+    No pair is in more documents than its rarer word. So only pairs of frequent words are counted; if words beyond them are
+    in as many documents as the last pair found, more words are taken.
+    """
+    word = lambda i: F.substring_index("term", " ", i)
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+ [a-z0-9]+"), 0))).alias("term"))
+    while True:
+        words = checkpoint(counts.orderBy(F.desc("_n"), "term").limit(paired + 1))
+        beyond = words.agg(F.when(F.count(F.lit(1)) > paired, F.min("_n")).otherwise(0)).first()[0]
+        known = F.broadcast(words.select(F.col("term").alias("_w")))  # paired words
+        both = pairs.join(known, word(1) == F.col("_w"), "left_semi").join(known, word(-1) == F.col("_w"), "left_semi")
+        found = checkpoint(both.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "term").limit(most))
+        least = found.agg(F.when(F.count(F.lit(1)) == most, F.min("_n")).otherwise(0)).first()[0]
+        if beyond == 0 or beyond < least:
+            return found
+        paired *= 4
+
+
 def vocabulary(spark, sf_dir):
     """(term, r, phrase): words of four letters or more and pairs of words by the number of documents that hold them."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")))
-    ones = docs.select("doc_id", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("term")).where(F.length("term") >= 4)
-    twos = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+ [a-z0-9]+"), 0))).alias("term"))
+    counts = docs.select("doc_id", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpoint(counts)
+    ones = counts.where(F.length("term") >= 4).orderBy(F.desc("_n"), "term").limit(LAST_WORD)
     ranked = None
-    for frame, phrase, most in ((ones, False, LAST_WORD), (twos, True, HUB_PHRASES)):
-        top = frame.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "term").limit(most)
+    for top, phrase in ((ones, False), (frequent_pairs(docs, counts, HUB_PHRASES), True)):
         top = top.withColumn("r", F.row_number().over(W.orderBy(F.desc("_n"), "term")) - 1).select("term", "r", F.lit(phrase).alias("phrase"))  # most rows
         ranked = top if ranked is None else ranked.unionByName(top)
     return checkpoint(ranked)

@@ -1,10 +1,12 @@
 """Work that must not grow with the square of a table: copies, common names, wide rows."""
 
 import datetime as dt
+import re
+from collections import Counter
 from itertools import combinations
 
-from storyloom.operators import audits, linking, semantic, surfaces, topics
-from storyloom.plans import audit_queries, topic_queries
+from storyloom.operators import audits, dictionary, linking, semantic, surfaces, topics
+from storyloom.plans import audit_queries, evidence_queries, topic_queries
 from tests.test_linking import Row, Rules, table
 
 
@@ -143,3 +145,33 @@ def test_products_of_vectors_are_bounded_by_cells(monkeypatch):
     monkeypatch.setattr(semantic.np, "argpartition", lambda s, *a, **k: seen.append(s.size) or choose(s, *a, **k))
     got = semantic._best(frame.iloc[:1000], frame, 3)
     assert len(got) == 3000 and max(seen) <= 1 << 20  # 4,000,000 before
+
+
+def test_words_of_texts_are_split_once(spark):
+    """The plan splits a text once for its places, and a row has the words that a term may have, not those of its text."""
+    texts = spark.createDataFrame([(1, "The white house, white  house. White houses")], "ord int, t string")
+    terms = spark.createDataFrame([("white house",), ("house",)], "term string")
+    found = dictionary.matches(texts, terms, ["ord"], "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "regexp_replace" not in plan  # two patterns and a split, three times, before
+    assert sorted((r.term, r["at"], r["size"], r.form) for r in found.collect()) == [("house", 2, 1, "house"), ("house", 6, 1, "house"), ("house", 9, 1, "houses"), ("white house", 1, 2, "white house"), ("white house", 8, 2, "white houses")]
+
+
+def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
+    """The most frequent pairs are those of all words, however few words the count begins with."""
+    texts = ["a b c d", "a b d c", "b a x y", "x y a b", "x y", "q x y", "c a"] + [f"w{i} v{i} a" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, low string").cache()
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        words.update(set(t.split()))
+        pairs.update(set(re.findall("[a-z0-9]+ [a-z0-9]+", t)))
+    counts = spark.createDataFrame(list(words.items()), "term string, _n long")
+    want = sorted(pairs.items(), key=lambda p: (-p[1], p[0]))
+    for most in (2, 3, 60):
+        for paired in (1, 4, 8, 1024):
+            assert sorted(map(tuple, evidence_queries.frequent_pairs(docs, counts, most, paired).collect()), key=lambda p: (-p[1], p[0])) == want[:most]
+    seen = []
+    cut = evidence_queries.checkpoint
+    monkeypatch.setattr(evidence_queries, "checkpoint", lambda frame: seen.append(frame) or cut(frame))
+    evidence_queries.frequent_pairs(docs, counts, 2, 5)
+    assert len(seen) == 2  # one look at the pairs of five words is enough
