@@ -7,6 +7,9 @@ Phrases never meet all texts.  A phrase's words are slots: a word inside the phr
 that contains the phrase; the first may be the end of a longer word there, the last the beginning of one, a
 single word any part.  The vocabulary, not the texts, is searched for such longer words.  Then the slot whose
 words are in the fewest texts of the story fetches the texts by an equi-join, and each is verified.
+
+A story shows its first details in the order of members, names before figures.  So the names of its first members are
+looked for first; only stories that these leave with fewer details than wanted go on to more members, then to all of them and to figures.
 """
 
 from __future__ import annotations
@@ -15,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from storyloom.checkpoints import checkpoint
 from storyloom.functions import classify
 from storyloom.functions.text import col
+from storyloom.operators.ordering import top_of_each
 
 MOST_DETAILS = 6
+#: Of how many first members of a story the names are looked for before all phrases are; changes the work, not the details.
+LOOKS = (16, 256)
 # The forms of figures, the years that are none, and the words that make a number no count.
 MONEY = r"(?:US|CA|C|A)?\$\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:million|billion|trillion|[mbk]n?))?\b"
 AGE = r"\b\d{1,3}-(?:year|month|week|day)-old\b"
@@ -53,14 +60,14 @@ def _pieces(word: Column) -> Column:
     return F.when(F.length(word) <= 2 * PART, F.array(word)).otherwise(F.transform(starts, lambda i: F.substring(word, i, F.lit(2 * PART))))
 
 
-def phrases(docs: DataFrame, stories: DataFrame, generic: DataFrame) -> DataFrame:
+def phrases(docs: DataFrame, stories: DataFrame, generic: DataFrame, with_figures: bool = True) -> DataFrame:
     """(grp, key, phrase, at): names first, then figures, each once by its lower-case form, in the order of members; at: its place.
 
     A phrase in the story's own title is its subject; names that the story displays or that are generic (name) are no details.
     """
     names = docs.select("grp", "ord", F.lit(0).alias("kind"), F.posexplode("entities").alias("pos", "phrase"))
     numbers = docs.select("grp", "ord", F.lit(1).alias("kind"), F.posexplode(figures("whole")).alias("pos", "phrase"))
-    rows = names.unionByName(numbers).where(F.length("phrase") >= 2).withColumn("key", F.lower("phrase"))
+    rows = (names.unionByName(numbers) if with_figures else names).where(F.length("phrase") >= 2).withColumn("key", F.lower("phrase"))
     place = F.struct("kind", "ord", "pos")
     once = rows.groupBy("grp", "key").agg(F.min_by("phrase", place).alias("phrase"), F.min(place).alias("at"))
     shown = stories.select("grp", F.lower("title").alias("_title"), F.transform("entities", lambda e: F.lower(F.trim(e))).alias("_shown"))
@@ -92,7 +99,8 @@ def containing(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     fits = (F.col("length") <= size) & ((F.col("form") != WHOLE) | (F.col("length") == size))
     forms = posts.select("piece").distinct().crossJoin(lengths).select("piece", "form", F.explode("sizes").alias("length")).where(fits)
     forms = forms.select("piece", "form", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("piece", i, F.col("length"))))).alias("part"))
-    placed = slots.join(forms, ["form", "part"]).select("grp", "key", "slot", "piece")
+    placed = checkpoint(slots.join(forms, ["form", "part"]).select("grp", "key", "slot", "piece"))
+    posts = checkpoint(posts.join(placed.select("grp", "piece").distinct(), ["grp", "piece"], "left_semi"))
     df = posts.groupBy("grp", "piece").agg(F.count(F.lit(1)).alias("df"))
     costs = placed.join(df, ["grp", "piece"]).groupBy("grp", "key", "slot").agg(F.sum("df").alias("cost"))
     chosen = costs.groupBy("grp", "key").agg(F.min_by("slot", F.struct("cost", "slot")).alias("slot"))
@@ -108,12 +116,30 @@ def details(members: DataFrame, stories: DataFrame, generic: DataFrame, most: in
     release = (F.col("content_type") == "press_release") | classify.from_distributor(F.col("domain"))
     whole = F.trim(F.regexp_replace(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))), r"\s+", " "))
     docs = members.where(~release).select("grp", "ord", "domain", "source", "entities", whole.alias("whole"), F.lower(whole).alias("lower"))
-    wanted = phrases(docs, stories, generic)
+    found, left = None, docs
+    for look in (*LOOKS, None):
+        first = left if look is None else left.join(top_of_each(left.select("grp", "ord"), ["grp"], [F.asc("ord")], look).select("ord"), "ord", "left_semi")
+        told = checkpoint(_told(phrases(first, stories, generic, with_figures=look is None), left, most))
+        if look is not None:  # what is missing here comes behind these in the order
+            full = told.where(F.col("rank") == most).select("grp")
+            told = told.join(full, "grp", "left_semi")
+        found = told if found is None else found.unionByName(told)
+        if look is not None:
+            still = checkpoint(left.select("grp").distinct().join(full, "grp", "left_anti"))
+            if still.isEmpty():
+                break
+            left = left.join(still, "grp", "left_semi")
+    return found
+
+
+def _told(wanted: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(grp, rank, phrase, domains, sources) of the first of the phrases that texts of two domains contain."""
+    wanted = checkpoint(wanted)
     hits = containing(wanted.select("grp", "key"), docs.select("grp", "ord", "lower")).join(docs.select("ord", "domain", "source"), "ord")
     named = hits.groupBy("grp", "key", "domain", "source").agg(F.min("ord").alias("first"))
-    bySource = named.groupBy("grp", "key", "source").agg(F.min("first").alias("first"), F.collect_set("domain").alias("domains"))
+    by_source = named.groupBy("grp", "key", "source").agg(F.min("first").alias("first"), F.collect_set("domain").alias("domains"))
     order = F.transform(F.sort_array(F.collect_list(F.struct("first", "source"))), lambda s: s["source"])
-    told = bySource.groupBy("grp", "key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), order.alias("sources"))
+    told = by_source.groupBy("grp", "key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("domains")))).alias("domains"), order.alias("sources"))
     best = told.where("domains >= 2").join(wanted, ["grp", "key"])
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("grp").orderBy("at")))
     return ranked.where(F.col("rank") <= most).select("grp", "rank", "phrase", "domains", "sources")

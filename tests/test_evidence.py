@@ -166,3 +166,20 @@ def test_spellings_of_a_topic_share_its_key(spark):
 def test_pages_against_rows(spark):
     rows = spark.createDataFrame([(None, 2), (2, 2), (3, 2), (1, 2)], "r int, u int")
     assert [r[0] for r in rows.select(audits.relation(F.col("r"), F.col("u"))).collect()] == ["unparsed", "match", "page-renders-more", "page-renders-fewer"]
+
+
+@pytest.mark.parametrize("looks", [(1,), (2, 3), (16, 256), ()])
+def test_first_members_are_looked_at_first(spark, monkeypatch, looks):
+    """Details are those of all phrases, however many members are looked at first; a story that its first names fill asks for no more."""
+    names = ["Ann Lee", "Bob Ray", "Cy Young", "Dee Dow", "Eve Oak", "Flo Pine", "Gus Reed", "Hal Sand"]
+    members = [(f"{'abc'[i % 3]}.x", "Ferry", f"{' and '.join(names[i:])} saw {i + 2} boats, 9 cars", names[i:][: 3 if i else 1], "news") for i in range(8)]
+    seen = []
+    told = corroborate._told
+    monkeypatch.setattr(corroborate, "_told", lambda wanted, *more: seen.append(wanted.count()) or told(wanted, *more))
+    monkeypatch.setattr(corroborate, "LOOKS", looks)
+    found = story(spark, members)
+    assert found == [(n, ["A.X", "B.X", "C.X"][: i + 1]) for i, n in enumerate(names[1:7], 1)]
+    if looks == (2, 3):
+        assert len(seen) == 3 and seen[0] < seen[1] < seen[2]
+    if looks == (16, 256):
+        assert len(seen) == 1 and seen[0] == len(names)  # figures as well, and twice all texts, before
