@@ -1,10 +1,13 @@
 """Work that must not grow with the square of a table: copies, common names, wide rows."""
 
 import datetime as dt
+import glob
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
+from storyloom import checkpoints
 from storyloom.operators import audits, dictionary, linking, semantic, surfaces, topics
 from storyloom.plans import audit_queries, evidence_queries, topic_queries
 from tests.test_linking import Row, Rules, table
@@ -175,3 +178,35 @@ def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
     monkeypatch.setattr(evidence_queries, "checkpoint", lambda frame: seen.append(frame) or cut(frame))
     evidence_queries.frequent_pairs(docs, counts, 2, 5)
     assert len(seen) == 2  # one look at the pairs of five words is enough
+
+
+def _shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {path for folder in folders for path in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Files of a step's shuffles go with the step, not when the driver happens to collect its garbage; what it was made of can be used again."""
+    frame = spark.range(1000).groupBy((linking.F.col("id") % 10).alias("k")).agg(linking.F.count(linking.F.lit(1)).alias("n"))
+    setting = spark.conf.get(checkpoints.CLEANUP)
+    for step in (checkpoints.checkpoint, checkpoints.stored):
+        before = _shuffle_files(spark)
+        kept = step(frame)
+        for _ in range(50):  # Spark removes them in the background
+            if not (left := _shuffle_files(spark) - before):
+                break
+            time.sleep(0.1)
+        assert not left  # a file for each task before
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, frame.collect())) == sorted(map(tuple, frame.collect())) == [(k, 100) for k in range(10)]
+        assert kept.columns == frame.columns and spark.conf.get(checkpoints.CLEANUP) == setting
+
+
+def test_wide_steps_of_linking_are_tables(spark, monkeypatch):
+    """What carries the features of all titles is a Parquet table, of which a reader takes the columns that it needs."""
+    seen = []
+    cut = linking.checkpoint
+    monkeypatch.setattr(linking, "checkpoint", lambda frame: seen.append(frame.columns) or cut(frame))
+    base = dt.datetime(2024, 1, 20)
+    rows = [("Officials say Anna Kowal unveils Merrin tunnel", f"{'abc'[i % 3]}.x", "world", ["Merrin"], base + dt.timedelta(minutes=97 * i)) for i in range(6)]
+    assert linking.cluster(table(spark, rows)).count() == 6
+    assert seen and not [columns for columns in seen if {"bigrams", "tops"} & set(columns)]  # features, prints and groups before
