@@ -9,7 +9,7 @@ from itertools import combinations
 
 from storyloom import checkpoints
 from storyloom.operators import audits, dictionary, linking, semantic, surfaces, topics
-from storyloom.plans import audit_queries, evidence_queries, topic_queries
+from storyloom.plans import audit_queries, evidence_queries, story_queries, topic_queries
 from tests.test_linking import Row, Rules, table
 
 
@@ -210,3 +210,15 @@ def test_wide_steps_of_linking_are_tables(spark, monkeypatch):
     rows = [("Officials say Anna Kowal unveils Merrin tunnel", f"{'abc'[i % 3]}.x", "world", ["Merrin"], base + dt.timedelta(minutes=97 * i)) for i in range(6)]
     assert linking.cluster(table(spark, rows)).count() == 6
     assert seen and not [columns for columns in seen if {"bigrams", "tops"} & set(columns)]  # features, prints and groups before
+
+
+def test_decisions_carry_no_texts_and_compare_no_structs(spark, monkeypatch):
+    """Terms that two titles share are found by hashes of strings, each set once; no step of pair_decisions has the texts."""
+    seen = []
+    decide = linking.decide
+    monkeypatch.setattr(linking, "decide", lambda pairs, rows: seen.append(rows.columns) or decide(pairs, rows))
+    out = story_queries.pair_decisions(spark, "/root/testdata/sf0.001")
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().optimizedPlan().toString())
+    assert not {"text", "description"} & set(seen[0])  # both before
+    assert "array_intersect(_a.prints, _b.prints)" not in plan and plan.count("array_intersect(_a.tokens, _b.tokens)") == 1
+    assert out.count() > 0
