@@ -222,3 +222,18 @@ def test_decisions_carry_no_texts_and_compare_no_structs(spark, monkeypatch):
     assert not {"text", "description"} & set(seen[0])  # both before
     assert "array_intersect(_a.prints, _b.prints)" not in plan and plan.count("array_intersect(_a.tokens, _b.tokens)") == 1
     assert out.count() > 0
+
+
+def test_members_that_too_few_can_support_meet_nobody(spark, monkeypatch):
+    """A group of 60 titles, of which each shares a stem with a fifth of the others: nobody can be kept by them, so no pairs are looked at."""
+    base = dt.datetime(2024, 1, 20)
+    rows = [(f"Merrin{i % 5} tunnel{i} shut{i} again{i}", f"d{i}.x", "world", [], base + dt.timedelta(minutes=i)) for i in range(60)]
+    rows += [(f"Filler{i} words{i} number{i}", "e.x", "world", [], base) for i in range(300)]  # so that what a fifth shares is rare
+    start = linking.weighing(linking.features(table(spark, rows))).withColumn("grp", linking.F.when(linking.F.col("ord") < 60, 59).otherwise(linking.F.col("ord")).cast("long"))
+    seen = []
+    decide = linking.decide
+    monkeypatch.setattr(linking, "decide", lambda pairs, rows: seen.append(pairs.count()) or decide(pairs, rows))
+    got = {r.ord: r.grp for r in linking.validated(start).select("ord", "grp").collect()}
+    plain = [Row(i, *r) for i, r in enumerate(rows)]
+    assert {frozenset(o for o in got if o < 60 and got[o] == g) for o2, g in got.items() if o2 < 60} == {frozenset(r.ord for r in g) for g in Rules(plain).validated([plain[:60]])}
+    assert len(seen) == 2 and seen[1] == 0  # 59 times 12 before
