@@ -247,3 +247,46 @@ def test_second_pass_as_the_rules_say(spark):
     for r in linking.second_pass(start).select("ord", "grp").collect():
         found.setdefault(r.grp, set()).add(r.ord)
     assert {frozenset(g) for g in found.values()} == want and len(want) < len(groups)
+
+
+class Whole(Rules):
+    """The rules over all pairs, without a cutoff of postings."""
+
+    def candidates(self):
+        return [(a.ord, b.ord) for a, b in combinations(self.rows, 2)]
+
+
+def copied(seed, n=170):
+    """titles() and many copies of six of them over a week, in two domains, so that words are in more than 50 titles."""
+    rows, rng = titles(seed, n), random.Random(seed)
+    for title, _, _, entities, at in [rng.choice(rows) for _ in range(6)]:
+        for _ in range(rng.choice([20, 60])):
+            rows.append((title, f"{rng.choice('ab')}.x", rng.choice(["world", "business"]), entities, at + dt.timedelta(hours=rng.randrange(-90, 90))))
+    return rows
+
+
+@pytest.mark.parametrize("seed, stems, names", [(12, 256, 16), (14, 2, 0)])
+def test_links_look_at_postings_of_any_length(spark, monkeypatch, seed, stems, names):
+    """Groups and links are those of all pairs, also for titles of more stems and names than keys go by pairs."""
+    monkeypatch.setattr(linking, "_STEMS", stems)
+    monkeypatch.setattr(linking, "_NAMES", names)
+    rows = copied(seed)
+    plain = [Row(i, *r) for i, r in enumerate(rows)]
+    rules, alone = Whole(plain), [[i] for i in range(len(rows))]
+    parts = lambda edges: {frozenset(g) for g in joined(alone, edges)}
+    whole = [(a.ord, b.ord) for a, b in combinations(plain, 2) if rules.link(a, b)]
+    got = {(r.a, r.b) for r in linking.links(linking.weighing(linking.features(table(spark, rows)))).collect()}
+    assert parts(list(got)) == parts(whole) != parts([p for p in Rules(plain).candidates() if rules.link(plain[p[0]], plain[p[1]])])
+    assert len(got) < len(whole)  # copies link in a line, not each with each
+    found = {}
+    for r in linking.cluster(table(spark, rows)).select("ord", "grp").collect():
+        found.setdefault(r.grp, set()).add(r.ord)
+    assert {frozenset(g) for g in found.values()} == rules.clusters()
+
+
+def test_a_member_that_goes_takes_no_group_with_its_name(spark):
+    """The least member names its group; where it goes, the others are named by the least that stays."""
+    base = dt.datetime(2024, 1, 20)
+    rows = [("Merrin tunnel shut again", "a.x", "world", [], base)] + [("Anna Kowal unveils ferry", f"{d}.x", "world", [], base + dt.timedelta(minutes=d)) for d in (1, 2, 3)]
+    start = linking.weighing(linking.features(table(spark, rows))).withColumn("grp", linking.F.lit(0).cast("long"))
+    assert {r.ord: r.grp for r in linking.validated(start).select("ord", "grp").collect()} == {0: 0, 1: 1, 2: 1, 3: 1}  # all 0 before
