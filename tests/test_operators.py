@@ -245,3 +245,10 @@ def test_country_page_shows_no_story_twice(spark):
     assert latest == [i for i in range(59, -1, -1) if i not in shown][:8]
     more = surfaces.more_in_category(frame)
     assert sorted(r.other for r in more.where("grp = 5").collect()) == [0, 10, 15, 20]
+
+
+def test_stories_without_title_have_earlier_coverage(spark):
+    """Two shared names are enough; a null title has no words and loses no story."""
+    rows = [(i, None, ["Maine", "Acme"], ts(f"2024-01-0{i} 00:00:00"), ts(f"2024-01-0{i} 05:00:00")) for i in (1, 2, 3)]
+    frame = spark.createDataFrame(rows, "grp int, title string, entities array<string>, first_at timestamp, last_at timestamp")
+    assert {(r.grp, r.other) for r in surfaces.earlier(frame, frame).collect()} == {(2, 1), (3, 1), (3, 2)}  # none before
